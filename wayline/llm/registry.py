@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import chat, exact_dedup, mixing, pieces
+from wayline.llm import chat, exact_dedup, mixing, pieces, privacy
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op8_personal_data": privacy.op8_personal_data,
         "op9_chat_format": chat.op9_chat_format,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
