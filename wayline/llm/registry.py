@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import chat, exact_dedup, mixing, pieces, privacy
+from wayline.llm import chat, exact_dedup, mixing, pieces, privacy, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentencepiece": pieces.op3_sentencepiece,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op8_personal_data": privacy.op8_personal_data,
         "op9_chat_format": chat.op9_chat_format,
