@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import chat, exact_dedup, mixing, pieces, privacy, toxicity
+from wayline.llm import chat, exact_dedup, mixing, near_dedup, pieces, privacy, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_personal_data": privacy.op8_personal_data,
         "op9_chat_format": chat.op9_chat_format,
         "op10_mix_sources": mixing.op10_mix_sources,
