@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import chat, exact_dedup, mixing, near_dedup, pieces, privacy, substring, toxicity
+from wayline.llm import chat, exact_dedup, mixing, near_dedup, nearest, pieces, privacy, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring.op1_substring_dedup,
+        "op2_nearest_neighbours": nearest.op2_nearest_neighbours,
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
