@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import chat, exact_dedup, mixing, near_dedup, nearest, pieces, privacy, substring, toxicity
+from wayline.llm import chat, exact_dedup, lm_scoring, mixing, near_dedup, nearest, pieces, privacy, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": substring.op1_substring_dedup,
         "op2_nearest_neighbours": nearest.op2_nearest_neighbours,
         "op3_sentencepiece": pieces.op3_sentencepiece,
+        "op4_lm_score": lm_scoring.op4_lm_score,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_near_dedup": near_dedup.op7_near_dedup,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_lm_score": lm_scoring.OP4_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op9_chat_format": chat.OP9_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
