@@ -302,11 +302,11 @@ def orphans(spark, d):
 @query("""WITH o AS (SELECT o_orderkey, o_custkey % 150 AS u, epoch_us(o_orderdate) AS at FROM orders), e AS (SELECT user_id AS u, epoch_us(ts) AS at, event_id FROM events),
 b AS (SELECT o.*, e.at AS eat, e.event_id FROM o ASOF LEFT JOIN e ON o.u = e.u AND o.at >= e.at), f AS (SELECT o.o_orderkey, e.at AS eat, e.event_id FROM o ASOF LEFT JOIN e ON o.u = e.u AND o.at <= e.at)
 SELECT b.o_orderkey, b.u, b.at, CASE WHEN b.eat IS NULL THEN f.eat WHEN f.eat IS NULL OR b.at - b.eat < f.eat - b.at THEN b.eat ELSE f.eat END AS nearest_at,
-  CASE WHEN b.eat IS NULL THEN f.event_id WHEN f.eat IS NULL OR b.at - b.eat < f.eat - b.at THEN b.event_id ELSE f.event_id END AS event_id FROM b JOIN f USING (o_orderkey)""")
+  CASE WHEN b.eat IS NULL THEN f.event_id WHEN f.eat IS NULL OR b.at - b.eat < f.eat - b.at THEN b.event_id ELSE f.event_id END AS event_id FROM b JOIN f USING (o_orderkey) WHERE b.eat IS NOT NULL OR f.eat IS NOT NULL""")
 def nearest_sample(spark, d):
     o = _t(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("u"), _micros("o_orderdate").alias("at"))
     e = _events(spark, d).select(F.col("user_id").alias("u"), _micros("ts").alias("at"), "event_id")
-    return linear.nearest(o, e, "u", "at", "event_id")
+    return linear.nearest(o, e, "u", "at", "event_id").filter("nearest_at is not null")
 
 
 @query(f"""WITH c AS (SELECT c_custkey, {_lon_sql('c_custkey')} FROM customer), t AS (SELECT *, trunc((lon + 180) / 360 * 16384)::INT AS x, trunc((1 - asinh(tan(radians(lat))) / pi()) / 2 * 16384)::INT AS y FROM c)
