@@ -67,40 +67,47 @@ class Index:
         self.label = np.array([r[1] for r in rows], np.int8)
         self.vote = np.array([votes[r[1]] for r in rows])
         self.blocks = -(-len(rows) // BLOCK)
-        self.most = np.zeros((len(terms), self.blocks), np.float64)
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for k, (_, _, weights) in enumerate(rows):
-            norm = math.sqrt(sum(w * w for w in weights.values()))
-            for t, w in weights.items():
-                postings.setdefault((t, k // BLOCK), []).append((k, w / norm))
-                self.most[t, k // BLOCK] = max(self.most[t, k // BLOCK], w / norm)
-        self.postings = {at: (np.array([k for k, _ in x]), np.array([w for _, w in x])) for at, x in postings.items()}
+        self.postings = [(t, k, w / math.sqrt(sum(x * x for x in r[2].values()))) for k, r in enumerate(rows) for t, w in r[2].items()]
+        self.by_block: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"by_block": None}
+
+    def open(self) -> np.ndarray:
+        """The weights by word, block and place in the block, laid out where they are used; and the largest by word and block."""
+        if self.by_block is None:
+            self.by_block = np.zeros((len(self.terms), self.blocks, BLOCK))
+            t, k, w = (np.array(x) for x in zip(*self.postings, strict=True))
+            self.by_block[t, k // BLOCK, k % BLOCK] = w
+            self.most = self.by_block.max(axis=2)
+        return self.by_block
 
     def share(self, toxic: float, all: float) -> float:
         return (toxic + SMOOTHING * self.rate) / (all + SMOOTHING)
 
     def nearest(self, query: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the nearest examples with a positive cosine, nearest first. query: unit weights by word."""
-        terms = [t for t, _ in query]
-        bound = np.array([w for _, w in query]) @ self.most[terms]
+        weights = self.open()
+        terms, w = np.array([t for t, _ in query]), np.array([w for _, w in query])
+        bound = w @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
-        scores = np.zeros(len(self.ids))
-        floor, seen = 0.0, []
-        for part in (order[:4], order[4:]):
-            for b in part:
-                if bound[b] <= 0 or bound[b] < floor * (1 - 1e-12):  # in order of bound: none after it reaches the floor
-                    break
-                for t, w in query:
-                    if found := self.postings.get((t, int(b))):
-                        scores[found[0]] += w * found[1]
-                seen.append(int(b))
-            got = np.concatenate([scores[b * BLOCK : (b + 1) * BLOCK] for b in seen]) if seen else scores[:0]
-            if len(got) >= NEAREST:
-                floor = float(np.partition(got, -NEAREST)[-NEAREST])
-        places = np.flatnonzero(scores > 0) if len(seen) > 8 else np.concatenate([np.arange(b * BLOCK, min((b + 1) * BLOCK, len(scores))) for b in sorted(seen)]) if seen else np.zeros(0, int)
-        places = places[scores[places] > 0]
-        places = places[np.lexsort((places, -scores[places]))][:NEAREST]
-        return places, scores[places]
+        order = order[: int((bound > 0).sum())]
+        floor, at, seen, scores = 0.0, 0, [], np.zeros(0)
+        for size in (4, 12, len(order)):
+            part = order[at : at + size]
+            part = part[bound[part] >= floor * (1 - 1e-12)]  # the rest cannot reach what is already found
+            if not len(part):
+                break
+            at += size
+            seen.append(part)
+            scores = np.concatenate([scores, np.tensordot(w, weights[terms[:, None], part], 1).reshape(-1)])
+            if len(scores) >= NEAREST:
+                floor = float(np.partition(scores, -NEAREST)[-NEAREST])
+        good = np.flatnonzero((scores >= floor) & (scores > 0))
+        blocks = np.concatenate(seen) if seen else np.zeros(0, np.int64)
+        places, scores = blocks[good // BLOCK] * BLOCK + good % BLOCK, scores[good]
+        best = np.lexsort((places, -scores))[:NEAREST]
+        return places[best], scores[best]
 
     def vector(self, text: str) -> list[tuple[int, float]]:
         terms = self.terms
