@@ -59,7 +59,7 @@ def mix(
 ) -> tuple[DataFrame, dict[str, str]]:
     """The rows of docs with five more columns; and their names by size, source_size, target, copies, taken."""
     names = dict(zip(("size", "source_size", "target", "copies", "taken"), internal(docs, "size", "source_size", "target", "copies", "taken"), strict=True))
-    key, part, place, total, rows = internal(docs, "key", "range", "place", "total", "source_rows")
+    key, part, place, total, rows, s_, r_ = internal(docs, "key", "range", "place", "total", "source_rows", "s", "r")
     src = internal(docs, "source")[0]
     size = names["size"]
 
@@ -82,11 +82,11 @@ def mix(
         .withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     )
     offsets = materialize(ranges, "ranges").select(
-        F.col("source").alias("s_"), F.col("range").alias("r_"), F.col("before").alias(total), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"])
+        F.col("source").alias(s_), F.col("range").alias(r_), F.col("before").alias(total), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"])
     )
-    rows_of = targets.select(F.col("source").alias("s_"), F.col("rows").alias(rows))
-    placed = sized.join(rows_of, same(F.col(src), F.col("s_")), "left").drop("s_").withColumn(part, range_of(F.col(key), F.col(rows)))
-    placed = placed.join(offsets, same(F.col(src), F.col("s_")) & (F.col(part) == F.col("r_")), "left").drop("s_", "r_")
+    rows_of = targets.select(F.col("source").alias(s_), F.col("rows").alias(rows))
+    placed = sized.join(rows_of, same(F.col(src), F.col(s_)), "left").drop(s_).withColumn(part, range_of(F.col(key), F.col(rows)))
+    placed = placed.join(offsets, same(F.col(src), F.col(s_)) & (F.col(part) == F.col(r_)), "left").drop(s_, r_)
     inside = Window.partitionBy(src, part).orderBy(key, F.col(id).asc_nulls_last(), size).rowsBetween(Window.unboundedPreceding, -1)
     before = F.col(total) + F.coalesce(F.sum(size).over(inside), F.lit(0))
     whole = F.coalesce(F.floor(F.try_divide(F.col(names["target"]), F.col(names["source_size"]))), F.lit(0))
