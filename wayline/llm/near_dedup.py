@@ -9,8 +9,13 @@ Banding: BANDS runs of ROWS_IN_BAND coordinates; sets of similarity 0.75 share a
 
 Verification: sets that are equal form one class and stand as one node. In each bucket every node is held against one
 pivot on the full sets; links join nodes into components; what still stands apart in a bucket is held against another
-pivot, and in the end against every node of the bucket in another component. So within a bucket every two nodes are
-linked, reached through links, or compared, and a bucket of n copies takes about n comparisons. No pair list of a
+pivot, and in the end against the nodes of the bucket in another component that it could be linked with. Two nodes x
+and y held against one pivot p share shingles inside p, at most |x & p|, and outside it. Of the latter, one that at
+most RARE such nodes have is rare. Two nodes that share a rare shingle are found by it, a row meeting RARE others at
+most; two that share none have at most s = |x & p| + (x's shingles outside p that are neither rare nor its own) in
+common, and unless 7 s >= 3 (|x| + |y|) their similarity is below 0.75. Edited copies differ from each other where
+they differ from the pivot, so this leaves few pairs. So within a bucket every two nodes are linked, reached through
+links, compared, or known to be too far apart; a bucket of n copies takes about n comparisons, no pair list of a
 bucket is made, and no bucket is cut.
 
 Cases: a null text is empty; a set without shingles is linked with nothing; rows of equal texts are one node; rows
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm._common import forget, materialize, table
+from wayline.llm._common import forget, internal, materialize, table
 from wayline.llm._hashing import mix, slices, window_hashes, word_hashes
 from wayline.llm.components import components
 
@@ -39,6 +44,8 @@ BANDS, ROWS_IN_BAND = 60, 6
 COORDINATES = BANDS * ROWS_IN_BAND
 #: Sets below this size take many rounds and are sketched together.
 SMALL = 128
+#: A shingle outside the pivot that so many nodes at most have leads from each of them to the others.
+RARE = 64
 
 _U = np.uint64
 _ROUND = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * _U(0xA24BAED4963EE407))
@@ -145,12 +152,61 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. a: the pivot, which many pairs share."""
+def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair: the size of b's set, what it shares with a's, and its shingles outside that."""
+    pivot: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            rows = batch.slice(start, 1000)
+            sizes, rest = [], []
+            for text, other in zip(rows.column(2).to_pylist(), shingle_sets(rows.column(3)), strict=True):
+                if pivot[0] != text:
+                    pivot = text, next(shingle_sets(pa.array([text])))
+                sizes.append(len(other))
+                rest.append(np.setdiff1d(other, pivot[1], assume_unique=True).view(np.int64))
+            shared = [n - len(r) for n, r in zip(sizes, rest, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array(rest, pa.list_(pa.int64()))], names=["a", "b", "size", "shared", "outside"])
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, text_a, text_b of pairs (a, b), by a, which many pairs share."""
     first = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = first.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
+
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_confirmed, f"a {kind}, b {kind}")
+    return _with_texts(pairs, texts).mapInArrow(_confirmed, f"a {kind}, b {kind}")
+
+
+def _possible(named: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket and two components that may be similar enough. first: key, a, the pivot that all of a bucket met."""
+    kind = named.schema["node"].dataType.simpleString()
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    there = named.join(sizes.filter("parts > 1").select("key", "main"), "key").join(first, "key").filter("node <> a")
+    there = materialize(there, "open")
+    met = materialize(_with_texts(there.select("a", F.col("node").alias("b")).distinct(), texts).mapInArrow(_outside, f"a {kind}, b {kind}, size long, shared long, outside array<long>"), "outside")
+    rest = met.select("a", "b", F.explode("outside").alias("shingle"))
+    common = rest.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    others = materialize(rest.join(common, ["a", "shingle"]), "others")
+    also = others.groupBy("a", "b").agg(F.count(F.lit(1)).alias("also"), F.count(F.when(F.col("n") > RARE, 1)).alias("wide"))
+    bound = met.drop("outside").join(also, ["a", "b"], "left").select(
+        "a", F.col("b").alias("node"), "size", (F.col("shared") + F.coalesce("also", F.lit(0))).alias("most"), (F.col("shared") + F.coalesce("wide", F.lit(0))).alias("most_wide")
+    )
+    # What shares less than 3/4 of its own size with any other is far from all.
+    known = materialize(there.join(bound, ["a", "node"]).filter("4 * most >= 3 * size"), "known")
+    two = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "size", "most", "most_wide")]
+    far = F.col("component_x") != F.col("component_y")
+    enough = lambda most: 7 * F.least(f"{most}_x", f"{most}_y") >= 3 * (F.col("size_x") + F.col("size_y"))
+    apart = known.filter("component <> main").select("key", *two("x"))
+    in_bucket = apart.join(known.select("key", *two("y")), "key").filter(far & enough("most_wide"))
+    nodes = known.select("a", "node", "component", "size", "most", "most_wide").distinct()
+    rare = others.filter(F.col("n") <= RARE).select("a", "shingle", F.col("b").alias("node")).join(nodes, ["a", "node"])
+    by_shingle = rare.select("a", "shingle", *two("x")).join(rare.select("a", "shingle", *two("y")), ["a", "shingle"]).filter((F.col("node_x") < F.col("node_y")) & far & enough("most"))
+    pairs = in_bucket.select("node_x", "node_y").unionAll(by_shingle.select("node_x", "node_y"))
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def link_buckets(members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -158,28 +214,27 @@ def link_buckets(members: DataFrame, texts: DataFrame) -> DataFrame:
     tested: DataFrame | None = None
     links: DataFrame | None = None
     labels: DataFrame | None = None
+    first = materialize(members.groupBy("key").agg(F.min("node").alias("a")), "pivots")
     for turn in range(3):
         named = members.withColumn("component", F.col("node"))
         if labels is not None:
             named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         named = materialize(named, "named")
-        if turn < 2:
-            order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            pivots = named.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "component")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
+        if turn == 0:
+            pairs = named.join(first, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+        elif turn == 1:
+            pivots = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("o"), "node", "component")).alias("p"), F.min("component").alias("low"), F.max("component").alias("high"))
             pivots = pivots.filter("low < high").select("key", F.col("p.node").alias("a"), F.col("p.component").alias("ca"))
             pairs = named.join(pivots, "key").filter("component <> ca").select("a", F.col("node").alias("b")).distinct()
         else:
-            sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts"))
-            open_buckets = sizes.filter("parts > 1").select("key", "main")
-            apart = named.join(open_buckets, "key").filter("component <> main").select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-            pairs = apart.join(named, "key").filter("component <> cx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+            pairs = _possible(named, first, texts)
         if tested is not None:
             done = tested.unionAll(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         forget(named)
         if pairs.isEmpty():
-            break
+            continue
         found = materialize(_links(pairs, texts), "confirmed")
         tested = pairs if tested is None else tested.unionAll(pairs)
         links = found if links is None else links.unionAll(found)
@@ -212,8 +267,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each component, with their own columns."""
-    dropped = near_duplicates(docs, id, text).filter(~F.col("kept")).select(F.col(id).alias("dropped")).distinct()
-    return docs.join(dropped, docs[id] == F.col("dropped"), "left_anti").select(*docs.columns)
+    name = internal(docs, "dropped")[0]
+    dropped = near_duplicates(docs, id, text).filter(~F.col("kept")).select(F.col(id).alias(name)).distinct()
+    return docs.join(dropped, F.col(id) == F.col(name), "left_anti").select(*docs.columns)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
