@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from wayline.functions import geo, numbers, text
 from wayline.operators import linear, raster, spatial, stats, survey
-from wayline.sources import writers
+from wayline.session import scratch
+from wayline.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -394,6 +395,24 @@ def bars_and_labels(spark, d):
     return t.select("l_orderkey", F.round(numbers.bar_width(F.col("q"), F.col("most")), 4).alias("width"), text.metres(F.col("q") * 10).alias("label"), low.alias("low"), high.alias("high"))
 
 
+@query(f"""SELECT 'folder ' || n_regionkey AS folder, 'Nation ' || n_nationkey || ' ' AS name, 'nation ' || n_nationkey AS norm, CASE WHEN n_nationkey % 5 > 0 THEN 'Point' END AS gtype,
+  CASE WHEN n_nationkey % 5 > 0 THEN round(21.8::DOUBLE + n_nationkey / 5000.0::DOUBLE, 4) END AS lon, CASE WHEN n_nationkey % 5 = 1 THEN 1 ELSE 0 END::INT AS images FROM nation""")
+def xml_scan(spark, d):
+    """Folders of placemarks, some without a shape, some with the same image twice, some in a collection of shapes, written as XML and read back."""
+    k = F.col("n_nationkey")
+    point = F.format_string("<Point><coordinates>%.4f,43.2,0</coordinates></Point>", F.lit(21.8) + k / F.lit(5000.0))
+    shape = F.when(k % 5 == 0, "").when(k % 5 == 2, F.concat(F.lit("<MultiGeometry>"), point, F.lit("</MultiGeometry>"))).otherwise(point)
+    images = F.when(k % 5 == 1, "<description><![CDATA[<img src='u'/><img src='u'/>]]></description>").otherwise("")
+    mark = F.concat(F.lit("<Placemark><name>Nation "), k.cast("string"), F.lit(" </name>"), images, shape, F.lit("</Placemark>"))
+    folders = _t(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(mark)), "").alias("m"))
+    path = scratch(spark, "folders")
+    folder = F.concat(F.lit("<Folder><name>folder "), F.col("n_regionkey").cast("string"), F.lit("</name>"), F.col("m"), F.lit("</Folder>"))
+    document = F.concat(F.lit("<kml><Document>"), F.array_join(F.array_sort(F.collect_list(folder)), ""), F.lit("</Document></kml>"))  # one of 25 placemarks
+    folders.agg(document.alias("value")).write.text(path)
+    p = readers.read_placemarks(spark, path)
+    return p.select("folder", "name", "norm", "gtype", F.round(F.get("coords", F.lit(0))["lon"], 4).alias("lon"), F.size("images").alias("images"))
+
+
 @query()
 def geojson_features(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name")).withColumns(_place("c_custkey"))

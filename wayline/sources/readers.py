@@ -24,7 +24,7 @@ def _folder(depth: int) -> str:
 
 def read_folders(spark: SparkSession, path: str) -> DataFrame:
     """folder, placemark of every folder at any depth down to DEPTH, a folder without placemarks as one null row."""
-    found = spark.read.format("xml").option("rowTag", "Folder").option("ignoreNamespace", "true").schema(_folder(DEPTH).replace(": ", " ", 1).replace(", Placemark: ", ", Placemark ").replace(", Folder: ", ", Folder ", 1)).load(path)
+    found = spark.read.format("xml").option("rowTag", "Folder").option("ignoreNamespace", "true").option("ignoreSurroundingSpaces", "false").schema(_folder(DEPTH).replace(": ", " ", 1).replace(", Placemark: ", ", Placemark ").replace(", Folder: ", ", Folder ", 1)).load(path)
     out = None
     level = found
     for k in range(DEPTH):
