@@ -44,12 +44,11 @@ def locate(points: DataFrame, zones: DataFrame, lon: str = "lon", lat: str = "la
         return points.crossJoin(F.broadcast(every)).withColumn(into, found).drop("__zones")
     cell = lambda c: F.floor(c / CELL_DEGREES)
     placed = prepared.withColumn("__x", F.explode(F.sequence(cell(F.col("west")), cell(F.col("east"))))).withColumn("__y", F.explode(F.sequence(cell(F.col("south")), cell(F.col("north")))))
-    keyed = points.withColumns({"__row": F.monotonically_increasing_id(), "__x": cell(F.col(lon)), "__y": cell(F.col(lat))})
+    places = points.select(F.col(lon).alias("__lon"), F.col(lat).alias("__lat")).distinct().withColumns({"__x": cell(F.col("__lon")), "__y": cell(F.col("__lat"))})
     z = F.struct("edges", "west", "east", "south", "north")
-    hits = keyed.select("__row", "__x", "__y", F.col(lon).alias("__lon"), F.col(lat).alias("__lat")).distinct().join(placed, ["__x", "__y"]).filter(_inside(z, F.col("__lon"), F.col("__lat")))
-    # the place itself is the key, not the row number, so a recomputed row finds the same zone
+    hits = places.join(placed, ["__x", "__y"]).filter(_inside(z, F.col("__lon"), F.col("__lat")))
     first = hits.groupBy("__lon", "__lat").agg(F.min_by("zone", "ord").alias(into))
-    return keyed.join(first, (F.col(lon) == F.col("__lon")) & (F.col(lat) == F.col("__lat")), "left").drop("__row", "__x", "__y", "__lon", "__lat")
+    return points.join(first, (F.col(lon) == F.col("__lon")) & (F.col(lat) == F.col("__lat")), "left").drop("__lon", "__lat")
 
 
 def locate_features(features: DataFrame, zones: DataFrame, into: str = "zone") -> DataFrame:
