@@ -26,3 +26,13 @@ def components(links: DataFrame) -> DataFrame:
         if after.filter("fell").isEmpty():
             forget(both)
             return labels.select("node", "component")
+
+
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more (a, b) links: only the components that the links join are gone through again."""
+    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).distinct()
+    every = labels.unionAll(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component")))
+    end = lambda c: every.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    between = links.join(end("a"), "a").join(end("b"), "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    roots = components(between).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return materialize(every.join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from wayline.llm._common import forget, internal, materialize, table
 from wayline.llm._hashing import mix, slices, window_hashes, word_hashes
-from wayline.llm.components import components
+from wayline.llm.components import components, merge
 
 SHINGLE = 5
 #: Similarity from which two sets are linked, as a share of 100.
@@ -212,7 +212,6 @@ def _possible(named: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame
 def link_buckets(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Components over the nodes of buckets: node, component. members: key, node, of buckets with at least two."""
     tested: DataFrame | None = None
-    links: DataFrame | None = None
     labels: DataFrame | None = None
     first = materialize(members.groupBy("key").agg(F.min("node").alias("a")), "pivots")
     for turn in range(3):
@@ -237,8 +236,7 @@ def link_buckets(members: DataFrame, texts: DataFrame) -> DataFrame:
             continue
         found = materialize(_links(pairs, texts), "confirmed")
         tested = pairs if tested is None else tested.unionAll(pairs)
-        links = found if links is None else links.unionAll(found)
-        labels = components(links)
+        labels = components(found) if labels is None else merge(labels, found)
     if labels is None:
         return members.select("node", F.col("node").alias("component")).limit(0)
     return labels
