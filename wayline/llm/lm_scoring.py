@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm._common import materialize, table
+from wayline.llm._common import free_shuffles, materialize, table
 from wayline.llm._hashing import mix, slices, word_hashes
 from wayline.llm.mixing import word_count
 
 ORDER = 2
 BACKOFF = 0.4
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 21
 #: n-grams of one order in one count table partition, about.
 PARTITION_NGRAMS = 1 << 20
 
@@ -147,6 +147,8 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", ord
     rows = docs.select(F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(blocks)).alias("block"), F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lists = rows.groupBy("block").applyInArrow(_lists(order, bits), "block long, n int, part long, low binary, counts binary")
     totals = materialize(lists.groupBy("n", "part").applyInPandas(_totals, "block long, n int, part long, totals binary"), "totals")
+    del lists
+    free_shuffles(docs.sparkSession)  # the lists, and the first reading of the texts
     schema = T.StructType([T.StructField("id", docs.schema[id].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("n_seen", T.LongType())])
     found = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scores(order, backoff, words), schema)
     return found.withColumnRenamed("id", id)
