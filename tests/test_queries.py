@@ -33,6 +33,13 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
+def test_dense_grid_sums_every_event(spark, sf, duck):
+    got = QUERIES["pivot_dense_all"](spark, sf).toPandas()
+    total, users, days = duck.sql("select sum(value), count(distinct user_id), count(distinct ts::date) from events").fetchall()[0]
+    assert got.amount.sum() == pytest.approx(total) and len(got) == users * days
+    assert (got.amount == 0).any()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -333,6 +333,16 @@ def pivot_dense(spark, d):
     return stats.dense(found, grid, ["grp", "event_type"], "amount")
 
 
+@query("""WITH g AS (SELECT DISTINCT user_id FROM events), t AS (SELECT DISTINCT ts::DATE::VARCHAR AS day FROM events), c AS (SELECT user_id, ts::DATE::VARCHAR AS day, round(sum(value), 2) AS amount FROM events GROUP BY ALL)
+SELECT user_id, day, coalesce(amount, 0) AS amount FROM g CROSS JOIN t LEFT JOIN c USING (user_id, day)""")
+def pivot_dense_all(spark, d):
+    """Every event counts; the zero cells are days without an event of the user."""
+    e = _t(spark, d, "events").select("user_id", F.to_date("ts").cast("string").alias("day"), "value")
+    grid = e.select("user_id").distinct().crossJoin(e.select("day").distinct())  # users by a few days
+    found = e.groupBy("user_id", "day").agg(F.round(F.sum("value"), 2).alias("amount"))
+    return stats.dense(found, grid, ["user_id", "day"], "amount")
+
+
 @query("""WITH d AS (SELECT * FROM (VALUES ('click', 12.5::DOUBLE), ('error', 8.0::DOUBLE), ('none', 10.0::DOUBLE)) d(date, daylight)), s AS (SELECT CASE WHEN user_id % 4 > 0 THEN 'z' || user_id % 4 END AS zone, event_type, value FROM events),
 e AS (SELECT zone, date, daylight, CASE WHEN event_type = date THEN value / 10 ELSE 0 END AS h FROM s CROSS JOIN d),
 a AS (SELECT NULL AS zone, date, daylight, count(*) AS n, avg(h) AS m FROM e GROUP BY date, daylight UNION ALL SELECT zone, date, daylight, count(*), avg(h) FROM e WHERE zone IS NOT NULL GROUP BY zone, date, daylight)
