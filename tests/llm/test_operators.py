@@ -136,6 +136,12 @@ def test_backoff_equals_its_definition(spark, order):
         assert got[i].n_words == len(w) and got[i].log_score == pytest.approx(want)
 
 
+def test_order_of_three_counts_longer_contexts(spark, sf):
+    two, three = ({r.doc_id: r for r in registry.queries()[q](spark, sf).collect()} for q in ("op4_lm_score", "op4_lm_score_order3"))
+    assert two.keys() == three.keys() and all(two[i].n_words == three[i].n_words and two[i].n_seen >= three[i].n_seen for i in two)
+    assert sum(r.n_seen for r in three.values()) > 0 and any(two[i].log_score != three[i].log_score for i in two)
+
+
 # toxicity
 
 

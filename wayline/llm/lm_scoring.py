@@ -154,12 +154,17 @@ def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", ord
     return found.withColumnRenamed("id", id)
 
 
-def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = score_documents(table(spark, sf_dir, "documents"))
+def op4_lm_score(spark: SparkSession, sf_dir: str, order: int = ORDER) -> DataFrame:
+    found = score_documents(table(spark, sf_dir, "documents"), order=order)
     per_word = F.coalesce(F.try_divide(F.col("log_score"), F.col("n_words")), F.lit(0.0))
     return found.select("doc_id", "n_words", "n_seen", F.round("log_score", 3).alias("log_score"), F.round(per_word, 6).alias("log_score_per_word"))
 
 
+def op4_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with contexts of up to two words."""
+    return op4_lm_score(spark, sf_dir, order=3)
+
+
 OP4_SQL = r"""
 WITH l AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents

@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_nearest_neighbours": nearest.op2_nearest_neighbours,
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_lm_score": lm_scoring.op4_lm_score,
+        "op4_lm_score_order3": lm_scoring.op4_lm_score_order3,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_near_dedup": near_dedup.op7_near_dedup,
