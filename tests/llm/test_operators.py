@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -162,6 +163,30 @@ def test_neighbours_are_exact_and_held_out_rows_are_told(spark):
     assert right >= 0.75 * sum(r.predicted for r in got) and right >= 0.85 * sum(r.toxic == 1 for r in got)
 
 
+def test_texts_without_chosen_words_meet_such_examples_on_all_words(spark):
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} text number{i} of{i} these", i % 2) for i in range(0, 60)]
+    rows += [(101, "quartz zebra never seen elsewhere", 1), (103, "lagoon otter never seen elsewhere", 0)]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert {101, 103} <= {r[0] for r in learned}
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, rows[-2][1]), (1001, rows[-1][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 0, r[2]) for r in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, labels).collect()}
+    assert (got[1000].evidence[0].doc_id, got[1000].evidence[0].cosine) == (101, 1.0) and got[1000].score > toxicity.THRESHOLD
+    assert (got[1001].evidence[0].doc_id, got[1001].evidence[0].cosine) == (103, 1.0) and got[1001].score < got[1000].score
+    index = toxicity.learn(docs, labels)
+    whole, texts = index.whole, [r[1] for r in rows]
+    full = np.zeros((len(whole.ids), len(whole.terms)))
+    for t in range(len(whole.terms)):
+        part = slice(whole.starts[t], whole.starts[t + 1])
+        full[whole.place[part], t] = whole.weight[part]
+    for text, (places, cosines) in zip(texts, whole.nearest(texts), strict=True):
+        tf = Counter(whole.terms[w] for w in text.split() if w in whole.terms)
+        q = np.zeros(full.shape[1])
+        q[list(tf)] = whole.unit(np.array(list(tf)), np.array(list(tf.values())))
+        want = np.sort(full @ q)[::-1][: toxicity.NEAREST]
+        assert np.allclose(cosines, want[want > 1e-6], atol=2e-6)
+
+
 def test_toxicity_on_ugly_rows(spark, ugly, nothing):
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 12)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     got = toxicity.score_toxicity(ugly, labels).collect()

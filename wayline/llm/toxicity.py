@@ -3,16 +3,20 @@
 Learning, on bounded data only:
   1. of the labelled rows that may be learned from, EXAMPLES of each class are taken in hash order of their id;
   2. TERMS words are chosen among theirs, those that the chi-square test ties most to the toxic class;
-  3. the document frequency of each chosen word is counted over all documents;
+  3. the document frequency of each word of the examples is counted over all documents;
   4. each example becomes a unit vector of (1 + ln tf) * idf over the chosen words. The examples are dealt in blocks
      of similar ones; the index holds, by block and word, the postings and their largest weight. At most
-     2 * EXAMPLES rows of at most TERMS entries, so the index can be broadcast whatever the corpus holds.
+     2 * EXAMPLES rows of at most TERMS entries, so the index can be broadcast whatever the corpus holds;
+  5. a second index holds the examples without chosen words as unit vectors over all their words, for texts without
+     chosen words; so every example is in one of the two.
 Scoring, for every whole text: the blocks' upper bounds order the search, the best blocks set a threshold, and every
 block whose bound reaches it is scored, so the NEAREST neighbours are exact. Each votes with the square of its
 cosine, times what its class lost when examples were taken, plus a small vote of the overall toxic rate; so a score
-estimates the toxic share among such documents. The neighbours are returned as evidence.
+estimates the toxic share among such documents. The neighbours are returned as evidence. A text without chosen words
+meets the second index instead, with cosines of 6 digits and the toxic share of its examples for the small vote.
 
-Cases: a null text is empty; a text without chosen words gets the toxic share among the examples without any;
+Cases: a null text is empty; a text without a word of any example gets the toxic share among the examples without
+chosen words;
 no labelled rows give score 0; ties between neighbours go to the earlier example in hash order; a label that is
 null is not learned; of differing labels for one id the higher counts; texts of any length are read whole;
 repeated rows each give a row; an empty table gives an empty table; further columns are ignored.
@@ -42,6 +46,8 @@ LEAST_EXAMPLES, LEAST_CHI2 = 3, 10.83
 SMOOTHING = 0.05
 THRESHOLD = 0.3
 ROWS_AT_ONCE = 1000
+#: Texts that meet the second index at once; words in a larger share of the examples are laid out densely there.
+TEXTS_AT_ONCE, DENSE_SHARE = 128, 1 / 16
 
 words = re.compile(r"\w+").findall
 
@@ -50,11 +56,75 @@ def held_out(id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+class Whole:
+    """Unit vectors of examples over all their words, by word."""
+
+    def __init__(self, terms: list[str], idf: np.ndarray, rows: list[tuple[object, int, np.ndarray, np.ndarray]], votes: tuple[float, float]) -> None:
+        """rows: id, label, places of its words and their counts."""
+        self.terms, self.idf = {t: k for k, t in enumerate(terms)}, idf
+        self.ids = [r[0] for r in rows]
+        self.label = np.array([r[1] for r in rows], np.int8)
+        self.vote = np.array([votes[r[1]] for r in rows])
+        weights = [self.unit(r[2], r[3]).astype(np.float32) for r in rows]
+        at = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int32)
+        order = np.argsort(at, kind="stable")
+        self.place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(w) for w in weights])[order]
+        self.weight = np.concatenate(weights)[order] if rows else np.zeros(0, np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
+        self.dense: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"dense": None, "row": None}
+
+    def unit(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(tf)) * self.idf[at]
+        return w / np.sqrt(w @ w) if len(w) else w
+
+    def open(self) -> np.ndarray:
+        """The weights of the frequent words by word and example, laid out where they are used; and the row of each word (-1: none)."""
+        if self.dense is None:
+            sizes = np.diff(self.starts)
+            often = np.flatnonzero(sizes > len(self.ids) * DENSE_SHARE)
+            self.row = np.full(len(sizes), -1)
+            self.row[often] = np.arange(len(often))
+            dense = np.zeros((len(often), len(self.ids)), np.float32)
+            for k, t in enumerate(often):
+                part = slice(self.starts[t], self.starts[t + 1])
+                dense[k, self.place[part]] = self.weight[part]
+            self.dense = dense
+        return self.dense
+
+    def nearest(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the places and cosines of the nearest examples with a positive cosine, nearest first."""
+        dense = self.open()
+        for begin in range(0, len(texts), TEXTS_AT_ONCE):
+            part, rare = texts[begin : begin + TEXTS_AT_ONCE], []
+            queries = np.zeros((len(part), len(dense)), np.float32)
+            for k, text in enumerate(part):
+                tf = Counter([self.terms[w] for w in words(text.lower()) if w in self.terms])
+                at = np.fromiter(tf, np.int64, len(tf))
+                w = self.unit(at, np.fromiter(tf.values(), np.int64, len(tf)))
+                row = self.row[at]
+                queries[k, row[row >= 0]] = w[row >= 0]
+                rare.append((at[row < 0], w[row < 0]))
+            for scores, (at, w) in zip(queries @ dense, rare, strict=True):
+                sizes = self.starts[at + 1] - self.starts[at]
+                ends = np.cumsum(sizes)
+                where = np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+                scores = scores + np.bincount(self.place[where], self.weight[where] * np.repeat(w, sizes), len(scores))
+                floor = np.partition(scores, -NEAREST)[-NEAREST] if len(scores) >= NEAREST else 0.0
+                places = np.flatnonzero((scores >= floor - 1e-6) & (scores > 1e-6))
+                found = np.minimum(np.round(scores[places].astype(np.float64), 6), 1.0)
+                best = np.lexsort((places, -found))[:NEAREST]
+                yield places[best], found[best]
+
+
 class Index:
     """Unit vectors of examples, by block and word, with the largest weight of each block and word."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, rows: list[tuple[object, int, dict[int, float]]], votes: tuple[float, float]) -> None:
+    def __init__(self, terms: list[str], idf: np.ndarray, rows: list[tuple[object, int, dict[int, float]]], votes: tuple[float, float], whole: Whole) -> None:
         """rows: id, label, weights by word; votes: what an example of class 0 and of class 1 stands for."""
+        self.whole = whole
         self.terms, self.idf = {t: k for k, t in enumerate(terms)}, idf
         total = votes[0] * sum(not r[1] for r in rows) + votes[1] * sum(r[1] for r in rows)
         self.rate = votes[1] * sum(r[1] for r in rows) / total if total else 0.0
@@ -82,8 +152,8 @@ class Index:
             self.most = self.by_block.max(axis=2)
         return self.by_block
 
-    def share(self, toxic: float, all: float) -> float:
-        return (toxic + SMOOTHING * self.rate) / (all + SMOOTHING)
+    def share(self, toxic: float, all: float, rate: float | None = None) -> float:
+        return (toxic + SMOOTHING * (self.rate if rate is None else rate)) / (all + SMOOTHING)
 
     def nearest(self, query: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the nearest examples with a positive cosine, nearest first. query: unit weights by word."""
@@ -116,15 +186,22 @@ class Index:
         norm = math.sqrt(sum(w * w for _, w in weights))
         return [(t, w / norm) for t, w in weights]
 
-    def score(self, text: str) -> tuple[float, list[tuple[object, int, float]]]:
-        """The score and its evidence: id, label and cosine of the nearest examples."""
-        query = self.vector(text)
-        if not query or not self.ids:
-            return float(self.without), []
-        places, cosines = self.nearest(query)
-        vote = self.vote[places] * cosines**2
-        evidence = [(self.ids[p], int(self.label[p]), float(c)) for p, c in zip(places, cosines, strict=True)]
-        return float(min(1.0, self.share(float(vote[self.label[places] == 1].sum()), float(vote.sum())))), evidence
+    def judged(self, of: Index | Whole, rate: float, places: np.ndarray, cosines: np.ndarray) -> tuple[float, list[tuple[object, int, float]]]:
+        vote = of.vote[places] * cosines**2
+        evidence = [(of.ids[p], int(of.label[p]), float(c)) for p, c in zip(places, cosines, strict=True)]
+        return float(min(1.0, self.share(float(vote[of.label[places] == 1].sum()), float(vote.sum()), rate))), evidence
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[object, int, float]]]]:
+        """For each text the score and its evidence: id, label and cosine of the nearest examples."""
+        out: list = [None] * len(texts)
+        for k, text in enumerate(texts):
+            query = self.vector(text)
+            if query and self.ids:
+                out[k] = self.judged(self, self.rate, *self.nearest(query))
+        rest = [k for k, found in enumerate(out) if found is None]
+        for k, (places, cosines) in zip(rest, self.whole.nearest([texts[k] for k in rest]), strict=True):
+            out[k] = self.judged(self.whole, self.without, places, cosines) if len(places) else (float(self.without), [])
+        return out
 
 
 def choose_examples(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> tuple[DataFrame, tuple[float, float]]:
@@ -138,7 +215,9 @@ def choose_examples(docs: DataFrame, labels: DataFrame, label: str, examples: in
     return materialize(chosen, "examples"), votes
 
 
-def choose_terms(examples: DataFrame, terms: int) -> list[str]:
+def choose_terms(examples: DataFrame, terms: int) -> tuple[list[str], list[str]]:
+    """The chosen words, and all others of the examples."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())
         for batch in batches:
@@ -150,10 +229,12 @@ def choose_terms(examples: DataFrame, terms: int) -> list[str]:
     n = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     all_clean, all_toxic = float(n.get(0, 0)), float(n.get(1, 0))
     found = examples.select("label", "text").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").cast("double").alias("b"), F.sum("toxic").cast("double").alias("a"))
+    found = materialize(found, "terms")
     a, b, c, d = F.col("a"), F.col("b"), all_toxic - F.col("a"), all_clean - F.col("b")
     chi2 = F.try_divide((all_toxic + all_clean) * F.pow(a * d - b * c, 2), (a + b) * (c + d) * (a + c) * (b + d))
     ranked = found.filter(a + b >= LEAST_EXAMPLES).filter(a * all_clean > b * all_toxic).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-    return [r["term"] for r in ranked.orderBy(F.desc("chi2"), "term").limit(terms).collect()]
+    names = [r["term"] for r in ranked.orderBy(F.desc("chi2"), "term").limit(terms).collect()]
+    return names, sorted({r["term"] for r in found.select("term").collect()} - set(names))
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
@@ -174,21 +255,27 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[s
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Index:
     chosen, votes = choose_examples(docs, labels, label, examples)
-    names = choose_terms(chosen, terms)
-    n, df = document_frequencies(docs, names) if names else (0, {})
-    idf = np.array([math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in names])
-    at = {t: k for k, t in enumerate(names)}
+    names, others = choose_terms(chosen, terms)
+    every = names + others
+    n, df = document_frequencies(docs, every) if every else (0, {})
+    idf = np.array([math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in every])
+    at = {t: k for k, t in enumerate(every)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tf = [Counter(at[w] for w in words(t.lower()) if w in at) for t in batch.column(3).to_pylist()]
-            lists = [pa.array([list(x) for x in tf], pa.list_(pa.int32())), pa.array([list(x.values()) for x in tf], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *lists], names=["doc_id", "label", "at", "terms", "tf"])
+            tf = [Counter(at[w] for w in words(t.lower())) for t in batch.column(3).to_pylist()]
+            packed = [pa.array([np.array(list(v), np.int32).tobytes() for v in each], pa.binary()) for each in (tf, [x.values() for x in tf])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *packed], names=["doc_id", "label", "at", "terms", "tf"])
 
-    schema = T.StructType([chosen.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("at", T.StringType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("tf", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([chosen.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("at", T.StringType()), T.StructField("terms", T.BinaryType()), T.StructField("tf", T.BinaryType())])
     got = sorted(chosen.select("doc_id", "label", "at", "text").mapInArrow(vectors, schema).collect(), key=lambda r: (r["at"], r["terms"]))
-    rows = [(r["doc_id"], r["label"], {t: (1 + math.log(n)) * float(idf[t]) for t, n in sorted(zip(r["terms"], r["tf"], strict=True))}) for r in got]
-    return Index(names, idf, rows, votes)
+    whole = [(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.int32), np.frombuffer(r["tf"], np.int32)) for r in got]
+    rows = []
+    for i, y, t, c in whole:
+        there = t < len(names)
+        rows.append((i, y, {t: (1 + math.log(n)) * float(idf[t]) for t, n in sorted(zip(t[there].tolist(), c[there].tolist(), strict=True))}))
+    plain = [w for w, r in zip(whole, rows, strict=True) if not r[2]]
+    return Index(names, idf[: len(names)], rows, votes, Whole(every, idf, plain, votes))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,11 +285,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", docs.schema[id].dataType), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = index.value.score
+        scores = index.value.scores
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(at, ROWS_AT_ONCE)
-                got = [score(t or "") for t in rows.column(1).to_pylist()]
+                got = scores([t or "" for t in rows.column(1).to_pylist()])
                 kind = pa.list_(pa.struct([("doc_id", rows.column(0).type), ("label", pa.int32()), ("cosine", pa.float64())]))
                 shown = pa.array([[{"doc_id": i, "label": y, "cosine": c} for i, y, c in e] for _, e in got], kind)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s for s, _ in got], pa.float64()), shown], names=[id, "score", "evidence"])
@@ -218,11 +305,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = index.value.score
+        scores = index.value.scores
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(start, ROWS_AT_ONCE)
-                yield rows.filter(pa.array([score(t or "")[0] < threshold for t in rows.column(at).to_pylist()], pa.bool_()))
+                yield rows.filter(pa.array([score < threshold for score, _ in scores([t or "" for t in rows.column(at).to_pylist()])], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
