@@ -53,6 +53,16 @@ def test_corridor_from_placemarks(spark, tmp_path):
     assert {r.zone: r.max_gradient_pct for r in stats.elevation_stats(p).collect()}[None] > 3
 
 
+def test_folders_at_any_depth(spark, tmp_path):
+    for depth in (1, 4, 5, 11):
+        inner = ""
+        for k in range(depth, 0, -1):
+            inner = f"<Folder><name>f{k}</name><Placemark><name>p{k}</name><Point><coordinates>{k},1</coordinates></Point></Placemark>{inner}</Folder>"
+        (tmp_path / f"{depth}.kml").write_text(f"<kml><Document>{inner}</Document></kml>", encoding="utf-8")
+        got = readers.read_placemarks(spark, str(tmp_path / f"{depth}.kml")).collect()
+        assert sorted((r.folder, r.name, r.coords[0].lon) for r in got) == sorted((f"f{k}", f"p{k}", float(k)) for k in range(1, depth + 1))
+
+
 def test_survey_csv(spark, tmp_path):
     (tmp_path / "s.csv").write_text('t,n,e,q1,q2\n1,,,"a\nb",x\n,,,,\n2,,,c\n', encoding="utf-8")
     got = readers.read_survey(spark, str(tmp_path / "s.csv"), 5).orderBy("row_idx").collect()

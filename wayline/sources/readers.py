@@ -12,27 +12,24 @@ from wayline.functions import geo, text
 
 _GEOMETRIES = "Point: STRUCT<coordinates: STRING>, LineString: STRUCT<coordinates: STRING>, Polygon: STRUCT<outerBoundaryIs: STRUCT<LinearRing: STRUCT<coordinates: STRING>>>"
 PLACEMARK = f"STRUCT<name: STRING, description: STRING, {_GEOMETRIES}, MultiGeometry: STRUCT<{_GEOMETRIES}>>"
-#: Folders may stand in folders; each level is read to this depth.
+#: Folders may stand in folders; so many levels are read at first, twice as many while folders remain below the last.
 DEPTH = 4
 COORDS = "array<struct<lon:double,lat:double>>"
 
 
 def _folder(depth: int) -> str:
-    inner = f", Folder: ARRAY<STRUCT<{_folder(depth - 1)}>>" if depth > 1 else ""
+    inner = f", Folder: ARRAY<STRUCT<{_folder(depth - 1)}>>" if depth > 1 else ", Folder: ARRAY<STRUCT<name: STRING>>"
     return f"name: STRING, Placemark: ARRAY<{PLACEMARK}>{inner}"
 
 
-def read_folders(spark: SparkSession, path: str) -> DataFrame:
-    """folder, placemark of every folder at any depth down to DEPTH, a folder without placemarks as one null row."""
-    found = spark.read.format("xml").option("rowTag", "Folder").option("ignoreNamespace", "true").option("ignoreSurroundingSpaces", "false").schema(_folder(DEPTH).replace(": ", " ", 1).replace(", Placemark: ", ", Placemark ").replace(", Folder: ", ", Folder ", 1)).load(path)
-    out = None
-    level = found
-    for k in range(DEPTH):
-        part = level.select(F.col("name").alias("folder"), F.col("Placemark").alias("placemarks"))
-        out = part if out is None else out.unionByName(part)
-        if k < DEPTH - 1:
-            level = level.select(F.explode("Folder").alias("f")).select("f.*")
-    return out
+def read_folders(spark: SparkSession, path: str, depth: int = DEPTH) -> DataFrame:
+    """folder, placemark of every folder at any depth, a folder without placemarks as one null row."""
+    found = spark.read.format("xml").option("rowTag", "Folder").option("ignoreNamespace", "true").option("ignoreSurroundingSpaces", "false").schema(_folder(depth).replace(": ", " ", 1).replace(", Placemark: ", ", Placemark ").replace(", Folder: ", ", Folder ", 1)).load(path)
+    out, below = found.select(F.col("name").alias("folder"), F.col("Placemark").alias("placemarks")), F.coalesce("Folder", F.array())
+    for _ in range(depth - 1):
+        out = out.unionByName(found.select(F.explode(below).alias("f")).select(F.col("f.name").alias("folder"), F.col("f.Placemark").alias("placemarks")))
+        below = F.flatten(F.transform(F.filter(below, lambda f: f["Folder"].isNotNull()), lambda f: f["Folder"]))
+    return out if found.filter(F.size(below) > 0).isEmpty() else read_folders(spark, path, 2 * depth)
 
 
 def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
