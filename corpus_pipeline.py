@@ -53,7 +53,8 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: SQL can express neither the nearest-neighbour scores nor the sketches nor the encoder; tests/llm holds the whole against a brute-force version.
+#: SQL can express neither the nearest-neighbour scores nor the sketches nor the encoder; tests/llm holds both
+#: dedup stages against plain versions, toxicity against op5_toxicity, mixing against mixing.mix and 50 rows' ids against the library.
 ORACLE_SQL = None
 
 
