@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: A run of white space, and a word, as every operator here reads them.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Folder names of the tables that materialize() wrote.
+_made: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,9 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again. It goes when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    own = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{own}"
+    _made.add(own)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -70,8 +74,8 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the files of a table that materialize() wrote and nothing reads any more."""
+    """Delete the files of a table that materialize() wrote and nothing reads any more; other tables stay."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for path in {p for p in (f.rsplit("/", 1)[0] for f in df.inputFiles()) if p.rsplit("/", 1)[-1] in _made}:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

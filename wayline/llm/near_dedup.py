@@ -7,8 +7,8 @@ and two sketches agree in a share of coordinates that is concentrated about the
 
 Banding: BANDS runs of ROWS_IN_BAND coordinates; sets of similarity 0.75 share a band but for 1 in 100,000.
 
-Verification: sets that are equal form one class and stand as one node. In each bucket every node is held against one
-pivot on the full sets; links join nodes into components; what still stands apart in a bucket is held against another
+Verification: rows whose word sequences are equal (by SHA-256) form one class and stand as one node, numbered apart from
+their ids. In each bucket every node is held against one pivot on the full sets of shingles, as words and not as hashes; links join nodes into components; what still stands apart in a bucket is held against another
 pivot, and in the end against the nodes of the bucket in another component that it could be linked with. Two nodes x
 and y held against one pivot p share shingles inside p, at most |x & p|, and outside it. Of the latter, one that at
 most RARE such nodes have is rare. Two nodes that share a rare shingle are found by it, a row meeting RARE others at
@@ -18,22 +18,25 @@ they differ from the pivot, so this leaves few pairs. So within a bucket every t
 links, compared, or known to be too far apart; a bucket of n copies takes about n comparisons, no pair list of a
 bucket is made, and no bucket is cut.
 
-Cases: a null text is empty; a set without shingles is linked with nothing; rows of equal texts are one node; rows
-that share an id are one node, and rows with a null id link with nothing but share a class; texts of any length are read
-whole; an empty table gives an empty table; further columns are ignored, or carried untouched by drop_near_duplicates.
+Cases: a null text is empty; a set without shingles is linked with nothing; rows that share an id, and rows without one,
+are rows of their own and link by their texts; a component without any id has a null component_id; kept tells whether a
+row's id is its component's, so it holds for each of several rows of that id, or without ids; drop_near_duplicates keeps
+exactly one row of a component; texts of any length are read whole; an empty table gives an empty table; further columns
+are ignored, or carried untouched by drop_near_duplicates. n_shingles counts 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm._common import forget, internal, materialize, table
+from wayline.llm._common import SPACES, WORD, forget, internal, materialize, table, whole_text
 from wayline.llm._hashing import mix, slices, window_hashes, word_hashes
 from wayline.llm.components import components, merge
 
@@ -51,6 +54,23 @@ _U = np.uint64
 _ROUND = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * _U(0xA24BAED4963EE407))
 _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0x9FB21C651E98DF25))
 _OPEN = _U(0xFFFFFFFFFFFFFFFF)
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER = str.maketrans(_UPPER, _UPPER.lower())
+_words = re.compile(WORD).findall
+
+
+def words_digest(text: str = "text") -> Column:
+    """SHA-256 of the words that shingles are made of, A-Z in lower case, joined by one space; null without words."""
+    words = F.btrim(F.regexp_replace(F.translate(whole_text(text), _UPPER, _UPPER.lower()), SPACES, " "), F.lit(" "))
+    return F.when(words != "", F.unhex(F.sha2(words.cast("binary"), 256)))
+
+
+def shingles(text: str, size: int = SHINGLE) -> frozenset[tuple[str, ...]]:
+    """The set itself, of words."""
+    words = _words(text.translate(_LOWER))
+    if len(words) < size:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(zip(*(words[k:] for k in range(size)), strict=False))
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -106,7 +126,6 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = batch.slice(start, 2000)
             keys = np.zeros((rows.num_rows, BANDS), np.uint64)
             sizes = np.zeros(rows.num_rows, np.int64)
-            marks = np.zeros((2, rows.num_rows), np.uint64)
             small, large = [], []
 
             def sketched(part: list[tuple[int, np.ndarray]], keys: np.ndarray = keys) -> None:
@@ -114,11 +133,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keys[[k for k, _ in part]] = band_keys(sketches([s for _, s in part]))
 
             held = 0
-            for k, s in enumerate(shingle_sets(rows.column(1))):
+            for k, s in enumerate(shingle_sets(rows.column(2))):
                 sizes[k] = len(s)
                 if not len(s):
                     continue
-                marks[:, k] = mix(s).sum(), mix(s ^ _U(0x5851F42D4C957F2D)).sum()
                 (small if len(s) < SMALL else large).append((k, s))
                 held += len(s)
                 if held > 200_000:
@@ -130,24 +148,24 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.zeros(rows.num_rows + 1, np.int32)
             ends[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
             bands = pa.ListArray.from_arrays(pa.array(ends), _signed(keys[filled].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes), _signed(marks[0]), _signed(marks[1]), bands], names=["id", "n_shingles", "mark1", "mark2", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes), bands], names=["id", "digest", "n_shingles", "bands"])
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
+def similar(a: frozenset, b: frozenset) -> bool:
+    shared = len(a & b)
     return 100 * shared >= LEAST_PERCENT * (len(a) + len(b) - shared)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pivot: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))
+    pivot: tuple[str, frozenset] = ("", frozenset())
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
             rows = batch.slice(start, 1000)
             good = []
-            for text, other in zip(rows.column(2).to_pylist(), shingle_sets(rows.column(3)), strict=True):
+            for text, other in zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
                 if pivot[0] != text:
-                    pivot = text, next(shingle_sets(pa.array([text])))
-                good.append(similar(pivot[1], other))
+                    pivot = text, shingles(text)
+                good.append(similar(pivot[1], shingles(other)))
             kept = rows.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
@@ -200,8 +218,9 @@ def _possible(named: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame
     two = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "size", "most", "most_wide")]
     far = F.col("component_x") != F.col("component_y")
     enough = lambda most: 7 * F.least(f"{most}_x", f"{most}_y") >= 3 * (F.col("size_x") + F.col("size_y"))
-    apart = known.filter("component <> main").select("key", *two("x"))
-    in_bucket = apart.join(known.select("key", *two("y")), "key").filter(far & enough("most_wide"))
+    wide = known.filter("4 * most_wide >= 3 * size")
+    apart = wide.filter("component <> main").select("key", *two("x"))
+    in_bucket = apart.join(wide.select("key", *two("y")), "key").filter(far & enough("most_wide"))
     nodes = known.select("a", "node", "component", "size", "most", "most_wide").distinct()
     rare = others.filter(F.col("n") <= RARE).select("a", "shingle", F.col("b").alias("node")).join(nodes, ["a", "node"])
     by_shingle = rare.select("a", "shingle", *two("x")).join(rare.select("a", "shingle", *two("y")), ["a", "shingle"]).filter((F.col("node_x") < F.col("node_y")) & far & enough("most"))
@@ -242,32 +261,59 @@ def link_buckets(members: DataFrame, texts: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_shingles, component_id and kept of every row of docs."""
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+def _classes(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Of every row id, digest (null without words) and n_shingles; and of every class digest, n (rows), least (id), node and
+    root, the node that stands for its component, and component_id."""
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).withColumn("digest", words_digest())
     schema = T.StructType([
-        T.StructField("id", docs.schema[id].dataType), T.StructField("n_shingles", T.LongType()),
-        T.StructField("mark1", T.LongType()), T.StructField("mark2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("id", docs.schema[id].dataType), T.StructField("digest", T.BinaryType()),
+        T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
     ])
-    signed = materialize(rows.mapInArrow(_signatures, schema), "signatures")
-    # The first row of a class stands for it.
-    classes = materialize(signed.filter("n_shingles > 0").groupBy("mark1", "mark2").agg(F.min("id").alias("node"), F.min_by("bands", "id").alias("bands")), "classes")
-    keyed = classes.filter("node is not null").select("node", F.explode("bands").alias("key"))
+    signed = materialize(rows.select("id", "digest", "text").mapInArrow(_signatures, schema), "signatures")
+    grouped = signed.filter("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.first("bands").alias("bands"))
+    classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = materialize(keyed.join(buckets, "key").select("key", "node").distinct(), "members")
-    texts = materialize(rows.join(members.select(F.col("node").alias("id")).distinct(), "id").select(F.col("id").alias("node"), "text"), "texts")
+    asked = classes.join(members.select("node").distinct(), "node").select("node", F.col("digest").alias("d"), "least")
+    there = rows.join(asked, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("least")))
+    texts = materialize(there.groupBy("node").agg(F.first("text").alias("text")), "texts")  # rows may share id and text
     labels = link_buckets(members, texts)
-    marked = signed.drop("bands").join(classes.select("mark1", "mark2", "node"), ["mark1", "mark2"], "left")
-    found = marked.join(labels, "node", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.coalesce("component", "node"))
+    known = classes.drop("bands")
+    linked = labels.join(known.select("node", "least"), "node")
+    roots = linked.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("node").alias("root"))).alias("r"))
+    of_node = linked.join(roots, "component").select("node", F.col("r.root").alias("root"), F.col("r.id").alias("component_id"))
+    named = known.join(of_node, "node", "left")
+    return signed.drop("bands"), named.select("digest", "n", "least", "node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, n_shingles, component_id and kept of every row of docs."""
+    rows, classes = _classes(docs, id, text)
+    found = rows.join(classes.select("digest", "component_id"), "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return found.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each component, with their own columns."""
-    name = internal(docs, "dropped")[0]
-    dropped = near_duplicates(docs, id, text).filter(~F.col("kept")).select(F.col(id).alias(name)).distinct()
-    return docs.join(dropped, F.col(id) == F.col(name), "left_anti").select(*docs.columns)
+    """The rows of docs that stay, one of each component, with their own columns: of those of its smallest id one."""
+    digest, of, least, rank = internal(docs, "digest", "of", "least", "rank")
+    rows, classes = _classes(docs, id, text)
+    classes = materialize(classes, "decided")
+    several = classes.filter("n > 1 and node = root").select("digest", "least")
+    same = rows.join(several, "digest").filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("digest", "least").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    same = materialize(same, "same")  # classes whose smallest id several rows have
+    marked = docs.withColumn(digest, words_digest(text))
+    # Of a class with other rows or in a component with others, the row that stays; the rest of the classes are not listed.
+    listed = classes.withColumn("stays", F.col("node") == F.col("root")).filter("n > 1 or not stays").join(same.select("digest", F.lit(True).alias("again")), "digest", "left")
+    listed = listed.select(F.col("digest").alias(of), F.struct("stays", "again", F.col("least").alias("id")).alias(least))
+    of_class = F.col(least)
+    found = marked.join(listed, F.col(digest) == F.col(of), "left")
+    out = found.filter(F.col(of).isNull() | (of_class["stays"] & of_class["again"].isNull() & F.col(id).eqNullSafe(of_class["id"]))).select(*docs.columns)
+    if same.isEmpty():
+        return out
+    twice = marked.join(same.toDF(of, least), (F.col(digest) == F.col(of)) & F.col(id).eqNullSafe(F.col(least)))
+    return out.unionAll(twice.withColumn(rank, F.row_number().over(Window.partitionBy(digest).orderBy(digest))).filter(F.col(rank) == 1).select(*docs.columns))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
