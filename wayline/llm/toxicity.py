@@ -1,25 +1,24 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Learning, on bounded data only:
-  1. of the labelled rows that may be learned from, EXAMPLES of each class are taken in hash order of their id;
-  2. TERMS words are chosen among theirs, those that the chi-square test ties most to the toxic class;
-  3. the document frequency of each word of the examples is counted over all documents;
-  4. each example becomes a unit vector of (1 + ln tf) * idf over the chosen words. The examples are dealt in blocks
-     of similar ones; the index holds, by block and word, the postings and their largest weight. At most
-     2 * EXAMPLES rows of at most TERMS entries, so the index can be broadcast whatever the corpus holds;
-  5. a second index holds the examples without chosen words as unit vectors over all their words, for texts without
-     chosen words; so every example is in one of the two.
-Scoring, for every whole text: the blocks' upper bounds order the search, the best blocks set a threshold, and every
-block whose bound reaches it is scored, so the NEAREST neighbours are exact. Each votes with the square of its
-cosine, times what its class lost when examples were taken, plus a small vote of the overall toxic rate; so a score
-estimates the toxic share among such documents. The neighbours are returned as evidence. A text without chosen words
-meets the second index instead, with cosines of 6 digits and the toxic share of its examples for the small vote.
-
-Cases: a null text is empty; a text without a word of any example gets the toxic share among the examples without
-chosen words;
-no labelled rows give score 0; ties between neighbours go to the earlier example in hash order; a label that is
-null is not learned; of differing labels for one id the higher counts; texts of any length are read whole;
-repeated rows each give a row; an empty table gives an empty table; further columns are ignored.
+Learning:
+  1. of the labelled rows that may be learned from, EXAMPLES of each class are taken in hash order of their id, one text
+     for each id (the least, if documents share it). This is the only bound: 2 * EXAMPLES rows, whole texts, all words;
+  2. the document frequency of each word of the examples is counted over all documents;
+  3. a word weighs (1 + ln tf) * idf * (FLOOR + lean). lean is how much the word leans toxic among the examples: the
+     lower end of a confidence interval of the logarithm of its odds ratio, so 0 for a word that tells nothing. FLOOR lets
+     every word count, so texts without leaning words are compared on all they say, and others mostly on those;
+  4. each example becomes a unit vector over all its words. The examples are dealt in blocks of similar ones; the index
+     holds the postings of each word, and of frequent words the largest weight in each block.
+Scoring, for every whole text: postings of words that are not frequent are added up for all examples; with the largest
+weights of the frequent words they bound each block. The best blocks set a threshold, and every block whose bound
+reaches it is scored in full, so the NEAREST neighbours are exact. Each votes with the square of its cosine, times what
+its class lost when examples were taken, plus a small vote of the toxic rate among examples that like the text have, or
+lack, leaning words; so a score estimates the toxic share among such documents. The neighbours are returned as evidence.
+
+Cases: a null text is empty; a text without a word of any example gets that toxic rate; no labelled rows give score 0;
+ties between neighbours (cosines of 9 digits) go to the earlier example; a label that is null is not learned; of
+differing labels for one id the higher counts; texts of any length are read whole; repeated rows each give a row; an
+empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,16 +37,15 @@ from pyspark.sql import types as T
 from wayline.llm._common import materialize, table
 
 EXAMPLES = 4096
-TERMS = 1024
 NEAREST = 8
 BLOCK = 128
-#: A word must stand in so many examples and reach so large a chi-square (0.1 % level, one degree of freedom).
-LEAST_EXAMPLES, LEAST_CHI2 = 3, 10.83
+#: What every word weighs besides its lean, and the normal quantile of the lean's confidence interval (0.1 % level).
+FLOOR, QUANTILE = 0.02, 3.29
 SMOOTHING = 0.05
 THRESHOLD = 0.3
 ROWS_AT_ONCE = 1000
-#: Texts that meet the second index at once; words in a larger share of the examples are laid out densely there.
-TEXTS_AT_ONCE, DENSE_SHARE = 128, 1 / 16
+#: Texts that meet the index at once; words in a larger share of the examples are frequent.
+TEXTS_AT_ONCE, FREQUENT = 128, 1 / 16
 
 words = re.compile(r"\w+").findall
 
@@ -56,152 +54,108 @@ def held_out(id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-class Whole:
-    """Unit vectors of examples over all their words, by word."""
+class Index:
+    """Unit vectors of examples over all their words: postings by word, and of frequent words the weights by block with the
+    largest of each block."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, rows: list[tuple[object, int, np.ndarray, np.ndarray]], votes: tuple[float, float]) -> None:
-        """rows: id, label, places of its words and their counts."""
-        self.terms, self.idf = {t: k for k, t in enumerate(terms)}, idf
+    def __init__(self, terms: list[str], idf: np.ndarray, lean: np.ndarray, rows: list[tuple[object, int, np.ndarray, np.ndarray]], votes: tuple[float, float]) -> None:
+        """rows: id, label, places of its words and their counts; votes: what an example of class 0 and of class 1 stands for."""
+        self.terms, self.scale, self.leans = {t: k for k, t in enumerate(terms)}, idf * (FLOOR + lean), lean > 0
+        vectors = [self.unit(r[2], r[3]) for r in rows]
+        # Like beside like, so that the bounds of most blocks are low: by the word of largest weight.
+        order = sorted(range(len(rows)), key=lambda k: (int(rows[k][2][np.argmax(vectors[k])]), -float(vectors[k].max())) if len(vectors[k]) else (-1, 0.0))
+        rows, vectors = [rows[k] for k in order], [vectors[k] for k in order]
         self.ids = [r[0] for r in rows]
         self.label = np.array([r[1] for r in rows], np.int8)
         self.vote = np.array([votes[r[1]] for r in rows])
-        weights = [self.unit(r[2], r[3]).astype(np.float32) for r in rows]
+        leaning = np.array([bool(self.leans[r[2]].any()) for r in rows], bool)
+        self.rate = [self.share(float(self.vote[(leaning == k) & (self.label == 1)].sum()), float(self.vote[leaning == k].sum()), 0.0) for k in (False, True)]
         at = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int32)
-        order = np.argsort(at, kind="stable")
-        self.place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(w) for w in weights])[order]
-        self.weight = np.concatenate(weights)[order] if rows else np.zeros(0, np.float32)
+        by_term = np.argsort(at, kind="stable")
+        self.place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(v) for v in vectors])[by_term]
+        self.weight = np.concatenate(vectors)[by_term] if rows else np.zeros(0)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
         self.dense: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"dense": None, "row": None}
+        return self.__dict__ | {"dense": None, "row": None, "most": None}
 
     def unit(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[at]
+        w = (1 + np.log(tf)) * self.scale[at]
         return w / np.sqrt(w @ w) if len(w) else w
 
     def open(self) -> np.ndarray:
-        """The weights of the frequent words by word and example, laid out where they are used; and the row of each word (-1: none)."""
+        """The weights of the frequent words by block, word and place in the block, laid out where they are used."""
         if self.dense is None:
-            sizes = np.diff(self.starts)
-            often = np.flatnonzero(sizes > len(self.ids) * DENSE_SHARE)
+            sizes, blocks = np.diff(self.starts), -(-len(self.ids) // BLOCK)
+            often = np.flatnonzero(sizes > len(self.ids) * FREQUENT)
             self.row = np.full(len(sizes), -1)
             self.row[often] = np.arange(len(often))
-            dense = np.zeros((len(often), len(self.ids)), np.float32)
+            dense = np.zeros((len(often), blocks * BLOCK))
             for k, t in enumerate(often):
                 part = slice(self.starts[t], self.starts[t + 1])
                 dense[k, self.place[part]] = self.weight[part]
-            self.dense = dense
+            self.dense = np.ascontiguousarray(dense.reshape(len(often), blocks, BLOCK).transpose(1, 0, 2))
+            self.most = self.dense.max(axis=2).T if len(often) else np.zeros((0, blocks))
         return self.dense
 
-    def nearest(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each text the places and cosines of the nearest examples with a positive cosine, nearest first."""
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places and unit weights of the text's words that examples have."""
+        tf = Counter(map(self.terms.get, words(text.lower())))
+        tf.pop(None, None)
+        at = np.fromiter(tf, np.int64, len(tf))
+        return at, self.unit(at, np.fromiter(tf.values(), np.int64, len(tf)))
+
+    def nearest(self, texts: list[str]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+        """For each text whether it has leaning words, and the places and cosines of the nearest examples with a positive
+        cosine, nearest first."""
         dense = self.open()
+        blocks = len(dense)
         for begin in range(0, len(texts), TEXTS_AT_ONCE):
-            part, rare = texts[begin : begin + TEXTS_AT_ONCE], []
-            queries = np.zeros((len(part), len(dense)), np.float32)
+            part = texts[begin : begin + TEXTS_AT_ONCE]
+            queries, scores, leaning = np.zeros((len(part), self.most.shape[0])), np.zeros((len(part), blocks * BLOCK)), []
             for k, text in enumerate(part):
-                tf = Counter([self.terms[w] for w in words(text.lower()) if w in self.terms])
-                at = np.fromiter(tf, np.int64, len(tf))
-                w = self.unit(at, np.fromiter(tf.values(), np.int64, len(tf)))
+                at, w = self.vector(text)
+                leaning.append(bool(self.leans[at].any()))
                 row = self.row[at]
                 queries[k, row[row >= 0]] = w[row >= 0]
-                rare.append((at[row < 0], w[row < 0]))
-            for scores, (at, w) in zip(queries @ dense, rare, strict=True):
+                at, w = at[row < 0], w[row < 0]
                 sizes = self.starts[at + 1] - self.starts[at]
                 ends = np.cumsum(sizes)
                 where = np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
-                scores = scores + np.bincount(self.place[where], self.weight[where] * np.repeat(w, sizes), len(scores))
-                floor = np.partition(scores, -NEAREST)[-NEAREST] if len(scores) >= NEAREST else 0.0
-                places = np.flatnonzero((scores >= floor - 1e-6) & (scores > 1e-6))
-                found = np.minimum(np.round(scores[places].astype(np.float64), 6), 1.0)
+                scores[k] = np.bincount(self.place[where], self.weight[where] * np.repeat(w, sizes), blocks * BLOCK)
+            by_block = scores.reshape(len(part), blocks, BLOCK)
+            bound = by_block.max(axis=2) + queries @ self.most
+            full = np.zeros(bound.shape, bool)
+            first = np.zeros(bound.shape, bool)
+            np.put_along_axis(first, np.argpartition(-bound, min(4, blocks) - 1, axis=1)[:, :4] if blocks else np.zeros((len(part), 0), int), True, axis=1)
+            for wanted in (first, None):
+                if wanted is None:  # what is found so far, in part or in full, is a threshold for the bounds of the rest
+                    wanted = bound >= self.floors(scores)[:, None] * (1 - 1e-12)
+                for b in np.flatnonzero((wanted & ~full).any(axis=0)):
+                    k = np.flatnonzero(wanted[:, b] & ~full[:, b])
+                    by_block[k, b] += queries[k] @ dense[b]
+                full |= wanted
+            scores[~np.repeat(full, BLOCK, axis=1)] = 0.0
+            for one, row, floor in zip(leaning, scores, self.floors(scores), strict=True):
+                places = np.flatnonzero((row >= floor - 1e-9) & (row > 0))
+                found = np.minimum(np.round(row[places], 9), 1.0)
                 best = np.lexsort((places, -found))[:NEAREST]
-                yield places[best], found[best]
+                yield one, places[best], found[best]
 
+    def floors(self, scores: np.ndarray) -> np.ndarray:
+        """The NEAREST-th largest of each row."""
+        return np.partition(scores, -NEAREST, axis=1)[:, -NEAREST] if scores.shape[1] >= NEAREST else np.zeros(len(scores))
 
-class Index:
-    """Unit vectors of examples, by block and word, with the largest weight of each block and word."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, rows: list[tuple[object, int, dict[int, float]]], votes: tuple[float, float], whole: Whole) -> None:
-        """rows: id, label, weights by word; votes: what an example of class 0 and of class 1 stands for."""
-        self.whole = whole
-        self.terms, self.idf = {t: k for k, t in enumerate(terms)}, idf
-        total = votes[0] * sum(not r[1] for r in rows) + votes[1] * sum(r[1] for r in rows)
-        self.rate = votes[1] * sum(r[1] for r in rows) / total if total else 0.0
-        plain = [r for r in rows if not r[2]]
-        toxic = votes[1] * sum(r[1] for r in plain)
-        self.without = self.share(toxic, toxic + votes[0] * sum(not r[1] for r in plain))
-        # Like beside like, so that the bounds of most blocks are low: by the word of largest weight.
-        rows = sorted((r for r in rows if r[2]), key=lambda r: (max(r[2], key=lambda t: (r[2][t], -t)), -max(r[2].values())))
-        self.ids = [r[0] for r in rows]
-        self.label = np.array([r[1] for r in rows], np.int8)
-        self.vote = np.array([votes[r[1]] for r in rows])
-        self.blocks = -(-len(rows) // BLOCK)
-        self.postings = [(t, k, w / math.sqrt(sum(x * x for x in r[2].values()))) for k, r in enumerate(rows) for t, w in r[2].items()]
-        self.by_block: np.ndarray | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"by_block": None}
+    def share(self, toxic: float, all: float, rate: float) -> float:
+        return (toxic + SMOOTHING * rate) / (all + SMOOTHING)
 
-    def open(self) -> np.ndarray:
-        """The weights by word, block and place in the block, laid out where they are used; and the largest by word and block."""
-        if self.by_block is None:
-            self.by_block = np.zeros((len(self.terms), self.blocks, BLOCK))
-            t, k, w = (np.array(x) for x in zip(*self.postings, strict=True))
-            self.by_block[t, k // BLOCK, k % BLOCK] = w
-            self.most = self.by_block.max(axis=2)
-        return self.by_block
-
-    def share(self, toxic: float, all: float, rate: float | None = None) -> float:
-        return (toxic + SMOOTHING * (self.rate if rate is None else rate)) / (all + SMOOTHING)
-
-    def nearest(self, query: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the nearest examples with a positive cosine, nearest first. query: unit weights by word."""
-        weights = self.open()
-        terms, w = np.array([t for t, _ in query]), np.array([w for _, w in query])
-        bound = w @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[: int((bound > 0).sum())]
-        floor, at, seen, scores = 0.0, 0, [], np.zeros(0)
-        for size in (4, 12, len(order)):
-            part = order[at : at + size]
-            part = part[bound[part] >= floor * (1 - 1e-12)]  # the rest cannot reach what is already found
-            if not len(part):
-                break
-            at += size
-            seen.append(part)
-            scores = np.concatenate([scores, np.tensordot(w, weights[terms[:, None], part], 1).reshape(-1)])
-            if len(scores) >= NEAREST:
-                floor = float(np.partition(scores, -NEAREST)[-NEAREST])
-        good = np.flatnonzero((scores >= floor) & (scores > 0))
-        blocks = np.concatenate(seen) if seen else np.zeros(0, np.int64)
-        places, scores = blocks[good // BLOCK] * BLOCK + good % BLOCK, scores[good]
-        best = np.lexsort((places, -scores))[:NEAREST]
-        return places[best], scores[best]
-
-    def vector(self, text: str) -> list[tuple[int, float]]:
-        terms = self.terms
-        tf = Counter([terms[w] for w in words(text.lower()) if w in terms])
-        weights = [(t, (1 + math.log(n)) * self.idf[t]) for t, n in sorted(tf.items())]
-        norm = math.sqrt(sum(w * w for _, w in weights))
-        return [(t, w / norm) for t, w in weights]
-
-    def judged(self, of: Index | Whole, rate: float, places: np.ndarray, cosines: np.ndarray) -> tuple[float, list[tuple[object, int, float]]]:
-        vote = of.vote[places] * cosines**2
-        evidence = [(of.ids[p], int(of.label[p]), float(c)) for p, c in zip(places, cosines, strict=True)]
-        return float(min(1.0, self.share(float(vote[of.label[places] == 1].sum()), float(vote.sum()), rate))), evidence
-
-    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[object, int, float]]]]:
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[object, int, float]]]]:
         """For each text the score and its evidence: id, label and cosine of the nearest examples."""
-        out: list = [None] * len(texts)
-        for k, text in enumerate(texts):
-            query = self.vector(text)
-            if query and self.ids:
-                out[k] = self.judged(self, self.rate, *self.nearest(query))
-        rest = [k for k, found in enumerate(out) if found is None]
-        for k, (places, cosines) in zip(rest, self.whole.nearest([texts[k] for k in rest]), strict=True):
-            out[k] = self.judged(self.whole, self.without, places, cosines) if len(places) else (float(self.without), [])
-        return out
+        for leaning, places, cosines in self.nearest(texts):
+            vote, toxic = self.vote[places] * cosines**2, self.label[places] == 1
+            evidence = [(self.ids[p], int(self.label[p]), float(c)) for p, c in zip(places, cosines, strict=True)]
+            yield min(1.0, self.share(float(vote[toxic].sum()), float(vote.sum()), self.rate[leaning])), evidence
 
 
 def choose_examples(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> tuple[DataFrame, tuple[float, float]]:
@@ -210,13 +164,14 @@ def choose_examples(docs: DataFrame, labels: DataFrame, label: str, examples: in
     known = materialize(known.withColumn("at", F.md5(F.col("doc_id").cast("string").cast("binary"))), "known")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken = known.filter("label = 0").orderBy("at").limit(examples).unionAll(known.filter("label = 1").orderBy("at").limit(examples))
-    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id")
+    there = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(taken), "doc_id")
+    chosen = there.groupBy("doc_id", "label", "at").agg(F.min("text").alias("text"))
     votes = tuple(max(1.0, counts.get(c, 0) / examples) for c in (0, 1))
     return materialize(chosen, "examples"), votes
 
 
-def choose_terms(examples: DataFrame, terms: int) -> tuple[list[str], list[str]]:
-    """The chosen words, and all others of the examples."""
+def class_counts(examples: DataFrame) -> DataFrame:
+    """term, clean, toxic: of each word of the examples, how many of each class have it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())
@@ -226,15 +181,15 @@ def choose_terms(examples: DataFrame, terms: int) -> tuple[list[str], list[str]]
         every = list(by[0].keys() | by[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([by[0][w] for w in every], pa.int64()), pa.array([by[1][w] for w in every], pa.int64())], names=["term", "clean", "toxic"])
 
-    n = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    all_clean, all_toxic = float(n.get(0, 0)), float(n.get(1, 0))
-    found = examples.select("label", "text").mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").cast("double").alias("b"), F.sum("toxic").cast("double").alias("a"))
-    found = materialize(found, "terms")
-    a, b, c, d = F.col("a"), F.col("b"), all_toxic - F.col("a"), all_clean - F.col("b")
-    chi2 = F.try_divide((all_toxic + all_clean) * F.pow(a * d - b * c, 2), (a + b) * (c + d) * (a + c) * (b + d))
-    ranked = found.filter(a + b >= LEAST_EXAMPLES).filter(a * all_clean > b * all_toxic).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-    names = [r["term"] for r in ranked.orderBy(F.desc("chi2"), "term").limit(terms).collect()]
-    return names, sorted({r["term"] for r in found.select("term").collect()} - set(names))
+    found = examples.select("label", "text").mapInArrow(count, "term string, clean long, toxic long")
+    return found.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def leans(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> np.ndarray:
+    """How much words lean toxic: the lower end of the interval of ln(odds ratio), at least 0."""
+    a, b = toxic + 0.5, clean + 0.5
+    c, d = all_toxic - toxic + 0.5, all_clean - clean + 0.5
+    return np.maximum(0.0, np.log(a * d / (b * c)) - QUANTILE * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
@@ -253,10 +208,10 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[s
     return got.pop(None, 0), got
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Index:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> Index:
     chosen, votes = choose_examples(docs, labels, label, examples)
-    names, others = choose_terms(chosen, terms)
-    every = names + others
+    counts = class_counts(chosen).orderBy("term").collect()
+    every = [r["term"] for r in counts]
     n, df = document_frequencies(docs, every) if every else (0, {})
     idf = np.array([math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in every])
     at = {t: k for k, t in enumerate(every)}
@@ -269,13 +224,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
 
     schema = T.StructType([chosen.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("at", T.StringType()), T.StructField("terms", T.BinaryType()), T.StructField("tf", T.BinaryType())])
     got = sorted(chosen.select("doc_id", "label", "at", "text").mapInArrow(vectors, schema).collect(), key=lambda r: (r["at"], r["terms"]))
-    whole = [(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.int32), np.frombuffer(r["tf"], np.int32)) for r in got]
-    rows = []
-    for i, y, t, c in whole:
-        there = t < len(names)
-        rows.append((i, y, {t: (1 + math.log(n)) * float(idf[t]) for t, n in sorted(zip(t[there].tolist(), c[there].tolist(), strict=True))}))
-    plain = [w for w, r in zip(whole, rows, strict=True) if not r[2]]
-    return Index(names, idf[: len(names)], rows, votes, Whole(every, idf, plain, votes))
+    rows = [(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.int32), np.frombuffer(r["tf"], np.int32)) for r in got]
+    toxic, clean = (np.array([r[c] for r in counts], np.float64) for c in ("toxic", "clean"))
+    lean = leans(toxic, clean, sum(r[1] for r in rows), sum(not r[1] for r in rows))
+    return Index(every, idf, lean, rows, votes)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,7 +241,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(at, ROWS_AT_ONCE)
-                got = scores([t or "" for t in rows.column(1).to_pylist()])
+                got = list(scores([t or "" for t in rows.column(1).to_pylist()]))
                 kind = pa.list_(pa.struct([("doc_id", rows.column(0).type), ("label", pa.int32()), ("cosine", pa.float64())]))
                 shown = pa.array([[{"doc_id": i, "label": y, "cosine": c} for i, y, c in e] for _, e in got], kind)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s for s, _ in got], pa.float64()), shown], names=[id, "score", "evidence"])
