@@ -6,18 +6,18 @@ says counts as unseen. For a word w after a history h of up to ORDER - 1 words:
   S(w) = max(count(w), 1) / max(words, 1).
 A document's score is the sum of ln S over its words.
 
-Relations, all exploded and packed: documents are dealt to blocks of about BLOCK_WORDS words by a hash.
-A block lists its distinct n-grams of each order with their counts, in order of hash; the list is cut by the leading
-bits of the hash, so each count table partition gets one row from each block, with a binary column of hashes and
-one of counts. A partition sums the counts of each n-gram (the count table), joins the total to each row, and hands
-the totals back to the blocks, which look up each word's counts and sum by document. An n-gram arrives once from each
-block, so a frequent one is no heavier than another.
+Relations, all exploded and packed: the documents are packed once, where they are read, into blocks of about BLOCK_BYTES
+of text, one row each. A block lists its distinct n-grams of each order with their counts, in order of hash; the list is
+cut by the leading bits of the hash, so each count table partition gets one row from each block, with a binary column of
+hashes and one of counts. A partition sums the counts of each n-gram (the count table), joins to each row what the other
+blocks have more, and hands that back to the blocks, which look up each word's counts and sum by document. An n-gram
+arrives once from each block, so a frequent one is no heavier than another; equal rows stay in the blocks they are in.
 
-Hashes are of 64 bits: the leading bits by partition, the last 48 in the row.
+Hashes are of 64 bits: the leading bits by partition, the last 48 in the row; from 2 ** 16 partitions on all of them.
 
 Cases: a null or empty text has no words and score 0; rows that share an id are scored as documents of their own;
-a null id is a document like others; texts of any length are read whole; an empty table gives an empty table;
-further columns are ignored.
+a null id is a document like others; texts of any length are read whole, a longer one than a block in one of its own; an
+empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +36,9 @@ from wayline.llm._common import free_shuffles, materialize, table
 from wayline.llm._hashing import mix, slices, word_hashes
 from wayline.llm.mixing import word_count
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
-BLOCK_WORDS = 1 << 21
+BLOCK_BYTES = 8 << 20
 #: n-grams of one order in one count table partition, about.
 PARTITION_NGRAMS = 1 << 20
 
@@ -68,7 +69,7 @@ class Grams:
             hashes = mix(before * _U(0xD6E8FEB86659FD93) + self.words + _U(n))
             whole = place >= n - 1
             distinct, inverse, counts = np.unique(hashes[whole], return_inverse=True, return_counts=True)
-            at = np.full(len(self.words), -1)
+            at = np.full(len(self.words), -1, np.int32)
             at[whole] = inverse
             self.distinct.append(distinct)
             self.counts.append(counts)
@@ -78,47 +79,95 @@ class Grams:
         """For each place, how often its document holds the n-gram that ends there."""
         at, out = self.at[n - 1], np.zeros(len(self.words), np.int64)
         there = at >= 0
-        _, inverse, counts = np.unique(self.doc[there] * (len(self.distinct[n - 1]) + 1) + at[there], return_inverse=True, return_counts=True)
+        _, inverse, counts = np.unique(self.doc[there] * (len(self.distinct[n - 1]) + 1) + at[there].astype(np.int64), return_inverse=True, return_counts=True)
         out[there] = counts[inverse]
         return out
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Integers, byte planes apart, compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(-1)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """block, ids, sizes and texts (bytes one after another, compressed) of documents read one after another."""
+    held: list[pa.RecordBatch] = []
+    number, size = TaskContext.get().partitionId() << 32, 0
+
+    def packed() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        texts = [(t or "").encode() for t in rows.column(1).to_pylist()]
+        data, sizes = b"".join(texts), np.array([len(t) for t in texts])
+        ids = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), rows.column(0).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([number]), ids, pa.array([_pack(sizes)]), pa.array([pa.compress(data, "zstd", asbytes=True)]), pa.array([len(data)])], names=["block", "ids", "sizes", "texts", "bytes"])
+
+    for batch in batches:
+        at = 0
+        lengths = np.cumsum([len(t or "") for t in batch.column(1).to_pylist()])
+        while at < batch.num_rows:
+            before = lengths[at - 1] if at else 0
+            end = min(batch.num_rows, max(at + 1, int(np.searchsorted(lengths, before + BLOCK_BYTES - size, "right"))))
+            held.append(batch.slice(at, end - at))
+            size += int(lengths[end - 1] - before)
+            at = end
+            if size >= BLOCK_BYTES or at < batch.num_rows:
+                yield packed()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield packed()
+
+
+def _texts(block: dict) -> pa.Array:
+    """The texts of a block's row, as a column."""
+    sizes = _unpack(block["sizes"], len(block["ids"]))
+    data = pa.decompress(block["texts"], block["bytes"], "zstd") if block["bytes"] else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), data)
+
+
 def _lists(order: int, bits: int):
-    def run(block: tuple, docs: pa.Table) -> pa.Table:
-        grams = Grams(docs["text"].combine_chunks() if docs.num_rows else pa.array([], pa.string()), order)
-        rows: list[tuple[int, int, int, bytes, bytes]] = []
-        for n in range(1, order + 1):
-            distinct, counts = grams.distinct[n - 1], grams.counts[n - 1].astype(np.uint32)
-            cuts = np.searchsorted(distinct >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(distinct)])
-            low = np.ascontiguousarray(distinct).view(np.uint8).reshape(-1, 8)[:, :6]
-            rows += [(block[0].as_py(), n, k, low[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["block", "n", "part", "low", "counts"])
+        for batch in batches:
+            for block in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                grams = Grams(_texts(block), order)
+                for n in range(1, order + 1):
+                    distinct, counts = grams.distinct[n - 1], grams.counts[n - 1].astype(np.uint32)
+                    cuts = np.searchsorted(distinct >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(distinct)])
+                    low = np.ascontiguousarray(distinct).view(np.uint8).reshape(-1, 8)[:, :6]
+                    rows = [(block["block"], n, k, low[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "n", "part", "low", "counts"])
 
     return run
 
 
-def _totals(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The count table of one partition, joined to what each block asked for."""
+def _more(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The count table of one partition, joined to what each block has: how often the other blocks have it."""
     sizes = [len(x) // 6 for x in pdf["low"]]
     low = np.zeros((sum(sizes), 8), np.uint8)
     low[:, :6] = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, 6)
+    counts = np.frombuffer(b"".join(pdf["counts"]), np.uint32).astype(np.int64)
     _, inverse = np.unique(low.view(np.uint64).reshape(-1), return_inverse=True)
     totals = np.zeros(len(low) and inverse.max() + 1, np.int64)
-    np.add.at(totals, inverse, np.frombuffer(b"".join(pdf["counts"]), np.uint32).astype(np.int64))
-    each = np.split(totals[inverse], np.cumsum(sizes)[:-1])
-    return pd.DataFrame({"block": pdf["block"], "n": pdf["n"], "part": pdf["part"], "totals": [x.tobytes() for x in each]})
+    np.add.at(totals, inverse, counts)
+    each = np.split(totals[inverse] - counts, np.cumsum(sizes)[:-1])
+    return pd.DataFrame({"block": pdf["block"], "n": pdf["n"], "part": pdf["part"], "size": sizes, "more": [_pack(x) for x in each]})
 
 
 def _scores(order: int, backoff: float, words_in_all: int):
-    def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
-        grams = Grams(docs["text"].combine_chunks() if docs.num_rows else pa.array([], pa.string()), order)
-        got = totals.sort_by([("n", "ascending"), ("part", "ascending")]).to_pydict()
+    def run(blocks: pa.Table, more: pa.Table) -> pa.Table:
+        block = blocks.to_pylist()[0]
+        grams = Grams(_texts(block), order)
+        got = more.sort_by([("n", "ascending"), ("part", "ascending")]).to_pydict()
         counts: list[np.ndarray] = []  # for each order and place, the count outside the document of the n-gram that ends there
         for n in range(1, order + 1):
-            all_ = np.frombuffer(b"".join([t for k, t in zip(got["n"], got["totals"], strict=True) if k == n]), np.int64)
-            if len(all_) != len(grams.distinct[n - 1]):
-                raise RuntimeError("a block's documents changed between two reads of the table")
+            parts = [_unpack(m, size) for k, size, m in zip(got["n"], got["size"], got["more"], strict=True) if k == n]
+            all_ = np.concatenate([*parts, np.zeros(0, np.int64)]) + grams.counts[n - 1]
             at = grams.at[n - 1]
             counts.append(np.where(at >= 0, all_[at], 0) - grams.own(n) if len(all_) else np.zeros(len(at), np.int64))
         outside = np.maximum(words_in_all - grams.sizes, 1)[grams.doc]
@@ -134,23 +183,25 @@ def _scores(order: int, backoff: float, words_in_all: int):
             level[seen] = n
         sums = np.bincount(grams.doc, weights=score, minlength=len(grams.sizes)) if len(score) else np.zeros(len(grams.sizes))
         full = np.bincount(grams.doc, weights=level == order, minlength=len(grams.sizes)) if len(score) else np.zeros(len(grams.sizes))
-        return pa.Table.from_arrays([docs["id"], pa.array(grams.sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(full.astype(np.int64))], names=["id", "n_words", "log_score", "n_seen"])
+        return pa.Table.from_arrays([blocks["ids"].combine_chunks().flatten(), pa.array(grams.sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(full.astype(np.int64))], names=["id", "n_words", "log_score", "n_seen"])
 
     return run
 
 
 def score_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """id, n_words, log_score and n_seen (words whose whole n-gram of the highest order stands elsewhere too) of every row."""
-    words = docs.select(F.sum(word_count(text)).alias("n")).collect()[0]["n"] or 0
-    blocks = max(1, -(-words // BLOCK_WORDS))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    words = rows.select(F.sum(word_count("text")).alias("n")).collect()[0]["n"] or 0
     bits = max(0, (words // PARTITION_NGRAMS).bit_length())
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(blocks)).alias("block"), F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lists = rows.groupBy("block").applyInArrow(_lists(order, bits), "block long, n int, part long, low binary, counts binary")
-    totals = materialize(lists.groupBy("n", "part").applyInPandas(_totals, "block long, n int, part long, totals binary"), "totals")
+    kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id].dataType)), T.StructField("sizes", T.BinaryType()), T.StructField("texts", T.BinaryType()), T.StructField("bytes", T.LongType())])
+    blocks = materialize(rows.mapInArrow(_blocks, kind), "blocks")
+    lists = blocks.mapInArrow(_lists(order, bits), "block long, n int, part long, low binary, counts binary")
+    more = materialize(lists.groupBy("n", "part").applyInPandas(_more, "block long, n int, part long, size long, more binary"), "more")
     del lists
-    free_shuffles(docs.sparkSession)  # the lists, and the first reading of the texts
+    free_shuffles(spark)  # the lists
     schema = T.StructType([T.StructField("id", docs.schema[id].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType()), T.StructField("n_seen", T.LongType())])
-    found = rows.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(_scores(order, backoff, words), schema)
+    found = blocks.groupBy("block").cogroup(more.groupBy("block")).applyInArrow(_scores(order, backoff, words), schema)
     return found.withColumnRenamed("id", id)
 
 
@@ -160,12 +211,12 @@ def op4_lm_score(spark: SparkSession, sf_dir: str, order: int = ORDER) -> DataFr
     return found.select("doc_id", "n_words", "n_seen", F.round("log_score", 3).alias("log_score"), F.round(per_word, 6).alias("log_score_per_word"))
 
 
-def op4_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with contexts of up to two words."""
-    return op4_lm_score(spark, sf_dir, order=3)
+def op4_lm_score_order2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with contexts of one word."""
+    return op4_lm_score(spark, sf_dir, order=2)
 
 
-OP4_SQL = r"""
+OP4_ORDER2_SQL = r"""
 WITH l AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), d AS (
@@ -192,3 +243,33 @@ SELECT d.doc_id, d.n_words, coalesce(n_seen, 0) AS n_seen, round(coalesce(s, 0),
        round(CASE WHEN d.n_words = 0 THEN 0 ELSE s / d.n_words END, 6) AS log_score_per_word
 FROM d LEFT JOIN t ON d.doc_id = t.doc_id
 """
+
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), d AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words FROM l
+), w AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM l
+), p AS (
+  SELECT *, lag(w) OVER o AS h1, lag(w, 2) OVER o AS h2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), c AS (
+  SELECT *, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+         CASE WHEN h1 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY h1, w) - count(*) OVER (PARTITION BY doc_id, h1, w) END AS c2,
+         CASE WHEN h2 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY h2, h1, w) - count(*) OVER (PARTITION BY doc_id, h2, h1, w) END AS c3
+  FROM p
+), g AS (
+  SELECT *, lag(c1) OVER o AS ch1, lag(c2) OVER o AS ch2 FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), s AS (
+  SELECT g.doc_id, CASE WHEN c3 > 0 THEN ln(c3::DOUBLE / ch2)
+         WHEN c2 > 0 THEN ln(c2::DOUBLE / ch1) + CASE WHEN h2 IS NULL THEN 0 ELSE ln(0.4) END
+         ELSE ln(greatest(c1, 1)::DOUBLE / greatest((SELECT sum(n_words) FROM d)::BIGINT - d.n_words, 1)) + CASE WHEN h1 IS NULL THEN 0 WHEN h2 IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS s,
+         c3 > 0 AS seen
+  FROM g JOIN d ON g.doc_id = d.doc_id
+), t AS (
+  SELECT doc_id, sum(s) AS s, count(*) FILTER (seen) AS n_seen FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, d.n_words, coalesce(n_seen, 0) AS n_seen, round(coalesce(s, 0), 3) AS log_score,
+       round(CASE WHEN d.n_words = 0 THEN 0 ELSE s / d.n_words END, 6) AS log_score_per_word
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""

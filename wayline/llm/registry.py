@@ -15,7 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_nearest_neighbours": nearest.op2_nearest_neighbours,
         "op3_sentencepiece": pieces.op3_sentencepiece,
         "op4_lm_score": lm_scoring.op4_lm_score,
-        "op4_lm_score_order3": lm_scoring.op4_lm_score_order3,
+        "op4_lm_score_order2": lm_scoring.op4_lm_score_order2,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_near_dedup": near_dedup.op7_near_dedup,
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_lm_score": lm_scoring.OP4_SQL,
+        "op4_lm_score_order2": lm_scoring.OP4_ORDER2_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op9_chat_format": chat.OP9_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
