@@ -2,8 +2,8 @@
 
 Misra-Gries counters (Spark's frequent-items aggregate, at most 1/support of them) name the digests that may be
 frequent. One more pass counts those exactly; the verified winners, again at most 1/support rows, are broadcast,
-so the copies of a frequent text go where they are read and never meet in one task. All other digests hold fewer
-than support * rows copies each and take an ordinary shuffle.
+so the copies of a frequent text are judged without meeting in one task. All other digests hold fewer than
+support * rows copies each and take an ordinary shuffle, after rows equal in digest and id were counted.
 
 Cases: a null text counts as empty; a null id sorts after all others; of rows equal in text and id one stays
 (of a frequent text as of any other); an empty table gives an empty table; other columns are carried untouched,
@@ -19,6 +19,8 @@ from wayline.llm._common import SPACES, internal, materialize, table, whole_text
 
 #: Share of the rows from which a digest counts as frequent; also bounds the broadcast to 1 / SUPPORT rows.
 SUPPORT = 0.001
+#: Of equal rows, so many are told one after another in one place.
+CHUNK = 8192
 
 
 def text_digest(text: str = "text") -> Column:
@@ -42,19 +44,17 @@ def duplicate_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", su
     """Every row as id, keep_id, group_size, kept, text_sha256."""
     keyed = materialize(docs.select(F.col(id).alias("id"), text_digest(text).alias("digest")), "digests")
     winners = materialize(frequent_digests(keyed, support), "frequent")
-    split = keyed.join(F.broadcast(winners), "digest", "left")
-    surplus = F.col("copies").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
-    removed = split.filter(surplus).select("id", F.col("first_id").alias("keep_id"), F.col("copies").alias("group_size"), F.lit(False).alias("kept"), "digest")
-    group = Window.partitionBy("digest")
-    shuffled = split.filter(~surplus).select(
-        "id",
-        F.min("id").over(group).alias("keep_id"),
-        F.coalesce("copies", F.count(F.lit(1)).over(group)).alias("group_size"),
-        (F.row_number().over(group.orderBy(F.col("id").asc_nulls_last())) == 1).alias("kept"),
-        "digest",
-    )
-    out = removed.unionByName(shuffled)
-    return out.select(F.col("id").alias(id), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    # Rows equal in digest and id are counted before they are shuffled, and dealt out again in chunks.
+    counted = keyed.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
+    frequent = counted.join(F.broadcast(winners.select("digest", F.col("first_id").alias("keep_id"), F.col("copies").alias("group_size"))), "digest")
+    rest = counted.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"))
+    named = frequent.unionByName(rest.join(groups, "digest"))
+    few = named.filter(F.col("n") <= CHUNK).withColumn("chunk", F.lit(0).cast("long"))
+    many = named.filter(F.col("n") > CHUNK).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).repartition("digest", "id", "chunk")
+    out = few.unionByName(many).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(CHUNK).cast("long"), F.col("n") - F.col("chunk") * CHUNK))))
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("chunk") == 0) & (F.col("copy") == 1)
+    return out.select(F.col("id").alias(id), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", support: float = SUPPORT) -> DataFrame:
