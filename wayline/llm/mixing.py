@@ -1,13 +1,13 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Each row gets a hash-random key. Within each source the key space is cut into ranges of about ROWS_IN_RANGE rows,
-so no source, however large, is sorted in one task: sizes are summed by range, the range totals give each range
-its offset in its source, and a window inside the range adds the rest. A source takes floor(target / size) whole
+so no source, however large, is sorted in one task: sizes are summed by range and by block of ranges, these totals give
+each range its offset in its source, and a window inside the range adds the rest. A source takes floor(target / size) whole
 epochs, then the rows at the front of its order up to its exact budget; the row on the cut is taken if at least
 half of it fits.
 
 Cases: a null text has size 0 and a null source is a source of its own, last in order; rows with equal ids are
-ordered by their size and take part one by one; a source of size 0 has target 0; an empty table gives an empty
+ordered by id and text together and take part one by one; which of several rows equal in both is taken is open; a source of size 0 has target 0; an empty table gives an empty
 table; other columns are carried untouched, whatever their names.
 """
 
@@ -23,12 +23,20 @@ from wayline.llm._common import WORD, internal, materialize, table, whole_text
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 ROWS_IN_RANGE = 4096
+#: Ranges are summed up in blocks, so their offsets too are found in parts.
+RANGES_IN_BLOCK = 4096
 
 
 def word_count(text: str = "text") -> Column:
     return F.regexp_count(whole_text(text), F.lit(WORD)).cast("long")
 
 
+def row_key(id: str, text: str) -> Column:
+    """A digest of id and text, so rows that share an id, or have none, are spread too."""
+    whole = F.md5(whole_text(text).cast("binary"))
+    return F.md5(F.concat(F.coalesce(F.col(id).cast("string"), F.lit("")), F.lit("|"), whole).cast("binary"))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
     """Of (source, rows, size) rows, one for each source: the same and target.
 
@@ -63,7 +71,7 @@ def mix(
     src = internal(docs, "source")[0]
     size = names["size"]
 
-    sized = docs.withColumns({size: word_count(text), src: F.col(source), key: F.md5(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary"))})
+    sized = docs.withColumns({size: word_count(text), src: F.col(source), key: row_key(id, text)})
     slim = materialize(sized.select(F.col(src).alias("source"), F.col(key).alias("key"), F.col(size).alias("size")), "sizes")
     totals = slim.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size"))
     targets = materialize(source_targets(totals, weights, most_epochs), "targets")
@@ -79,10 +87,14 @@ def mix(
         slim.join(t, same(slim["source"], t["source_of_source"]))
         .groupBy("source", range_of(F.col("key"), F.col("rows_of_source")).alias("range"))
         .agg(F.sum("size").alias("size"), F.first("rows_of_source").alias("rows"), F.first("size_of_source").alias("source_size"), F.first("target_of_source").alias("target"))
-        .withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("block", F.floor(F.col("range") / RANGES_IN_BLOCK))
     )
-    offsets = materialize(ranges, "ranges").select(
-        F.col("source").alias(s_), F.col("range").alias(r_), F.col("before").alias(total), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"])
+    ranges = materialize(ranges, "ranges")
+    earlier = lambda *by, order: F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = ranges.groupBy("source", "block").agg(F.sum("size").alias("size")).select(F.col("source").alias("s"), F.col("block").alias("b"), earlier("source", order="block").alias("ahead"))
+    inside_block = ranges.withColumn("before", earlier("source", "block", order="range"))
+    offsets = inside_block.join(blocks, same(F.col("source"), F.col("s")) & (F.col("block") == F.col("b"))).select(
+        F.col("source").alias(s_), F.col("range").alias(r_), (F.col("before") + F.col("ahead")).alias(total), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"])
     )
     rows_of = targets.select(F.col("source").alias(s_), F.col("rows").alias(rows))
     placed = sized.join(rows_of, same(F.col(src), F.col(s_)), "left").drop(s_).withColumn(part, range_of(F.col(key), F.col(rows)))
@@ -112,7 +124,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS k,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS k,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents
 ), s AS (
