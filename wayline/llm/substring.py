@@ -15,8 +15,8 @@ stretch has occurred before. From WINDOW words on, the window that ends here is
 at the shard's end.
 
 Skew. A home with more than SPLIT anchors (a passage that a large part of the corpus shares) is dealt to several
-shards by document. Each finds what repeats within it, and passes on one fingerprint, first document and place of
-each window that it holds; the first of these over all its shards is the window's first, the others are repeats.
+shards by document. Each finds what repeats within it, and passes on the words, first document and place of each window
+that it holds; the first of these over all its shards is the window's first, the others are repeats.
 
 Cases: a null text has no words; rows that share an id are documents of their own, ordered by their text's digest,
 then in any order; a null id sorts last; texts of any length are read whole; an empty table gives an empty table;
@@ -191,26 +191,23 @@ class SuffixAutomaton:
 
 
 def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of repeated windows (rid, first, last), and of split homes each other window with its fingerprint."""
+    """Runs of repeated windows (rid, first, last), and of split homes each other window with its words."""
     automaton, of = SuffixAutomaton(), None
     for batch in batches:
         for begin in range(0, batch.num_rows, 2000):
             rows = batch.slice(begin, 2000)
-            out: list[tuple[int, int, int, int | None, int | None]] = []
+            out: list[tuple[int, int, int, str | None]] = []
             for shard, whole, rid, start, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 if shard != of:
                     automaton, of = SuffixAutomaton(), shard
                 words = _words(text)
                 seen = np.array(automaton.take_in(words))[WINDOW - 1 :] >= WINDOW
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], seen.view(np.int8), [0]])))
-                out += [(rid, start + int(a), start + int(b) - 1, None, None) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-                if not whole and not seen.all():
-                    data = " ".join(words).encode()
-                    hashed = word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=False)[0]
-                    both = [window_hashes(h, WINDOW).view(np.int64).tolist() for h in (hashed, mix(hashed ^ _U(0xA0761D6478BD642F)))]
-                    marks = list(zip(*both, strict=True))
-                    out += [(rid, start + k, start + k, *m) for k, (m, old) in enumerate(zip(marks, seen, strict=True)) if not old]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 5)], names=["rid", "first", "last", "mark1", "mark2"])
+                out += [(rid, start + int(a), start + int(b) - 1, None) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                if not whole:
+                    out += [(rid, start + k, start + k, " ".join(words[k : k + WINDOW])) for k, old in enumerate(seen) if not old]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["rid", "first", "last", "window"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,17 +258,15 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     by_row = hits.groupBy("rid").agg(F.collect_list(F.struct("hash", "home", "chunks")).alias("hits"))
     stretches = text.join(by_row, "rid").select("rid", "text", "hits").mapInArrow(_stretches(shards), "shard long, whole boolean, rid long, start long, text string")
     in_order = stretches.repartition("shard").sortWithinPartitions("shard", "rid", "start")
-    matched = materialize(in_order.mapInArrow(_matched, "rid long, first long, last long, mark1 long, mark2 long"), "matched")
+    matched = materialize(in_order.mapInArrow(_matched, "rid long, first long, last long, window string"), "matched")
     forget(hits)
-    found = matched.filter("mark1 is null").select("rid", "first", "last")
-    passed = matched.filter("mark1 is not null")
-    firsts = passed.groupBy("mark1", "mark2").agg(F.min(F.struct("rid", "first")).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = passed.join(firsts, ["mark1", "mark2"]).filter(F.struct("rid", "first") != F.col("origin")).select("rid", "first", "last")
+    found = matched.filter("window is null").select("rid", "first", "last")
+    passed = matched.filter("window is not null")
+    firsts = passed.groupBy("window").agg(F.min(F.struct("rid", "first")).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = passed.join(firsts, "window").filter(F.struct("rid", "first") != F.col("origin")).select("rid", "first", "last")
     return found.unionAll(later)
 
 
-
-
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_words, n_removed, spans (removed words, start and end) and kept_text of every row of docs."""
     rows = numbered(docs, id, text)
