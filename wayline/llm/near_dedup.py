@@ -27,7 +27,7 @@ are ignored, or carried untouched by drop_near_duplicates. n_shingles counts 64-
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm._common import SPACES, WORD, forget, internal, materialize, table, whole_text
+from wayline.llm._common import forget, internal, materialize, table, whole_text
 from wayline.llm._hashing import mix, slices, window_hashes, word_hashes
 from wayline.llm.components import components, merge
 
@@ -54,20 +54,16 @@ _U = np.uint64
 _ROUND = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * _U(0xA24BAED4963EE407))
 _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0x9FB21C651E98DF25))
 _OPEN = _U(0xFFFFFFFFFFFFFFFF)
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_LOWER = str.maketrans(_UPPER, _UPPER.lower())
-_words = re.compile(WORD).findall
 
 
-def words_digest(text: str = "text") -> Column:
-    """SHA-256 of the words that shingles are made of, A-Z in lower case, joined by one space; null without words."""
-    words = F.btrim(F.regexp_replace(F.translate(whole_text(text), _UPPER, _UPPER.lower()), SPACES, " "), F.lit(" "))
-    return F.when(words != "", F.unhex(F.sha2(words.cast("binary"), 256)))
+def normal_words(text: str) -> list[bytes]:
+    """The words that shingles are made of: A-Z in lower case, cut at 0x20 and 0x09 to 0x0D."""
+    return text.encode().lower().split()
 
 
-def shingles(text: str, size: int = SHINGLE) -> frozenset[tuple[str, ...]]:
+def shingles(text: str, size: int = SHINGLE) -> frozenset[tuple[bytes, ...]]:
     """The set itself, of words."""
-    words = _words(text.translate(_LOWER))
+    words = normal_words(text)
     if len(words) < size:
         return frozenset([tuple(words)] if words else [])
     return frozenset(zip(*(words[k:] for k in range(size)), strict=False))
@@ -148,7 +144,9 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.zeros(rows.num_rows + 1, np.int32)
             ends[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
             bands = pa.ListArray.from_arrays(pa.array(ends), _signed(keys[filled].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes), bands], names=["id", "digest", "n_shingles", "bands"])
+            words = (normal_words(t or "") for t in rows.column(2).to_pylist())
+            digests = pa.array([hashlib.sha256(b" ".join(w)).digest() if w else None for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), digests, pa.array(sizes), bands], names=["id", "raw", "digest", "n_shingles", "bands"])
 
 
 def similar(a: frozenset, b: frozenset) -> bool:
@@ -229,10 +227,13 @@ def _possible(named: DataFrame, first: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def link_buckets(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Components over the nodes of buckets: node, component. members: key, node, of buckets with at least two."""
+    """Components over the nodes of buckets: node, component. members: key, node, least, of buckets with at least two."""
     tested: DataFrame | None = None
     labels: DataFrame | None = None
-    first = materialize(members.groupBy("key").agg(F.min("node").alias("a")), "pivots")
+    # An original is mostly older than its copies, so the smallest id makes a good pivot.
+    oldest = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
+    first = materialize(members.groupBy("key").agg(oldest.alias("o")).select("key", F.col("o.node").alias("a")), "pivots")
+    members = members.drop("least")
     for turn in range(3):
         named = members.withColumn("component", F.col("node"))
         if labels is not None:
@@ -261,59 +262,60 @@ def link_buckets(members: DataFrame, texts: DataFrame) -> DataFrame:
     return labels
 
 
+def _raw(text: str) -> Column:
+    """A digest of the text as it is."""
+    return F.unhex(F.sha2(whole_text(text).cast("binary"), 256))
+
+
 def _classes(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Of every row id, digest (null without words) and n_shingles; and of every class digest, n (rows), least (id), node and
-    root, the node that stands for its component, and component_id."""
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).withColumn("digest", words_digest())
+    """Of every row id, raw, digest (of its words; null without any) and n_shingles; and of every class digest, rep (the row of
+    the smallest id: none, id, raw) and stays, the rep of its whole component."""
+    rows = docs.select(F.col(id).alias("id"), _raw(text).alias("raw"), F.col(text).alias("text"))
     schema = T.StructType([
-        T.StructField("id", docs.schema[id].dataType), T.StructField("digest", T.BinaryType()),
+        T.StructField("id", docs.schema[id].dataType), T.StructField("raw", T.BinaryType()), T.StructField("digest", T.BinaryType()),
         T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
     ])
-    signed = materialize(rows.select("id", "digest", "text").mapInArrow(_signatures, schema), "signatures")
-    grouped = signed.filter("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.first("bands").alias("bands"))
+    signed = materialize(rows.mapInArrow(_signatures, schema), "signatures")
+    rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "raw"))
+    grouped = signed.filter("digest is not null").groupBy("digest").agg(rep.alias("rep"), F.first("bands").alias("bands"))
     classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    keyed = classes.select("node", F.explode("bands").alias("key"))
+    keyed = classes.select("node", F.col("rep.id").alias("least"), F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = materialize(keyed.join(buckets, "key").select("key", "node").distinct(), "members")
-    asked = classes.join(members.select("node").distinct(), "node").select("node", F.col("digest").alias("d"), "least")
-    there = rows.join(asked, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("least")))
+    members = materialize(keyed.join(buckets, "key").select("key", "node", "least").distinct(), "members")
+    known = classes.select("node", "digest", "rep")
+    asked = known.join(members.select("node").distinct(), "node").select("node", "rep")
+    there = rows.join(asked, (F.col("raw") == F.col("rep.raw")) & rows["id"].eqNullSafe(F.col("rep.id")))
     texts = materialize(there.groupBy("node").agg(F.first("text").alias("text")), "texts")  # rows may share id and text
-    labels = link_buckets(members, texts)
-    known = classes.drop("bands")
-    linked = labels.join(known.select("node", "least"), "node")
-    roots = linked.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), F.col("node").alias("root"))).alias("r"))
-    of_node = linked.join(roots, "component").select("node", F.col("r.root").alias("root"), F.col("r.id").alias("component_id"))
-    named = known.join(of_node, "node", "left")
-    return signed.drop("bands"), named.select("digest", "n", "least", "node", F.coalesce("root", "node").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    linked = link_buckets(members, texts).join(known.select("node", "rep"), "node")
+    stays = linked.groupBy("component").agg(F.min("rep").alias("stays"))
+    named = known.join(linked.join(stays, "component").select("node", "stays"), "node", "left")
+    return signed.drop("bands"), named.select("digest", "rep", F.coalesce("stays", "rep").alias("stays"))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_shingles, component_id and kept of every row of docs."""
     rows, classes = _classes(docs, id, text)
-    found = rows.join(classes.select("digest", "component_id"), "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    found = rows.join(classes.select("digest", "stays"), "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("stays.id"))
     return found.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each component, with their own columns: of those of its smallest id one."""
-    digest, of, least, rank = internal(docs, "digest", "of", "least", "rank")
+    """The rows of docs that stay, one of each component, with their own columns: one of its smallest id, of several the
+    one of smallest digest."""
+    raw, rank, of_raw, of_id = internal(docs, "raw", "rank", "of_raw", "of_id")
     rows, classes = _classes(docs, id, text)
-    classes = materialize(classes, "decided")
-    several = classes.filter("n > 1 and node = root").select("digest", "least")
-    same = rows.join(several, "digest").filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("digest", "least").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    same = materialize(same, "same")  # classes whose smallest id several rows have
-    marked = docs.withColumn(digest, words_digest(text))
-    # Of a class with other rows or in a component with others, the row that stays; the rest of the classes are not listed.
-    listed = classes.withColumn("stays", F.col("node") == F.col("root")).filter("n > 1 or not stays").join(same.select("digest", F.lit(True).alias("again")), "digest", "left")
-    listed = listed.select(F.col("digest").alias(of), F.struct("stays", "again", F.col("least").alias("id")).alias(least))
-    of_class = F.col(least)
-    found = marked.join(listed, F.col(digest) == F.col(of), "left")
-    out = found.filter(F.col(of).isNull() | (of_class["stays"] & of_class["again"].isNull() & F.col(id).eqNullSafe(of_class["id"]))).select(*docs.columns)
+    found = rows.join(classes.select("digest", "stays"), "digest")
+    is_it = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("raw") == F.col("stays.raw"))
+    judged = materialize(found.groupBy("raw", "id").agg(F.first(is_it).alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1"), "judged")
+    marked, same = docs.withColumn(raw, _raw(text)), judged.filter("stays").select(F.col("raw").alias(of_raw), F.col("id").alias(of_id))
+    both = (F.col(raw) == F.col(of_raw)) & F.col(id).eqNullSafe(F.col(of_id))
+    out = marked.join(judged.select(F.col("raw").alias(of_raw), F.col("id").alias(of_id)), both, "left_anti").select(*docs.columns)
     if same.isEmpty():
         return out
-    twice = marked.join(same.toDF(of, least), (F.col(digest) == F.col(of)) & F.col(id).eqNullSafe(F.col(least)))
-    return out.unionAll(twice.withColumn(rank, F.row_number().over(Window.partitionBy(digest).orderBy(digest))).filter(F.col(rank) == 1).select(*docs.columns))
+    # Rows that equal the row that stays in id and text: one of them.
+    again = marked.join(same, both).withColumn(rank, F.row_number().over(Window.partitionBy(raw).orderBy(raw)))
+    return out.unionAll(again.filter(F.col(rank) == 1).select(*docs.columns))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
