@@ -23,7 +23,6 @@ empty table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -58,22 +57,30 @@ class Index:
     """Unit vectors of examples over all their words: postings by word, and of frequent words the weights by block with the
     largest of each block."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, lean: np.ndarray, rows: list[tuple[object, int, np.ndarray, np.ndarray]], votes: tuple[float, float]) -> None:
-        """rows: id, label, places of its words and their counts; votes: what an example of class 0 and of class 1 stands for."""
+    def __init__(self, terms: list[str], idf: np.ndarray, lean: np.ndarray, ids: list, label: np.ndarray, votes: tuple[float, float], sizes: np.ndarray, at: np.ndarray, tf: np.ndarray) -> None:
+        """Of the examples ids and label, and one after another their sizes words, at, with counts tf; votes: what an example
+        of class 0 and of class 1 stands for."""
         self.terms, self.scale, self.leans = {t: k for k, t in enumerate(terms)}, idf * (FLOOR + lean), lean > 0
-        vectors = [self.unit(r[2], r[3]) for r in rows]
+        n = len(ids)
+        row = np.repeat(np.arange(n), sizes)
+        weight = (1 + np.log(tf)) * self.scale[at]
+        weight /= np.sqrt(np.bincount(row, weight**2, n))[row]
+        leaning = np.bincount(row, self.leans[at], n) > 0
         # Like beside like, so that the bounds of most blocks are low: by the word of largest weight.
-        order = sorted(range(len(rows)), key=lambda k: (int(rows[k][2][np.argmax(vectors[k])]), -float(vectors[k].max())) if len(vectors[k]) else (-1, 0.0))
-        rows, vectors = [rows[k] for k in order], [vectors[k] for k in order]
-        self.ids = [r[0] for r in rows]
-        self.label = np.array([r[1] for r in rows], np.int8)
-        self.vote = np.array([votes[r[1]] for r in rows])
-        leaning = np.array([bool(self.leans[r[2]].any()) for r in rows], bool)
+        most = np.zeros(n)
+        np.maximum.at(most, row, weight)
+        word = np.full(n, -1)
+        heaviest = np.flatnonzero(weight == most[row])
+        word[row[heaviest]] = at[heaviest]
+        order = np.lexsort((-most, word))
+        self.ids, self.label = [ids[k] for k in order], label[order].astype(np.int8)
+        self.vote, leaning = np.array(votes)[self.label], leaning[order]
         self.rate = [self.share(float(self.vote[(leaning == k) & (self.label == 1)].sum()), float(self.vote[leaning == k].sum()), 0.0) for k in (False, True)]
-        at = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int32)
-        by_term = np.argsort(at, kind="stable")
-        self.place = np.repeat(np.arange(len(rows), dtype=np.int32), [len(v) for v in vectors])[by_term]
-        self.weight = np.concatenate(vectors)[by_term] if rows else np.zeros(0)
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        place = place[row]
+        by_term = np.lexsort((place, at))
+        self.place, self.weight = place[by_term], weight[by_term]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
         self.dense: np.ndarray | None = None
 
@@ -192,8 +199,8 @@ def leans(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int)
     return np.maximum(0.0, np.log(a * d / (b * c)) - QUANTILE * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[str, int]]:
-    """The number of documents, and of those that hold each term, over the whole table."""
+def document_frequencies(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """term, n: the number of documents that hold each term, over the whole table; without a term, of all documents."""
     wanted = frozenset(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,16 +211,17 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, dict[s
                 by.update(wanted.intersection(words((text or "").lower())))
         yield pa.RecordBatch.from_arrays([pa.array([None, *by], pa.string()), pa.array([n, *by.values()], pa.int64())], names=["term", "n"])
 
-    got = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return got.pop(None, 0), got
+    return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> Index:
     chosen, votes = choose_examples(docs, labels, label, examples)
-    counts = class_counts(chosen).orderBy("term").collect()
-    every = [r["term"] for r in counts]
-    n, df = document_frequencies(docs, every) if every else (0, {})
-    idf = np.array([math.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in every])
+    counts = materialize(class_counts(chosen), "terms")
+    df = materialize(document_frequencies(docs, counts.select("term").toArrow()["term"].to_pylist()), "frequencies")
+    n = df.filter("term is null").agg(F.sum("n")).first()[0] or 0
+    known = counts.join(df, "term", "left").orderBy("term").toArrow()
+    every = known["term"].to_pylist()
+    toxic, clean, holders = (known[c].fill_null(0).to_numpy().astype(np.float64) for c in ("toxic", "clean", "n"))
     at = {t: k for k, t in enumerate(every)}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,11 +231,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *packed], names=["doc_id", "label", "at", "terms", "tf"])
 
     schema = T.StructType([chosen.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("at", T.StringType()), T.StructField("terms", T.BinaryType()), T.StructField("tf", T.BinaryType())])
-    got = sorted(chosen.select("doc_id", "label", "at", "text").mapInArrow(vectors, schema).collect(), key=lambda r: (r["at"], r["terms"]))
-    rows = [(r["doc_id"], r["label"], np.frombuffer(r["terms"], np.int32), np.frombuffer(r["tf"], np.int32)) for r in got]
-    toxic, clean = (np.array([r[c] for r in counts], np.float64) for c in ("toxic", "clean"))
-    lean = leans(toxic, clean, sum(r[1] for r in rows), sum(not r[1] for r in rows))
-    return Index(every, idf, lean, rows, votes)
+    got = chosen.select("doc_id", "label", "at", "text").mapInArrow(vectors, schema).toArrow().sort_by([("at", "ascending")])
+    terms, tf = (np.frombuffer(b"".join(got[c].to_pylist()), np.int32) for c in ("terms", "tf"))
+    sizes = np.array([len(x) // 4 for x in got["terms"].to_pylist()], np.int64)
+    y = got["label"].to_numpy().astype(np.int64)
+    lean = leans(toxic, clean, int((y == 1).sum()), int((y == 0).sum()))
+    return Index(every, np.log((1 + n) / (1 + holders)) + 1, lean, got["doc_id"].to_pylist(), y, votes, sizes, terms, tf)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
