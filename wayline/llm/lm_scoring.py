@@ -9,11 +9,11 @@ A document's score is the sum of ln S over its words.
 Relations, all exploded and packed: the documents are packed once, where they are read, into blocks of about BLOCK_BYTES
 of text, one row each. A block lists its distinct n-grams of each order with their counts, in order of hash; the list is
 cut by the leading bits of the hash, so each count table partition gets one row from each block, with a binary column of
-hashes and one of counts. A partition sums the counts of each n-gram (the count table), joins to each row what the other
+hashes, as steps from one to the next, and one of counts. A partition sums the counts of each n-gram (the count table), joins to each row what the other
 blocks have more, and hands that back to the blocks, which look up each word's counts and sum by document. An n-gram
 arrives once from each block, so a frequent one is no heavier than another; equal rows stay in the blocks they are in.
 
-Hashes are of 64 bits: the leading bits by partition, the last 48 in the row; from 2 ** 16 partitions on all of them.
+Hashes are of 64 bits: the leading bits by partition, the next 48 in the row; from 2 ** 16 partitions on all of them.
 
 Cases: a null or empty text has no words and score 0; rows that share an id are scored as documents of their own;
 a null id is a document like others; texts of any length are read whole, a longer one than a block in one of its own; an
@@ -38,7 +38,7 @@ from wayline.llm.mixing import word_count
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: n-grams of one order in one count table partition, about.
 PARTITION_NGRAMS = 1 << 20
 
@@ -59,7 +59,7 @@ class Grams:
         self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.ends = np.array(ends)
         self.sizes = np.diff(self.ends)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         place = np.arange(len(self.words)) - np.repeat(self.ends[:-1], self.sizes)
         self.distinct, self.counts, self.at = [], [], []
         hashes = np.zeros(len(self.words), np.uint64)
@@ -72,14 +72,14 @@ class Grams:
             at = np.full(len(self.words), -1, np.int32)
             at[whole] = inverse
             self.distinct.append(distinct)
-            self.counts.append(counts)
+            self.counts.append(counts.astype(np.uint32))
             self.at.append(at)
 
     def own(self, n: int) -> np.ndarray:
         """For each place, how often its document holds the n-gram that ends there."""
         at, out = self.at[n - 1], np.zeros(len(self.words), np.int64)
         there = at >= 0
-        _, inverse, counts = np.unique(self.doc[there] * (len(self.distinct[n - 1]) + 1) + at[there].astype(np.int64), return_inverse=True, return_counts=True)
+        _, inverse, counts = np.unique(self.doc[there].astype(np.int64) * (len(self.distinct[n - 1]) + 1) + at[there], return_inverse=True, return_counts=True)
         out[there] = counts[inverse]
         return out
 
@@ -136,10 +136,10 @@ def _lists(order: int, bits: int):
             for block in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 grams = Grams(_texts(block), order)
                 for n in range(1, order + 1):
-                    distinct, counts = grams.distinct[n - 1], grams.counts[n - 1].astype(np.uint32)
+                    distinct, counts = grams.distinct[n - 1], grams.counts[n - 1]
                     cuts = np.searchsorted(distinct >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(distinct)])
-                    low = np.ascontiguousarray(distinct).view(np.uint8).reshape(-1, 8)[:, :6]
-                    rows = [(block["block"], n, k, low[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                    low = (distinct << _U(bits) >> _U(16)).astype(np.int64)  # in order within a partition
+                    rows = [(block["block"], n, k, _pack(np.diff(low[a:b], prepend=0)), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "n", "part", "low", "counts"])
 
@@ -148,11 +148,10 @@ def _lists(order: int, bits: int):
 
 def _more(pdf: pd.DataFrame) -> pd.DataFrame:
     """The count table of one partition, joined to what each block has: how often the other blocks have it."""
-    sizes = [len(x) // 6 for x in pdf["low"]]
-    low = np.zeros((sum(sizes), 8), np.uint8)
-    low[:, :6] = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, 6)
+    sizes = [len(x) // 4 for x in pdf["counts"]]
+    low = np.concatenate([np.cumsum(_unpack(x, n)) for x, n in zip(pdf["low"], sizes, strict=True)])
     counts = np.frombuffer(b"".join(pdf["counts"]), np.uint32).astype(np.int64)
-    _, inverse = np.unique(low.view(np.uint64).reshape(-1), return_inverse=True)
+    _, inverse = np.unique(low, return_inverse=True)
     totals = np.zeros(len(low) and inverse.max() + 1, np.int64)
     np.add.at(totals, inverse, counts)
     each = np.split(totals[inverse] - counts, np.cumsum(sizes)[:-1])
