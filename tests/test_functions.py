@@ -50,7 +50,7 @@ def test_rules_first_match_wins(spark):
     assert one(spark, *[text.classify(F.lit(n), text.OBSTACLE_RULES) for n in names]) == tuple(names.values())
     assert one(spark, text.stairs_or_ramp(F.lit("rampa")), text.stairs_or_ramp(F.lit("?")), text.layer_of(F.lit("Other"))) == ("rampe", "stepenice", None)
     assert one(spark, text.bucket(F.lit("klupe")), text.bucket(F.lit("ostalo"))) == ("klupe", "urbana_ostalo")
-    assert one(spark, text.label_of(F.lit("bedem"), text.OBSTACLE_LABELS), text.label_of(F.lit("q"), text.OBSTACLE_LABELS)) == ("Bedem (gornji/donji)", "q")
+    assert one(spark, text.label_of(F.lit("bedem"), {"bedem": "Wall"}), text.label_of(F.lit("q"), {"bedem": "Wall"})) == ("Wall", "q")
 
 
 def test_redaction_and_links(spark):
@@ -61,6 +61,29 @@ def test_redaction_and_links(spark):
     assert len(one(spark, text.content_id(F.lit("u")))[0]) == 16
 
 
+def test_image_patterns(spark):
+    urls = one(spark, text.image_urls(F.lit("<IMG alt=1 SRC='a'><img src=\"b\">")), text.resized(F.lit("a?fife=w200-h300")), text.resized(F.lit("a?xfife=s16&fife=s16")))
+    assert urls == (["a", "b"], "a?fife=w200-h300", "a?xfife=s16&fife=s1024")
+
+
+def test_redaction_searches_no_run_twice(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [("".join(r.choice("ab@@.. \u00a0:/h") for _ in range(r.randint(0, 30))),) for _ in range(3000)] + [("x" * 200_000 + "@a.b " + "y@" * 50_000,)]
+    df = spark.createDataFrame(rows[:-1], "t string")
+    bad = df.filter(F.regexp_replace("t", text.EMAIL_PATTERN, "[e-mail]") != F.regexp_replace("t", r"(?U)(?<!\S)" + text.EMAIL_PATTERN.removeprefix("(?U)"), "[e-mail]"))
+    assert bad.count() == 0
+    assert spark.createDataFrame(rows[-1:], "t string").select(text.redact(F.col("t"))).first()[0].startswith("[e-mail] y@y@")
+
+
+def test_text_for_display(spark):
+    got = one(spark, text.popup(F.lit(" \u00a0"), F.lit(12.5), F.array(F.lit("i")), "d/", kategorija=F.lit("k"), stanje=F.lit(None).cast("string")), text.deep_link("https://s", F.lit(1.0), F.lit(2.0), F.lit(14), F.timestamp_millis(F.lit(5))))
+    assert got == ('<strong>(bez imena)</strong><br><span class="muted">kategorija: k</span><br><span class="muted">dužina: 13 m</span><div class="popup-images"><a href="d/i"><img src="d/i"></a></div>', "https://s/@1.00000,2.00000,14z,5t,0b,0p,1m")
+    labels = ["Да", "да, можда", "Не", "x", None]
+    assert one(spark, *[text.tone(F.lit(v).cast("string"), text.TONE_RULES, text.TONE_PALETTE, F.lit(8)) for v in labels]) == ("#2f6b46", "#d8a93a", "#c0392b", "#4a9367", "#4a9367")
+
+
 def test_numbers(spark):
     got = one(spark, numbers.share(F.lit(1.0), F.lit(0.0)), numbers.bar_width(F.lit(1.0), F.lit(100.0)), numbers.open_green(F.lit(1.0), F.lit(2.0)), text.metres(F.lit(1234.0)), text.metres(F.lit(999.4)), numbers.ticks(F.lit(1.0), F.lit(5.0), F.lit(2.0)))
     assert got == (0.0, 2.0, 0.0, "1.23 km", "999 m", [2.0, 4.0])

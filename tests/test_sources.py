@@ -38,6 +38,8 @@ def test_corridor_from_placemarks(spark, tmp_path):
     assert {r.zone: round(r.length_m) for r in s["zone_route"].collect()} == {"A": 1112}
     assert {(r.zone, r.category): round(r.length_m) for r in s["zone_paths"].collect()} == {("A", "asfalt"): 111}
     assert {r.category: r.pct for r in s["paths"].collect()} == {"asfalt": 100.0}
+    layers = {r.layer: r.n for r in s["layers"].collect()}
+    assert set(layers) == set(corridor.LAYERS) and layers["klupe"] == 1 and layers["sport"] == 0 and s["total"].first().n == 6
     assert {r.layer: (r.n, r.per_km) for r in s["density"].collect()}["klupe"] == (1, 0.3)
     shown = f.filter("layer is not null").withColumn("feature", writers.feature(F.col("gtype"), F.col("coords"), {"name": F.col("name"), "deonica": writers.truthy(F.col("zone")), "images": writers.filled(F.col("images"))}))
     rows = {r.layer: json.loads(r.value) for r in writers.collection(shown).collect()}
@@ -63,6 +65,23 @@ def test_folders_at_any_depth(spark, tmp_path):
         assert sorted((r.folder, r.name, r.coords[0].lon) for r in got) == sorted((f"f{k}", f"p{k}", float(k)) for k in range(1, depth + 1))
 
 
+def test_first_geometry_of_collections(spark, tmp_path):
+    point = lambda x: f"<Point><coordinates>{x},1</coordinates></Point>"
+    line = "<LineString><coordinates>5,5 6,6</coordinates></LineString>"
+    marks = [f"<MultiGeometry>{line}{point(1)}{point(2)}</MultiGeometry>", f"<MultiGeometry>{line}<MultiGeometry>{point(3)}</MultiGeometry></MultiGeometry>", f"<MultiGeometry>{line}{line}</MultiGeometry>", "<Point><coordinates> </coordinates></Point>"]
+    (tmp_path / "m.kml").write_text("<kml><Folder><name>f</name>" + "".join(f"<Placemark><name>{k}</name>{m}</Placemark>" for k, m in enumerate(marks)) + "</Folder></kml>", encoding="utf-8")
+    got = readers.read_placemarks(spark, str(tmp_path / "m.kml")).orderBy("pid").collect()
+    assert [(r.gtype, [tuple(c) for c in r.coords]) for r in got] == [("Point", [(1, 1)]), ("Point", [(3, 1)]), ("LineString", [(5, 5), (6, 6)]), (None, [])]
+
+
+def test_tiles_and_heights(spark, tmp_path):
+    (tmp_path / "14/9188").mkdir(parents=True)
+    (tmp_path / "14/9188/5990.png").write_bytes(b"png")
+    assert [tuple(r) for r in readers.tile_files(spark, str(tmp_path)).collect()] == [(14, 9188, 5990, bytearray(b"png"))]
+    s = readers.with_elevation(spark.range(3).withColumnRenamed("id", "idx"), spark.createDataFrame([(0, 1.5), (2, None)], "idx long, elev double"))
+    assert [tuple(r) for r in s.orderBy("idx").collect()] == [(0, 1.5), (1, None), (2, None)]
+
+
 def test_survey_csv(spark, tmp_path):
     (tmp_path / "s.csv").write_text('t,n,e,q1,q2\n1,,,"a\nb",x\n,,,,\n2,,,c\n', encoding="utf-8")
     got = readers.read_survey(spark, str(tmp_path / "s.csv"), 5).orderBy("row_idx").collect()
@@ -85,6 +104,18 @@ def test_profile_settings_and_manifest(spark, tmp_path):
     assert [r.name for r in writers.orphans(spark.createDataFrame([("a",), ("b",)], "name string"), used).collect()] == ["b"]
 
 
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    rows = spark.range(60).select(F.timestamp_seconds(F.col("id") * 60).alias("at"), (F.col("id") % 2).alias("k"))
+    for k in range(2):
+        rows.filter(F.floor(F.unix_seconds("at") / 1800) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = incremental.windowed_counts(stream, "at", "10 minutes", "5 minutes", "k").writeStream.outputMode("append").format("memory").queryName("wc").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("wc").select(F.unix_seconds("window.start").alias("s"), "k", "n").collect()
+    assert sorted(map(tuple, got)) == [(s, k, 5) for s in range(0, 3000, 600) for k in (0, 1)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from wayline.plans.queries import zones
 

@@ -10,7 +10,7 @@ EARTH_M = 6_371_000.0
 
 def parse_coords(text: Column) -> Column:
     """'lon,lat[,alt] lon,lat ...' as array<struct<lon, lat>>; chunks without two numbers are left out."""
-    chunks = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda c: F.size(F.split(c, ",")) >= 2)
+    chunks = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+"), lambda c: F.size(F.split(c, ",")) >= 2)
     return F.transform(chunks, lambda c: F.struct(F.split(c, ",")[0].cast("double").alias("lon"), F.split(c, ",")[1].cast("double").alias("lat")))
 
 
@@ -88,6 +88,11 @@ def pixel(lon: Column, lat: Column, box: tuple[float, float, float, float], widt
     )
 
 
+def bounding_box(lon: Column, lat: Column, pad: float = 0.0) -> dict[str, Column]:
+    """Aggregates west, east, south and north, widened by pad degrees."""
+    return {"west": F.min(lon) - pad, "east": F.max(lon) + pad, "south": F.min(lat) - pad, "north": F.max(lat) + pad}
+
+
 def global_pixel(lon: Column, lat: Column, zoom: int, size: int = 256) -> tuple[Column, Column]:
     """Pixel in the whole tile grid: tile * size + offset, a join key that needs no mosaic."""
     n = float(2**zoom) * size

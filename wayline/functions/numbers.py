@@ -35,5 +35,10 @@ def ticks(low: Column, high: Column, step: Column) -> Column:
     return F.when(last >= first, F.transform(F.sequence(first, F.greatest(first, last)), lambda k: k * step)).otherwise(F.array().cast("array<double>"))
 
 
+def km_step(km: Column) -> Column:
+    """Step of a distance axis: 2 km beyond 8 km, else 1."""
+    return F.when(km > 8, 2.0).otherwise(1.0)
+
+
 def hours_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / 3.6e9

@@ -58,22 +58,21 @@ LAYER_RULES = [
 ]
 URBAN_BUCKETS = ("osvetljenje", "klupe", "kante", "letnjikovci", "sport")
 CATCH_ALL, URBAN_REST = "ostalo", "urbana_ostalo"
-OBSTACLE_LABELS = {
-    "dalekovod": "Dalekovod",
-    "privatno_zemljiste": "Privatno zemljište",
-    "most_prelaz": "Most / prelaz",
-    "bedem": "Bedem (gornji/donji)",
-    "pritoka": "Pritoka / vodotok",
-    "nedostatak_rampe": "Nedostatak rampe",
-    "nedostatak_stepenista": "Nedostatak stepeništa",
-    "objekat": "Objekat / ograda",
-    "promena_puta": "Promena karaktera puta",
-    "ostalo": "Neoznačeno",
-}
 URL_PATTERN = r"(?iU)https?://\S+"
 EMAIL_PATTERN = r"(?U)\S+@\S+\.\S+"
 PHONE_PATTERN = r"(?U)\b0\d{1,2}[/\s.\-]?\d{2,4}[/\s.\-]?\d{2,4}\b"
-IMAGE_PATTERN = r"""<img[^>]+src=["']([^"']+)["']"""
+SIZE_PATTERN = r"\bfife=s\d+\b"
+#: Colours of survey answers by what the lower-case label holds or is, in order, and for other labels by turn.
+TONE_RULES = [
+    (r"сигурно|^да$|свакодневно", "#2f6b46"),
+    (r"неколико пута", "#4a9367"),
+    (r"повремено|можда|викенд", "#d8a93a"),
+    (r"информи|нисам сигуран", "#9aa5a2"),
+    (r"^не$|никад", "#c0392b"),
+]
+TONE_PALETTE = ("#2f6b46", "#4a9367", "#d8a93a", "#c08a4f", "#4f87a5", "#9aa5a2", "#c0392b")
+UNNAMED = "(bez imena)"
+IMAGE_PATTERN = r"""(?i)<img[^>]+src=["']([^"']+)["']"""
 # End of fixed values.
 
 
@@ -123,7 +122,7 @@ def hrefs(html: Column) -> Column:
 
 def resized(url: Column, size: int = 1024) -> Column:
     """An image address with its size parameter, if it has one, set anew."""
-    return F.regexp_replace(url, r"fife=[^&]*", f"fife=s{size}")
+    return F.regexp_replace(url, SIZE_PATTERN, f"fife=s{size}")
 
 
 def content_id(url: Column) -> Column:
@@ -133,7 +132,8 @@ def content_id(url: Column) -> Column:
 def redact(comment: Column) -> Column:
     """Links, then e-mail addresses, then telephone numbers replaced; then trimmed."""
     t = F.regexp_replace(F.coalesce(comment, F.lit("")), URL_PATTERN, "[link]")
-    t = F.regexp_replace(t, EMAIL_PATTERN, "[e-mail]")
+    # A match that there is starts where its run of non-blanks does, so no run is searched again from within.
+    t = F.regexp_replace(t, r"(?U)(?<!\S)" + EMAIL_PATTERN.removeprefix("(?U)"), "[e-mail]")
     t = F.regexp_replace(t, PHONE_PATTERN, "[telefon]")
     return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
 
@@ -143,14 +143,25 @@ def metres(m: Column) -> Column:
     return F.when(m >= 1000, F.format_string("%.2f km", m / 1000)).otherwise(F.format_string("%d m", F.floor(m + 0.5)))
 
 
-def popup(name: Column, *parts: Column) -> Column:
-    """Name, or a dash without one, then what parts there are."""
-    return F.concat_ws(" · ", F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit("-")), *parts)
+def stripped(c: Column) -> Column:
+    """Without white space at both ends, as Unicode has it; null as empty."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def popup(name: Column, length_m: Column, images: Column, base: str = "", **notes: Column) -> Column:
+    """HTML of a feature: its name in bold, a line for each note that is there, its length, its images as links."""
+    line = lambda label, value: F.concat(F.lit(f'<br><span class="muted">{label}: '), value, F.lit("</span>"))
+    parts = [F.when(F.length(c) > 0, line(k, c)) for k, c in notes.items()]
+    length = F.when(length_m > 0, line("dužina", F.concat(F.floor(length_m + 0.5).cast("string"), F.lit(" m"))))
+    link = lambda u: F.concat(F.lit(f'<a href="{base}'), u, F.lit(f'"><img src="{base}'), u, F.lit('"></a>'))
+    shown = F.when(F.size(images) > 0, F.concat(F.lit('<div class="popup-images">'), F.array_join(F.transform(images, link), ""), F.lit("</div>")))
+    title = F.concat(F.lit("<strong>"), F.coalesce(F.nullif(stripped(name), F.lit("")), F.lit(UNNAMED)), F.lit("</strong>"))
+    return F.concat_ws("", title, *parts, length, shown)
 
 
-def deep_link(base: str, lat: Column, lon: Column, at: Column) -> Column:
-    """A map address for a place at a time, in epoch milliseconds."""
-    return F.format_string(f"{base}#%.5f,%.5f,16,%d", lat, lon, F.unix_millis(at))
+def deep_link(base: str, lat: Column, lon: Column, zoom: Column, at: Column) -> Column:
+    """A sun map's address for a place at a time, in epoch milliseconds."""
+    return F.format_string(f"{base}/@%.5f,%.5f,%dz,%dt,0b,0p,1m", lat, lon, zoom, F.unix_millis(at))
 
 
 def tone(label: Column, rules: Sequence[tuple[str, str]], palette: Sequence[str], place: Column) -> Column:

@@ -57,4 +57,4 @@ def comments(responses: DataFrame, column: str, seed: int = 42, least: int = LEA
     order that stays the same. ord is a position among the comments that are published, a small result."""
     clean = responses.select("row_idx", redact(F.col(column)).alias("text")).filter(F.length("text") >= least)
     once = keep_first(clean, F.lower("text"), "row_idx")
-    return once.select(F.row_number().over(Window.orderBy(F.xxhash64("text", F.lit(seed)), "row_idx")).alias("ord"), "text")
+    return once.select(F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("text")).cast("binary")), "row_idx")).alias("ord"), "text")

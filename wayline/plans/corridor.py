@@ -9,6 +9,10 @@ from wayline.functions import geo, text
 from wayline.operators import linear, spatial, stats
 
 
+# The layers that are shown, with a count even if nothing is in them.
+LAYERS = ("trasa", "zelena", "prekidi", "stepenice", "rampe", "staze", "osvetljenje", "klupe", "kante", "letnjikovci", "sport", "urbana_ostalo", "stanja", "socijalni")
+
+
 def classified(placemarks: DataFrame, zones: DataFrame) -> DataFrame:
     """placemarks with zone, layer (null: counted, not shown), category and length_m of lines."""
     f = spatial.locate_features(placemarks, zones)
@@ -45,11 +49,16 @@ def summary(placemarks: DataFrame, zones: DataFrame) -> dict[str, DataFrame]:
     f = classified(placemarks, zones)
     shown = f.filter("layer is not null")
     lines = line_segments(shown)
-    route = shown.filter("layer = 'trasa'").agg(F.max_by("length_m", "pid").alias("m"))
-    per_layer = stats.counts(shown, "layer")
+    last = F.struct(*[c for c in ("place", "pid") if c in f.columns])  # in order of the file
+    route = shown.filter("layer = 'trasa'").agg(F.max_by("length_m", last).alias("m"))
+    layers = f.sparkSession.createDataFrame([(x,) for x in LAYERS], "layer string")
+    per_layer = stats.dense(stats.counts(shown, "layer"), layers, ["layer"], "n")
     paths = shown.filter("layer = 'staze'")
     return {
+        "total": f.agg(F.count(F.lit(1)).alias("n")),
         "sources": stats.counts(f, "folder"),
+        "shapes": f.groupBy("folder").agg(*[F.count(F.when(F.col("gtype") == g, 1)).alias(g) for g in ("Point", "LineString", "Polygon")]),
+        "line_names": f.filter("gtype = 'LineString'").groupBy("folder", "norm").agg(F.count(F.lit(1)).alias("n"), F.sum("length_m").alias("length_m")),
         "layers": per_layer,
         "zone_counts": stats.counts(shown.filter("layer not in ('trasa', 'staze')"), "zone", "layer"),
         "obstacles": stats.counts(shown.filter("layer = 'prekidi'"), "category"),
@@ -61,6 +70,21 @@ def summary(placemarks: DataFrame, zones: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def shared_scales(counts: DataFrame, by: str, value: str) -> DataFrame:
+    """by, most: the largest value over all zones, at least 1, for bars that can be compared."""
+    return counts.groupBy(by).agg(F.greatest(F.lit(1.0), F.max(value).cast("double")).alias("most"))
+
+
+def strip_sums(strips: DataFrame, zone: str = "zone") -> DataFrame:
+    """zone, length_m: what the strip's intervals of each zone sum to."""
+    return strips.filter(F.col(zone).isNotNull()).groupBy(zone).agg(F.sum("length_m").alias("length_m"))
+
+
+def of_category(items: DataFrame, category: str, wanted: str, all: str = "all") -> DataFrame:
+    """The items of the wanted category, or all."""
+    return items.filter((F.lit(wanted) == all) | (F.col(category) == wanted))
+
+
 def profile(route: DataFrame, heights: DataFrame, zones: DataFrame, step_m: float = 30.0, window: int = 9) -> DataFrame:
     """route, idx, km, lon, lat, elev, elev_smooth, zone at every step of a route (route, i, lon, lat).
 

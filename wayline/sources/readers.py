@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.functions import geo, text
 
 _GEOMETRIES = "Point: STRUCT<coordinates: STRING>, LineString: STRUCT<coordinates: STRING>, Polygon: STRUCT<outerBoundaryIs: STRUCT<LinearRing: STRUCT<coordinates: STRING>>>"
-PLACEMARK = f"STRUCT<name: STRING, description: STRING, {_GEOMETRIES}, MultiGeometry: STRUCT<{_GEOMETRIES}>>"
+#: A collection of geometries is taken as the XML that it is, since collections stand in collections to any depth.
+PLACEMARK = f"STRUCT<name: STRING, description: STRING, {_GEOMETRIES}, MultiGeometry: STRING>"
 #: Folders may stand in folders; so many levels are read at first, twice as many while folders remain below the last.
 DEPTH = 4
 COORDS = "array<struct<lon:double,lat:double>>"
@@ -23,34 +24,43 @@ def _folder(depth: int) -> str:
 
 
 def read_folders(spark: SparkSession, path: str, depth: int = DEPTH) -> DataFrame:
-    """folder, placemark of every folder at any depth, a folder without placemarks as one null row."""
+    """place, folder, placemarks of every folder at any depth; place, an array, sorts folders as they stand in a file."""
     found = spark.read.format("xml").option("rowTag", "Folder").option("ignoreNamespace", "true").option("ignoreSurroundingSpaces", "false").schema(_folder(depth).replace(": ", " ", 1).replace(", Placemark: ", ", Placemark ").replace(", Folder: ", ", Folder ", 1)).load(path)
-    out, below = found.select(F.col("name").alias("folder"), F.col("Placemark").alias("placemarks")), F.coalesce("Folder", F.array())
+    keyed = lambda key, folders: F.transform(folders, lambda f, at: F.struct(F.concat(key, F.array(at.cast("long"))).alias("key"), f.alias("f")))
+    found = found.withColumn("key", F.array(F.monotonically_increasing_id()))
+    out, below = found.select(F.col("key").alias("place"), F.col("name").alias("folder"), F.col("Placemark").alias("placemarks")), keyed(F.col("key"), F.coalesce("Folder", F.array()))
     for _ in range(depth - 1):
-        out = out.unionByName(found.select(F.explode(below).alias("f")).select(F.col("f.name").alias("folder"), F.col("f.Placemark").alias("placemarks")))
-        below = F.flatten(F.transform(F.filter(below, lambda f: f["Folder"].isNotNull()), lambda f: f["Folder"]))
+        out = out.unionByName(found.select(F.explode(below).alias("b")).select(F.col("b.key").alias("place"), F.col("b.f.name").alias("folder"), F.col("b.f.Placemark").alias("placemarks")))
+        below = F.flatten(F.transform(F.filter(below, lambda b: b["f"]["Folder"].isNotNull()), lambda b: keyed(b["key"], b["f"]["Folder"])))
     return out if found.filter(F.size(below) > 0).isEmpty() else read_folders(spark, path, 2 * depth)
 
 
+def _first(kind: str, tail: str, inner: str) -> Column:
+    """The coordinates of a placemark's geometry of a kind, or of the first such in its collection."""
+    found = F.regexp_extract(F.col("p.MultiGeometry"), rf"(?s)<{kind}\b{inner}.*?<coordinates[^>]*>([^<]*)<", 1)
+    return F.coalesce(F.col(f"p.{kind}.{tail}"), F.when(F.col("p.MultiGeometry").rlike(rf"<{kind}\b"), found))
+
+
 def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
-    """folder, pid, name, norm, gtype, coords, images. Of several geometries a point goes before a line before a polygon.
+    """place, folder, pid, name, norm, gtype, coords, images. Of several geometries a point goes before a line before a
+    polygon, and of several of a kind the first; one without coordinates is none.
 
-    pid numbers a folder's placemarks in order, so the last line of a folder can be told.
+    pid numbers a folder's placemarks in order, place the folders of a file, so the last line of all can be told.
     """
-    p = read_folders(spark, path).select("folder", F.posexplode("placemarks").alias("pid", "p"))
-    pick = lambda kind, tail: F.coalesce(F.col(f"p.{kind}.{tail}"), F.col(f"p.MultiGeometry.{kind}.{tail}"))
-    point, line, ring = pick("Point", "coordinates"), pick("LineString", "coordinates"), pick("Polygon", "outerBoundaryIs.LinearRing.coordinates")
+    p = read_folders(spark, path).select("place", "folder", F.posexplode("placemarks").alias("pid", "p"))
+    point, line = _first("Point", "coordinates", ""), _first("LineString", "coordinates", "")
+    ring = _first("Polygon", "outerBoundaryIs.LinearRing.coordinates", ".*?<outerBoundaryIs")
+    p = p.withColumns({"kind": F.when(point.isNotNull(), "Point").when(line.isNotNull(), "LineString").when(ring.isNotNull(), "Polygon"), "coords": geo.parse_coords(F.coalesce(point, line, ring))})
     return p.select(
-        "folder", F.col("pid").cast("long").alias("pid"), F.col("p.name").alias("name"), text.normalize(F.col("p.name")).alias("norm"),
-        F.when(point.isNotNull(), "Point").when(line.isNotNull(), "LineString").when(ring.isNotNull(), "Polygon").alias("gtype"),
-        geo.parse_coords(F.coalesce(point, line, ring)).alias("coords"), text.image_urls(F.col("p.description")).alias("images"),
+        "place", "folder", F.col("pid").cast("long").alias("pid"), F.col("p.name").alias("name"), text.normalize(F.col("p.name")).alias("norm"),
+        F.when(F.size("coords") > 0, F.col("kind")).alias("gtype"), "coords", text.image_urls(F.col("p.description")).alias("images"),
     )
 
 
 def split_zones(placemarks: DataFrame, prefix: str = "meta_deonice") -> tuple[DataFrame, DataFrame]:
     """Zones (zone, ring) from the folders of that prefix, and the other placemarks."""
-    is_zone = F.lower(F.trim(F.coalesce("folder", F.lit("")))).startswith(prefix)
-    zones = placemarks.filter(is_zone & (F.col("gtype") == "Polygon") & (F.size("coords") > 0)).select(F.trim("name").alias("zone"), F.col("coords").alias("ring"))
+    is_zone = F.lower(text.stripped(F.col("folder"))).startswith(prefix)
+    zones = placemarks.filter(is_zone & (F.col("gtype") == "Polygon") & (F.size("coords") > 0)).select(text.stripped(F.col("name")).alias("zone"), F.col("coords").alias("ring"))
     return zones, placemarks.filter(~is_zone)
 
 
@@ -70,7 +80,9 @@ def read_survey(spark: SparkSession, path: str, columns: int = 9) -> DataFrame:
     """
     names = [f"c{k}" for k in range(columns)]
     rows = spark.read.csv(path, schema=", ".join(f"{n} STRING" for n in names), header=True, multiLine=True, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE")
-    any_text = F.exists(F.array(*names), lambda c: F.length(F.trim(F.coalesce(c, F.lit("")))) > 0)
+    any_text = F.exists(F.array(*names), lambda c: F.length(text.stripped(c)) > 0)
+    if len(rows.inputFiles()) > 1:
+        raise ValueError("a survey is one file: rows of several have no order")
     return rows.withColumn("row_idx", F.monotonically_increasing_id()).filter(any_text).select("row_idx", *names)
 
 
@@ -86,9 +98,10 @@ def with_elevation(samples: DataFrame, heights: DataFrame) -> DataFrame:
 
 
 def tile_files(spark: SparkSession, path: str) -> DataFrame:
-    """x, y, content of stored tiles named .../z/x/y.png; decoding the images is left to the caller."""
+    """z, x, y, content of stored tiles named .../z/x/y.png; decoding the images is left to the caller."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"/(\d+)/(\d+)\.\w+$", 1).cast("long").alias("x"), F.regexp_extract("path", r"/(\d+)/(\d+)\.\w+$", 2).cast("long").alias("y"), "content")
+    part = lambda k: F.regexp_extract("path", r"/(\d+)/(\d+)/(\d+)\.\w+$", k).cast("long")
+    return files.select(part(1).alias("z"), part(2).alias("x"), part(3).alias("y"), "content")
 
 
 def settings(path: str, into: dict[str, str] | None = None) -> Mapping[str, str]:
