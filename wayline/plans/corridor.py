@@ -65,7 +65,7 @@ def summary(placemarks: DataFrame, zones: DataFrame) -> dict[str, DataFrame]:
         "paths": stats.shares(paths, [], "category", F.col("length_m")),
         "zone_paths": spatial.length_by_zone(lines.filter("layer = 'staze'"), zones, "category"),
         "zone_route": spatial.length_by_zone(lines.filter("layer = 'trasa'"), zones),
-        "vegetation": shown.filter("category in ('visoka_vegetacija', 'niska_vegetacija')").groupBy("category").agg(F.sum("length_m").alias("length_m")),
+        "vegetation": shown.filter("gtype = 'LineString' and category in ('visoka_vegetacija', 'niska_vegetacija')").groupBy("category").agg(F.sum("length_m").alias("length_m")),
         "density": per_layer.crossJoin(F.broadcast(route)).withColumns(stats.density(F.col("n"), F.col("m") / 1000.0)).drop("m"),
     }
 

@@ -324,12 +324,12 @@ def ordered_hash(spark, d):
     return linear.ordered_hash(_events(spark, d, "event_type"), "user_id", "ts", F.concat("event_id", F.lit(","), "event_type", F.lit("|")))
 
 
-@query("""WITH g AS (SELECT DISTINCT user_id % 10 AS grp FROM events), t AS (SELECT DISTINCT event_type FROM events), c AS (SELECT user_id % 10 AS grp, event_type, round(sum(value), 2) AS amount FROM events WHERE value > 90 AND user_id % 3 = 0 GROUP BY ALL)
+@query("""WITH g AS (SELECT DISTINCT user_id % 10 AS grp FROM events), t AS (SELECT DISTINCT event_type FROM events), c AS (SELECT user_id % 10 AS grp, event_type, round(sum(value), 2) AS amount FROM events GROUP BY ALL)
 SELECT grp, event_type, coalesce(amount, 0) AS amount FROM g CROSS JOIN t LEFT JOIN c USING (grp, event_type)""")
 def pivot_dense(spark, d):
-    e = _t(spark, d, "events").select((F.col("user_id") % 10).alias("grp"), "event_type", "value", "user_id")
+    e = _t(spark, d, "events").select((F.col("user_id") % 10).alias("grp"), "event_type", "value")
     grid = e.select("grp").distinct().crossJoin(e.select("event_type").distinct())  # ten groups by a few types
-    found = e.filter("value > 90 and user_id % 3 = 0").groupBy("grp", "event_type").agg(F.round(F.sum("value"), 2).alias("amount"))
+    found = e.groupBy("grp", "event_type").agg(F.round(F.sum("value"), 2).alias("amount"))
     return stats.dense(found, grid, ["grp", "event_type"], "amount")
 
 
@@ -423,14 +423,16 @@ def xml_scan(spark, d):
     return p.select("folder", "name", "norm", "gtype", F.round(F.get("coords", F.lit(0))["lon"], 4).alias("lon"), F.size("images").alias("images"))
 
 
-@query()
+@query(f"""SELECT c_custkey, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || lon || ',' || lat || ']}},"properties":{{"name":"' || c_name || '"}}}}' AS feature FROM (SELECT c_custkey, c_name, {_lon_sql('c_custkey')} FROM customer)""")
 def geojson_features(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name")).withColumns(_place("c_custkey"))
     shape = F.array(F.struct("lon", "lat"))
     return c.select(F.col("c_custkey"), writers.feature(F.lit("Point"), shape, {"name": writers.truthy(F.col("name"))}).alias("feature"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)https?://\S+', '[link]', 'g'), '\S+@\S+\.\S+', '[e-mail]', 'g'), '\b0\d{1,2}[/\s.\-]?\d{2,4}[/\s.\-]?\d{2,4}\b', '[telefon]', 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) AS k FROM c WHERE length(text) >= 15)
+SELECT row_number() OVER (ORDER BY md5('42:' || text), doc_id)::INT AS ord, text FROM o WHERE k = 1""")
 def seeded_order(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("row_idx"), F.col("text").alias("c"))
     return survey.comments(docs, "c")
