@@ -23,12 +23,15 @@ empty table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +47,7 @@ SMOOTHING = 0.05
 THRESHOLD = 0.3
 ROWS_AT_ONCE = 1000
 #: Texts that meet the index at once; words in a larger share of the examples are frequent.
-TEXTS_AT_ONCE, FREQUENT = 128, 1 / 16
+TEXTS_AT_ONCE, FREQUENT = 64, 1 / 16
 
 words = re.compile(r"\w+").findall
 
@@ -239,14 +242,23 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
     return Index(every, np.log((1 + n) / (1 + holders)) + 1, lean, got["doc_id"].to_pylist(), y, votes, sizes, terms, tf)
 
 
+def shipped(spark: SparkSession, index: Index) -> Broadcast:
+    """The index, packed: workers keep what is broadcast for as long as they live."""
+    return spark.sparkContext.broadcast(zlib.compress(pickle.dumps(index), 1))
+
+
+def opened(packed: Broadcast) -> Index:
+    return pickle.loads(zlib.decompress(packed.value))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, score and evidence (nearest examples: doc_id, label, cosine) of every row of docs."""
     spark = docs.sparkSession
-    index = spark.sparkContext.broadcast(learn(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), labels))
+    index = shipped(spark, learn(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), labels))
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", docs.schema[id].dataType), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = index.value.scores
+        scores = opened(index).scores  # of this task, so a worker that goes on to other work holds none
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(at, ROWS_AT_ONCE)
@@ -262,11 +274,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with their own columns."""
     spark = docs.sparkSession
-    index = spark.sparkContext.broadcast(learn(docs.select("doc_id", "text"), labels))
+    index = shipped(spark, learn(docs.select("doc_id", "text"), labels))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = index.value.scores
+        scores = opened(index).scores
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(start, ROWS_AT_ONCE)
