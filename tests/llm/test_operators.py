@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,27 @@ def test_recall_and_exact_scores(spark, sf, metric):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_recall_on_many_vectors(spark, monkeypatch):
+    """20,000 vectors about 400 centres, their queries in several batches over several blocks."""
+    monkeypatch.setattr(nearest, "QUERY_BATCH", 300)
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(400, 32))[rng.integers(0, 400, 20_000)] + 0.5 * rng.normal(size=(20_000, 32))).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    found = defaultdict(set)
+    for r in nearest.search(df, F.col("id") % 20 == 0, k=20).collect():
+        found[r.query_id].add(r.id)
+    products = x[::20].astype(np.float64) @ x.T.astype(np.float64)
+    products[np.arange(len(products)), np.arange(0, len(x), 20)] = -np.inf
+    want = np.argsort(-products, axis=1)[:, :20]
+    assert len(found) == len(want) and sum(len(found[20 * q] & set(w.tolist())) for q, w in enumerate(want)) >= 0.95 * want.size
+
+
+def test_lengths_and_repeated_ids(spark):
+    v = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.0]), (20, [1.0, 1.0, 1.0]), (3, [2.0, 0.0, 0.0]), (3, [0.0, 0.0, 3.0])]
+    got = nearest.search(spark.createDataFrame(v, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0, k=20).collect()
+    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in got) == [(0, 1, 0, 0.0), (0, 1, 1, 0.5), (0, 2, 0, 0.0), (0, 2, 1, 0.0), (20, 1, 3, 3.0), (20, 2, 3, 2.0)]
+
+
 def test_odd_vectors(spark):
     v = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 2.0, 3.0]), (8, [0.5, 0.5]), (9, [1.0, 0.0]), (9, [1.0, 0.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>").withColumns({"id": F.lit(1), "class": F.lit("c"), "v": F.lit(0)})

@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,15 +54,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it again. It goes when the driver's JVM ends."""
-    spark = df.sparkSession
+    return materialize_all([df], name)
+
+
+def materialize_all(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """One table of all parts, at least one, each written before the next is asked for."""
     own = f"{name}-{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/{own}"
-    _made.add(own)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    schema = df.schema
-    df.write.parquet(path)
+    for k, df in enumerate(parts):
+        if not k:
+            spark, schema = df.sparkSession, df.schema
+            path = f"{shared_dir(spark)}/{own}"
+            _made.add(own)
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        df.write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -7,30 +7,37 @@ squared norm of the sum is stored with the code, so inner product and Euclidean
 query's products with all codewords: a candidate's score is a sum of CODEBOOKS table entries.
 
 Equal vectors are coded once; a class of copies stands for its smallest ids, of which a search for k needs k + 1.
-Codes are kept in blocks of BLOCK; queries come in blocks of QUERY_BLOCK, each meeting each code block once, and
-hand on their RERANKED best of it. The best of all blocks are scored on the original vectors in double precision.
-
-Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do those of another
-length than most, nor rows without an id; of several vectors under one id the smallest counts; ties go to the
-smaller id; with fewer than k candidates all are returned; an empty table gives no rows; further columns are ignored.
+Codes are kept in blocks of BLOCK. Queries come in batches of QUERY_BATCH, whose vectors are broadcast (at most
+QUERY_BYTES): each batch is one pass over the codes, in which a task keeps the RERANKED best of all its blocks for each
+query. So codes are never shuffled or copied, and the tasks of a pass do not grow with the queries. What the passes
+found is scored in one join, on the original vectors in double precision.
+
+Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id;
+vectors of different lengths are searched apart, each among those of its length; rows of equal id and vector count
+once, and of differing vectors under one id each is a candidate and a query of its own; ties go to the smaller id; with
+fewer than k candidates all are returned; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayline.llm._common import materialize, table
+from wayline.llm._common import materialize, materialize_all, table
 
 CODEBOOKS, CODEWORDS = 32, 256
 SAMPLE = 16_384
 BEAM = 4
 RERANKED = 400
-BLOCK, QUERY_BLOCK = 65_536, 128
+BLOCK, QUERY_BATCH = 8192, 8192
+QUERY_BYTES = 16 << 20
+#: Queries that meet a block at once.
+QUERIES_AT_ONCE = 16
 ROUNDS = 8
 
 
@@ -91,26 +98,36 @@ def _coder(books):
     return run
 
 
-def _scanner(books, metric: str, keep: int):
+def _scanner(books, asked, metric: str, keep: int):
+    """Of each query in asked (numbers, vectors) the keep best of a task's blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, queries = asked.value
+        words = books.value.reshape(-1, books.value.shape[2])
+        parts = range(0, len(queries), QUERIES_AT_ONCE)
+        best = [(np.zeros((len(queries[at : at + QUERIES_AT_ONCE]), 0), np.float32), np.zeros((len(queries[at : at + QUERIES_AT_ONCE]), 0), np.int64)) for at in parts]
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k] for c in batch.schema.names}
-                queries = np.array([q["v"] for q in row["queries"].as_py()], np.float32)
-                names = np.array([q["id"] for q in row["queries"].as_py()])
-                ids = row["ids"].values.to_numpy()
-                codes = np.frombuffer(b"".join(row["codes"].as_py()), np.uint8).reshape(len(ids), -1)
-                norms = row["norms"].values.to_numpy()
-                tables = np.einsum("qd,mkd->qmk", queries, books.value)
-                for at in range(0, len(queries), 16):
-                    score = np.zeros((len(queries[at : at + 16]), len(ids)), np.float32)
-                    for m in range(codes.shape[1]):
-                        score += tables[at : at + 16, m][:, codes[:, m]]
+                ids = batch.column("ids")[k].values.to_numpy()
+                codes = np.frombuffer(b"".join(batch.column("codes")[k].as_py()), np.uint8).reshape(len(ids), -1).T.copy()
+                norms = batch.column("norms")[k].values.to_numpy()
+                for p, at in enumerate(parts):
+                    part = queries[at : at + QUERIES_AT_ONCE]
+                    tables = (part @ words.T).reshape(len(part), len(codes), -1)
+                    score = np.zeros((len(part), len(ids)), np.float32)
+                    for m, code in enumerate(codes):
+                        score += tables[:, m][:, code]
                     if metric == "l2":
                         score = 2 * score - norms
-                    n = min(keep, len(ids))
-                    best = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at : at + 16], n)), pa.array(ids[best].reshape(-1)), pa.array(np.take_along_axis(score, best, 1).reshape(-1))], names=["query_id", "class", "near"])
+                    both = np.concatenate([best[p][0], score], axis=1)
+                    names = np.concatenate([best[p][1], np.broadcast_to(ids, score.shape)], axis=1)
+                    n = min(keep, both.shape[1])
+                    top = np.argpartition(-both, n - 1, axis=1)[:, :n]
+                    best[p] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+        for at, (score, names) in zip(parts, best, strict=True):
+            if score.shape[1]:
+                each = np.repeat(numbers[at : at + QUERIES_AT_ONCE], score.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(names.reshape(-1)), pa.array(score.reshape(-1))], names=["query", "class", "near"])
 
     return run
 
@@ -120,9 +137,7 @@ def usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
     v = F.col("v")
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull()).filter(fine)
-    rows = materialize(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
-    length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.filter(F.size("v") == (length[0]["d"] if length else 0))
+    return materialize(rows.distinct(), "vectors")
 
 
 def _product(a: Column, b: Column, metric: str) -> Column:
@@ -137,38 +152,51 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id"
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id, vector)
+    lengths = [r["d"] for r in rows.filter(is_query).select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    found = [_search(rows.filter(F.size("v") == d), is_query, d, k, metric, reranked) for d in lengths]
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], "query_id long, rank int, id long, score double")
+
+
+def _search(rows: DataFrame, is_query: Column, length: int, k: int, metric: str, reranked: int) -> DataFrame:
+    """search() among distinct rows (id, v) of one length, at least one of them a query."""
+    spark = rows.sparkSession
     # Of equal vectors k + 1 ids are enough: first within each of 64 parts, then of these.
     part = Window.partitionBy("v", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
     few = rows.withColumn("n", F.row_number().over(part)).filter(F.col("n") <= k + 1)
-    whole = Window.partitionBy("v").orderBy("id")
-    few = few.withColumn("n", F.row_number().over(whole)).withColumn("class", F.first("id").over(whole)).filter(F.col("n") <= k + 1)
-    members = materialize(few.select("class", "id", "n", "v"), "members")
-    classes = members.filter("n = 1").select("class", "v")
-
-    sample = classes.orderBy(F.xxhash64("class"), "class").limit(SAMPLE).select("v").collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    if not sample:
-        return empty
-    books = spark.sparkContext.broadcast(learn_codebooks(np.array([r["v"] for r in sample], np.float32)))
-    codes = classes.mapInArrow(_coder(books), "id long, code binary, norm float")
-    n_blocks = max(1, -(-classes.count() // BLOCK))
-    blocks = codes.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(F.array_sort(F.collect_list(F.struct("id", "code", "norm"))).alias("rows"))
-    blocks = materialize(blocks.select("block", F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes"), F.col("rows.norm").alias("norms")), "codes")
-
-    asking = materialize(rows.filter(is_query), "queries")
-    n_query_blocks = max(1, -(-asking.count() // QUERY_BLOCK))
-    query_blocks = asking.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_query_blocks)).cast("long").alias("query_block")).agg(F.array_sort(F.collect_list(F.struct("id", "v"))).alias("queries"))
-    every = blocks.withColumn("query_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query_blocks - 1).cast("long"))))
-    meeting = every.join(query_blocks, "query_block").repartition(n_query_blocks * n_blocks, "query_block", "block")
-    found = meeting.select("queries", "ids", "codes", "norms").mapInArrow(_scanner(books, metric, reranked + 1), "query_id long, class long, near float")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "class")
-    near = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= reranked + 1).select("query_id", "class")
-
-    exact = near.join(classes, "class").join(asking.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    exact = exact.select("query_id", "class", _product(F.col("q"), F.col("v"), metric).alias("score"))
-    each = exact.join(members.select("class", "id"), "class").filter("id <> query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    few = few.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
+    classes = materialize(few.withColumn("class", F.monotonically_increasing_id()), "classes")
+
+    sample = classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toArrow()["v"].combine_chunks()
+    books = spark.sparkContext.broadcast(learn_codebooks(_matrix(sample).astype(np.float32)))
+    codes = classes.select("class", "v").mapInArrow(_coder(books), "id long, code binary, norm float")
+    n_blocks = -(-classes.count() // BLOCK)
+    blocks = codes.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("id", "code", "norm")).alias("rows"))
+    blocks = blocks.select(F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes"), F.col("rows.norm").alias("norms"))
+    blocks = materialize(blocks.repartition(min(n_blocks, max(4 * spark.sparkContext.defaultParallelism, n_blocks // 64))), "codes")
+
+    asking = rows.filter(is_query)
+    n_batches = -(-asking.count() // min(QUERY_BATCH, max(1, QUERY_BYTES // (4 * length))))
+    numbered = asking.withColumns({"query": F.monotonically_increasing_id(), "batch": F.pmod(F.xxhash64("id"), F.lit(n_batches)).cast("int")})
+    asking = materialize(materialize(numbered, "numbered").repartitionByRange("batch").sortWithinPartitions("batch"), "queries")
+
+    def passes() -> Iterator[DataFrame]:
+        best = Window.partitionBy("query").orderBy(F.desc("near"), "class")
+        for b in range(n_batches):
+            batch = asking.filter(F.col("batch") == b).select("query", "v").toArrow().combine_chunks()
+            if not batch.num_rows:
+                continue
+            asked = spark.sparkContext.broadcast((batch["query"].to_numpy(), _matrix(batch["v"].combine_chunks()).astype(np.float32)))
+            found = blocks.mapInArrow(_scanner(books, asked, metric, reranked + 1), "query long, class long, near float")
+            yield found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= reranked + 1).select("query", "class")
+            asked.destroy()
+
+    near = materialize_all(passes(), "near")
+    of_query = asking.select("query", F.col("id").alias("query_id"), F.col("v").alias("q"))
+    exact = near.join(classes, "class").join(of_query, "query")
+    each = exact.select("query", "query_id", (F.col("q") == F.col("v")).alias("equal"), _product(F.col("q"), F.col("v"), metric).alias("score"), F.explode("ids").alias("id"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    ranked = each.filter("id <> query_id or not equal").withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
