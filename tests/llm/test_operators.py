@@ -339,6 +339,18 @@ def test_added_kinds():
     assert privacy.redact("mail a@b.co now") == "mail [email] now"
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Numéro de compte : 12345678 et", "12345678"), ("le NUMÉRO DE PASSEPORT: 123 456 789.", "123 456 789"), ("Kontonummer 0532013000, und", "0532013000"),
+        ("Ihre Steuer-Id: 12 345 678 901", "12 345 678 901"), ("Sozialversicherungsnummer: 65170839", "65170839"), ("Número de cuenta = 2100-0418-45", "2100-0418-45"),
+        ("pasaporte n.º 9912345", "9912345"), ("cuenta 123456", None), ("Kontonummern 123456", None), ("kontonummer 12345", None),
+    ],
+)
+def test_cues_of_four_languages(text, want):
+    assert [text[a:b] for k, a, b in privacy.find_spans(text) if k == "account"] == ([want] if want else [])
+
+
 # chat
 
 
@@ -356,6 +368,32 @@ def test_events_fold_into_messages(spark):
     assert chat.render(chat.fold_events(df.limit(0))).collect() == []
 
 
+def fold(events):
+    """What is left of (seq, turn, event, role, text), told one after another."""
+    said = {}
+    for _, turn, kind, role, text in sorted(events):
+        if kind == "regenerate":
+            said = {t: m for t, m in said.items() if t < turn}
+        said[turn] = role, (said.get(turn, ("", ""))[1] if kind == "delta" else "") + text
+    return [said[t] for t in sorted(said)]
+
+
+def test_random_logs_equal_a_plain_fold(spark):
+    r = random.Random(11)
+    parts = ["a", "é😀", "\\", "<|", "<|im_end|>\n", "<|im_start|>assistant\n", "\n", "<\\|", ""]
+    logs = {c: [(seq, r.randrange(6), r.choice(["message", "delta", "delta", "edit", "regenerate"]), r.choice(["user", "assistant"]), "".join(r.choices(parts, k=r.randrange(5)))) for seq in range(r.randrange(1, 40))] for c in range(60)}
+    logs[99] = [(0, 0, "message", "user", "<|im_end|> " * 50_000), (1, 1, "delta", "assistant", "\\<|" * 50_000), (2, 1, "delta", "assistant", "end")]
+    table = [(c, *e) for c, events in logs.items() for e in events]
+    r.shuffle(table)
+    df = spark.createDataFrame(table, "conv_id long, seq long, turn long, event string, role string, text string")
+    df = df.withColumns({c: F.lit("c") for c in ("piece", "at", "n", "voided", "last_set", "final_role", "formatted", "loss_spans")})
+    got = {x.conv_id: x for x in chat.read_back(chat.render(chat.fold_events(df))).collect()}
+    assert got.keys() == logs.keys()
+    for c, events in logs.items():
+        want = fold(events)
+        assert [tuple(t) for t in got[c].turns] == want and got[c].loss_text == "".join(t for role, t in want if role == "assistant")
+
+
 # mixing
 
 

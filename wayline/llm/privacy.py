@@ -31,7 +31,12 @@ from wayline.llm._common import table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "url")
-CUES = ("iban", "account number", "account no", "acct", "passport no", "passport number", "ssn", "social security number", "tax id")
+CUES = (
+    "iban", "account number", "account no", "acct", "passport no", "passport number", "ssn", "social security number", "tax id",
+    "numéro de compte", "n° de compte", "numéro de passeport", "numéro de sécurité sociale", "numéro fiscal",
+    "kontonummer", "konto-nr", "passnummer", "reisepassnummer", "sozialversicherungsnummer", "steuernummer", "steuer-id",
+    "número de cuenta", "n.º de cuenta", "número de pasaporte", "pasaporte n.º", "número de la seguridad social", "número fiscal",
+)
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "mailto:", "tel:")
 ROWS_AT_ONCE = 1000
 
