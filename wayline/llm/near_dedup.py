@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm._common import forget, internal, materialize, table, whole_text
+from wayline.llm._common import forget, internal, materialize, table, tidy, whole_text
 from wayline.llm._hashing import mix, slices, window_hashes, word_hashes
 from wayline.llm.components import components, merge
 
@@ -116,6 +116,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+@tidy
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 2000):
@@ -154,6 +155,7 @@ def similar(a: frozenset, b: frozenset) -> bool:
     return 100 * shared >= LEAST_PERCENT * (len(a) + len(b) - shared)
 
 
+@tidy
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pivot: tuple[str, frozenset] = ("", frozenset())
     for batch in batches:
@@ -168,6 +170,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
 
 
+@tidy
 def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each pair: the size of b's set, what it shares with a's, and its shingles outside that."""
     pivot: tuple[str, np.ndarray] = ("", np.zeros(0, np.uint64))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayline.llm._common import materialize, table
+from wayline.llm._common import materialize, table, tidy
 
 EXAMPLES = 4096
 NEAREST = 8
@@ -183,6 +183,7 @@ def choose_examples(docs: DataFrame, labels: DataFrame, label: str, examples: in
 def class_counts(examples: DataFrame) -> DataFrame:
     """term, clean, toxic: of each word of the examples, how many of each class have it."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = (Counter(), Counter())
         for batch in batches:
@@ -206,6 +207,7 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> DataFrame:
     """term, n: the number of documents that hold each term, over the whole table; without a term, of all documents."""
     wanted = frozenset(terms)
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, by = 0, Counter()
         for batch in batches:
@@ -227,6 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
     toxic, clean, holders = (known[c].fill_null(0).to_numpy().astype(np.float64) for c in ("toxic", "clean", "n"))
     at = {t: k for k, t in enumerate(every)}
 
+    @tidy
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tf = [Counter(at[w] for w in words(t.lower())) for t in batch.column(3).to_pylist()]
@@ -257,6 +260,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     index = shipped(spark, learn(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), labels))
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", docs.schema[id].dataType), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = opened(index).scores  # of this task, so a worker that goes on to other work holds none
         for batch in batches:
@@ -277,6 +281,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     index = shipped(spark, learn(docs.select("doc_id", "text"), labels))
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = opened(index).scores
         for batch in batches:
