@@ -111,8 +111,8 @@ class Index:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places and unit weights of the text's words that examples have."""
-        tf = Counter(map(self.terms.get, words(text.lower())))
-        tf.pop(None, None)
+        known = self.terms.get
+        tf = {at: n for word, n in Counter(words(text.lower())).items() if (at := known(word)) is not None}
         at = np.fromiter(tf, np.int64, len(tf))
         return at, self.unit(at, np.fromiter(tf.values(), np.int64, len(tf)))
 
@@ -140,16 +140,18 @@ class Index:
             first = np.zeros(bound.shape, bool)
             np.put_along_axis(first, np.argpartition(-bound, min(4, blocks) - 1, axis=1)[:, :4] if blocks else np.zeros((len(part), 0), int), True, axis=1)
             for wanted in (first, None):
-                if wanted is None:  # what is found so far, in part or in full, is a threshold for the bounds of the rest
-                    wanted = bound >= self.floors(scores)[:, None] * (1 - 1e-12)
+                if wanted is None:  # what the best blocks hold is a threshold for the bounds of the rest
+                    wanted = bound >= self.floors(by_block[first].reshape(len(part), -1))[:, None] * (1 - 1e-12)
                 for b in np.flatnonzero((wanted & ~full).any(axis=0)):
                     k = np.flatnonzero(wanted[:, b] & ~full[:, b])
                     by_block[k, b] += queries[k] @ dense[b]
                 full |= wanted
-            scores[~np.repeat(full, BLOCK, axis=1)] = 0.0
-            for one, row, floor in zip(leaning, scores, self.floors(scores), strict=True):
-                places = np.flatnonzero((row >= floor - 1e-9) & (row > 0))
-                found = np.minimum(np.round(row[places], 9), 1.0)
+            for k, one in enumerate(leaning):
+                there = np.flatnonzero(full[k])
+                row = by_block[k, there].reshape(1, -1)
+                at = np.flatnonzero((row[0] >= self.floors(row)[0] - 1e-9) & (row[0] > 0))
+                places = there[at // BLOCK] * BLOCK + at % BLOCK
+                found = np.minimum(np.round(row[0, at], 9), 1.0)
                 best = np.lexsort((places, -found))[:NEAREST]
                 yield one, places[best], found[best]
 
@@ -213,7 +215,7 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> DataFrame:
         for batch in batches:
             n += batch.num_rows
             for text in batch.column(0).to_pylist():
-                by.update(wanted.intersection(words((text or "").lower())))
+                by.update(wanted.intersection(set(words((text or "").lower()))))
         yield pa.RecordBatch.from_arrays([pa.array([None, *by], pa.string()), pa.array([n, *by.values()], pa.int64())], names=["term", "n"])
 
     return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
