@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.llm import chat, exact_dedup, lm_scoring, mixing, near_dedup, nearest, pieces, privacy, substring, toxicity
+from wayline.llm import chat, divergence, exact_dedup, lm_scoring, manifest, mixing, near_dedup, nearest, pieces, privacy, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_personal_data": privacy.op8_personal_data,
         "op9_chat_format": chat.op9_chat_format,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_merkle_manifest": manifest.op11_merkle_manifest,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_quality": quality.op13_quality,
     }
 
 
@@ -32,4 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.OP6_SQL,
         "op9_chat_format": chat.OP9_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
+        "op11_merkle_manifest": manifest.OP11_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
     }
