@@ -24,24 +24,28 @@ V = 0 gives 0 for each pair; repeated rows count each time; an empty table gives
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 from string import ascii_lowercase, ascii_uppercase
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.llm._common import materialize, table
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A byte as it stands in a term; what is in none is a space. Bytes from 0x80 on are parts of other letters.
+_AS_TERMS = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+#: Counts that a task holds, and rows that it hands on at once.
+ENTRIES = 400_000
+ROWS = 65_536
 LEAST_DOCS = 3
 ONE = 1_000_000_000
 RANKS = 200
 
 
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit(TERM), F.lit(0))
-
-
 def scaled(count: Column, n: Column, v: Column) -> Column:
     """p of a count; exact, whatever the counts."""
     whole = lambda c: c.cast("decimal(19,0)")
@@ -53,11 +57,39 @@ def f(p: Column, q: Column) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with it). docs: lang, source, text, none null."""
-    listed = docs.select("lang", "source", terms(F.col("text")).alias("terms"))
-    each = F.explode(F.array(F.struct(F.col("terms").alias("terms"), F.lit(1).alias("n"), F.lit(0).alias("d")), F.struct(F.array_distinct("terms").alias("terms"), F.lit(0).alias("n"), F.lit(1).alias("d"))))
-    rows = listed.select("lang", "source", each.alias("e")).select("lang", "source", F.explode("e.terms").alias("term"), "e.n", "e.d")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
+    """lang, source, term, n (occurrences), docs (documents with it). docs: lang, source, text, none null.
+
+    A byte of a text is a separator, a letter to lower, or stays, so terms are found on the UTF-8 bytes. Each task adds up at most
+    ENTRIES counts, and what one more text brings, before it hands them on.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
+        held = 0
+        for batch in batches:
+            for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
+                words = text.as_buffer().to_pybytes().translate(_AS_TERMS).split()
+                n, in_docs = found.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+                held -= len(n)
+                n.update(words)
+                in_docs.update(set(words))
+                held += len(n)
+                if held > ENTRIES:
+                    yield from _rows(found)
+                    found, held = {}, 0
+        yield from _rows(found)
+
+    rows = docs.mapInArrow(count, "lang string, source string, term string, n long, docs long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _rows(found: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]]) -> Iterator[pa.RecordBatch]:
+    for (lang, source), (n, docs) in found.items():
+        for first in range(0, len(n), ROWS):
+            terms = list(islice(n, first, first + ROWS))
+            same = lambda v: pa.repeat(pa.scalar(v, pa.string()), len(terms))  # noqa: E731, B023
+            columns = [same(lang), same(source), pa.array(terms, pa.binary()).cast(pa.string()), pa.array([n[t] for t in terms], pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
 
 def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least_docs: int = LEAST_DOCS, ranks: int = RANKS) -> DataFrame:
