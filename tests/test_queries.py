@@ -5,7 +5,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from wayline.plans.corridor_queries import QUERIES, SQL
+from wayline.plans.scale_queries import QUERIES, SQL
 
 
 def rows(frame, columns):

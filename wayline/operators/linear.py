@@ -1,12 +1,12 @@
 """Ordered series: segments, resampling, smoothing, gaps, runs, nearest neighbours in order.
 
 Every window here is partitioned by the line (or user, or route), so lines run side by side; a null-free key column
-names the line. by may be several columns.
+names the line. by may be several columns. A line has to fit one task; scan.py has the same operators for lines that do not.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -35,15 +35,22 @@ def cumulative(segs: DataFrame, by: str, order: str) -> DataFrame:
 
 def resample(points: DataFrame, by: str, order: str, step_m: float, tail_m: float = 1.0) -> DataFrame:
     """by, at_m, lon, lat at 0, step, 2 step, ... and at the end if the last of these is more than tail_m before it."""
-    c = cumulative(segments(points, by, order), by, order).filter("length_m > 0")
+    return resampled(points, cumulative(segments(points, by, order), by, order), by, order, step_m, tail_m)
+
+
+def resampled(points: DataFrame, along: DataFrame, by: str | Sequence[str], order: str, step_m: float, tail_m: float) -> DataFrame:
+    """resample by the segments of the points, with from_m and to_m."""
+    keys = [by] if isinstance(by, str) else list(by)
+    c = along.filter("length_m > 0")
     first, last = F.floor(F.col("from_m") / step_m) + 1, F.floor(F.col("to_m") / step_m)
-    along = c.filter(last >= first).withColumn("k", F.explode(F.sequence(first, last))).withColumn("at_m", F.col("k") * F.lit(float(step_m)))
+    each = c.filter(last >= first).withColumn("k", F.explode(F.sequence(first, last))).withColumn("at_m", F.col("k") * F.lit(float(step_m)))
     share = (F.col("at_m") - F.col("from_m")) / F.col("length_m")
-    inner = along.select(by, "at_m", geo.interpolate(F.col("lon1"), F.col("lon2"), share).alias("lon"), geo.interpolate(F.col("lat1"), F.col("lat2"), share).alias("lat"))
-    ends = points.groupBy(by).agg(F.min_by(F.struct("lon", "lat"), order).alias("a"), F.max_by(F.struct("lon", "lat"), order).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    start = ends.select(by, F.lit(0.0).alias("at_m"), "a.lon", "a.lat")
-    total = c.groupBy(by).agg(F.max("to_m").alias("at_m"))
-    end = ends.join(total, by).filter(F.floor(F.col("at_m") / step_m) * step_m < F.col("at_m") - tail_m).select(by, "at_m", "b.lon", "b.lat")
+    inner = each.select(*keys, "at_m", geo.interpolate(F.col("lon1"), F.col("lon2"), share).alias("lon"), geo.interpolate(F.col("lat1"), F.col("lat2"), share).alias("lat"))
+    ends = points.groupBy(*keys).agg(F.min_by(F.struct("lon", "lat"), order).alias("a"), F.max_by(F.struct("lon", "lat"), order).alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    start = ends.select(*keys, F.lit(0.0).alias("at_m"), "a.lon", "a.lat")
+    total = c.groupBy(*keys).agg(F.max("to_m").alias("at_m"))
+    whole = ends.join(total, keys) if keys else ends.crossJoin(total)  # without keys one row each
+    end = whole.filter(F.floor(F.col("at_m") / step_m) * step_m < F.col("at_m") - tail_m).select(*keys, "at_m", "b.lon", "b.lat")
     return start.unionByName(inner).unionByName(end)
 
 
@@ -58,8 +65,12 @@ def fill_gaps(series: DataFrame, by: str, order: str, value: str, into: str = "f
     w = _w(by, order)
     left = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     right = F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    fill = F.when(left == right, left).when(right.isNull(), left).when(left.isNull(), right)
-    return series.withColumn(into, F.coalesce(F.col(value), fill))
+    return series.withColumn(into, F.coalesce(F.col(value), between(left, right)))
+
+
+def between(left: Column, right: Column) -> Column:
+    """What a gap between two values takes: either if they agree, the one there is if there is one."""
+    return F.when(left == right, left).when(right.isNull(), left).when(left.isNull(), right)
 
 
 def runs(series: DataFrame, by: str | Sequence[str], order: str, *states: str, into: str = "run") -> DataFrame:
@@ -72,10 +83,10 @@ def runs(series: DataFrame, by: str | Sequence[str], order: str, *states: str, i
     return series.withColumn("__new", F.when(first | ~same, 1).otherwise(0)).withColumn(into, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def run_stats(series: DataFrame, by: str | Sequence[str], order: str, state: str, step_m: int) -> DataFrame:
+def run_stats(series: DataFrame, by: str | Sequence[str], order: str, state: str, step_m: int, number: Callable[..., DataFrame] = runs) -> DataFrame:
     """*by, pct, longest_m, longest_gap_m, transitions of a boolean; a run of n rows is n * step long."""
     keys = [by] if isinstance(by, str) else list(by)
-    each = runs(series, keys, order, state).groupBy(*keys, "run", state).agg(F.count(F.lit(1)).alias("n"))
+    each = number(series, keys, order, state).groupBy(*keys, "run", state).agg(F.count(F.lit(1)).alias("n"))
     longest = lambda on: F.coalesce(F.max(F.when(F.col(state) == on, F.col("n") * step_m)), F.lit(0)).cast("long")
     return each.groupBy(*keys).agg(
         F.round(F.sum(F.when(F.col(state), F.col("n")).otherwise(0)) * 100.0 / F.sum("n"), 1).alias("pct"),
@@ -83,16 +94,18 @@ def run_stats(series: DataFrame, by: str | Sequence[str], order: str, state: str
     )
 
 
-def strips(series: DataFrame, by: str, order: str, km: str, state: str, zone: str, step_m: int) -> DataFrame:
+def strips(series: DataFrame, by: str | Sequence[str], order: str, km: str, state: str, zone: str, step_m: int, number: Callable[..., DataFrame] = runs) -> DataFrame:
     """Intervals that break where the state or the zone changes: km_start, km_end, length_m."""
-    each = runs(series, by, order, state, zone).groupBy(by, "run", state, zone).agg(F.min(km).alias("km"), F.count(F.lit(1)).alias("n"))
-    return each.select(by, "run", F.round("km", 3).alias("km_start"), F.round(F.col("km") + F.col("n") * (step_m / 1000.0), 3).alias("km_end"), (F.col("n") * step_m).alias("length_m"), state, zone)
+    keys = [by] if isinstance(by, str) else list(by)
+    each = number(series, keys, order, state, zone).groupBy(*keys, "run", state, zone).agg(F.min(km).alias("km"), F.count(F.lit(1)).alias("n"))
+    return each.select(*keys, "run", F.round("km", 3).alias("km_start"), F.round(F.col("km") + F.col("n") * (step_m / 1000.0), 3).alias("km_end"), (F.col("n") * step_m).alias("length_m"), state, zone)
 
 
-def bands(series: DataFrame, by: str, order: str, km: str, zone: str) -> DataFrame:
+def bands(series: DataFrame, by: str | Sequence[str], order: str, km: str, zone: str, number: Callable[..., DataFrame] = runs) -> DataFrame:
     """Stretches of one zone, km_start to km_end; a null ends a stretch and makes none."""
-    each = runs(series, by, order, zone).filter(F.col(zone).isNotNull()).groupBy(by, "run", zone).agg(F.min(km).alias("km_start"), F.max(km).alias("km_end"))
-    return each.select(by, zone, "km_start", "km_end")
+    keys = [by] if isinstance(by, str) else list(by)
+    each = number(series, keys, order, zone).filter(F.col(zone).isNotNull()).groupBy(*keys, "run", zone).agg(F.min(km).alias("km_start"), F.max(km).alias("km_end"))
+    return each.select(*keys, zone, "km_start", "km_end")
 
 
 def max_gradient(series: DataFrame, by: str | Sequence[str], order: str, x: str, y: str, least: float, scale: float = 100.0) -> DataFrame:
@@ -109,15 +122,24 @@ def nearest(asked: DataFrame, series: DataFrame, by: str, at: str, value: str) -
 
     One sort of both together; each asked row looks back and ahead for the next of the series.
     """
-    s = series.select(by, F.col(at).alias("__at"), F.struct(F.col(at).alias("at"), F.col(value).alias("value")).alias("__s"), F.lit(None).alias("__a").cast(asked.select(F.struct("*").alias("a")).schema["a"].dataType))
-    a = asked.select(by, F.col(at).alias("__at"), F.lit(None).cast(s.schema["__s"].dataType).alias("__s"), F.struct("*").alias("__a"))
     w = _w(by, ["__at"])
-    both = s.unionByName(a)
     before = F.last("__s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first("__s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"__b": before, "__f": after}).filter("__a is not null")
-    nearer = F.when(F.col("__f").isNull() | ((F.col("__at") - F.col("__b.at")) < (F.col("__f.at") - F.col("__at"))), F.col("__b")).otherwise(F.col("__f"))
-    return found.withColumn("__n", F.when(F.col("__b").isNull(), F.col("__f")).otherwise(nearer)).select("__a.*", F.col("__n.at").alias(f"nearest_{at}"), F.col("__n.value").alias(value))
+    return nearer(together(asked, series, by, at, value).withColumns({"__l": before, "__r": after}), at, value)
+
+
+def together(asked: DataFrame, series: DataFrame, by: str | Sequence[str], at: str, value: str) -> DataFrame:
+    """*by, __at, and __s of the series' rows or __a of the asked ones, a struct each."""
+    keys = [by] if isinstance(by, str) else list(by)
+    s = series.select(*keys, F.col(at).alias("__at"), F.struct(F.col(at).alias("at"), F.col(value).alias("value")).alias("__s"), F.lit(None).alias("__a").cast(asked.select(F.struct("*").alias("a")).schema["a"].dataType))
+    return s.unionByName(asked.select(*keys, F.col(at).alias("__at"), F.lit(None).cast(s.schema["__s"].dataType).alias("__s"), F.struct("*").alias("__a")))
+
+
+def nearer(sides: DataFrame, at: str, value: str) -> DataFrame:
+    """Of what lies before (__l) and after (__r) each asked row the nearer."""
+    left, right = F.col("__l"), F.col("__r")
+    found = F.when(left.isNull(), right).when(right.isNull() | ((F.col("__at") - left["at"]) < (right["at"] - F.col("__at"))), left).otherwise(right)
+    return sides.filter("__a is not null").withColumn("__n", found).select("__a.*", F.col("__n.at").alias(f"nearest_{at}"), F.col("__n.value").alias(value))
 
 
 def spline_controls(points: DataFrame, by: str, order: str, x: str = "x", y: str = "y") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions.text import redact
+from wayline.operators import scan
 
 LEAST_COMMENT = 15
 
@@ -47,14 +48,14 @@ def top_and_other(counts: DataFrame, *by: str, most: int = 7, least: int = 5, ot
 
 
 def keep_first(rows: DataFrame, key: Column, *order: str) -> DataFrame:
-    """Of rows of equal key the first."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """Of rows of equal key the first. Each task keeps one row of a key before the shuffle, so no task meets all of them."""
+    return rows.groupBy(key.alias("__key")).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def comments(responses: DataFrame, column: str, seed: int = 42, least: int = LEAST_COMMENT) -> DataFrame:
     """ord, text: comments redacted, then those of at least least characters, each once whatever its case, in a mixed
-    order that stays the same. ord is a position among the comments that are published, a small result."""
+    order that stays the same. ord is a position among all of them, counted by ranges, so no task sorts them all."""
     clean = responses.select("row_idx", redact(F.col(column)).alias("text")).filter(F.length("text") >= least)
     once = keep_first(clean, F.lower("text"), "row_idx")
-    return once.select(F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("text")).cast("binary")), "row_idx")).alias("ord"), "text")
+    drawn = once.withColumn("drawn", F.md5(F.concat(F.lit(f"{seed}:"), F.col("text")).cast("binary")))
+    return scan.positions(drawn, [], ["drawn", "row_idx"], "at").select((F.col("at") + 1).cast("int").alias("ord"), "text")
