@@ -26,7 +26,6 @@ def test_zones_in_order_and_overlap(spark, monkeypatch):
     want = {1: "a", 2: "a", 3: "b", 4: None, 5: None}
     assert {r.id: r.zone for r in spatial.locate(p, z).collect()} == want
     monkeypatch.setattr(spatial, "MOST_VERTICES", 0)
-    monkeypatch.setattr(spatial, "CELL_DEGREES", 0.7)
     assert {r.id: r.zone for r in spatial.locate(p, z).collect()} == want
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import geo
+from wayline.operators import cover
 
-#: Up to so many vertices in all zones, the zones go to the points; beyond it, points and zones meet by grid cell.
-MOST_VERTICES = 100_000
-CELL_DEGREES = 0.05
+#: Up to so many vertices in all zones, the zones go to the points; beyond it, points and zones meet by the cells of a cover.
+MOST_VERTICES = 10_000
 
 
 def order_zones(zones: DataFrame) -> DataFrame:
@@ -35,20 +35,14 @@ def locate(points: DataFrame, zones: DataFrame, lon: str = "lon", lat: str = "la
     """points with the zone each lies in, null outside all.
 
     With zones of a checked size this is a projection: one broadcast row holds all zones in order, and each point takes
-    the first that holds it. With more, points and zones are joined on the grid cells that the zones' boxes touch.
+    the first that holds it. With more, points and zones are joined on the cells of a quadtree (cover.py).
     """
     prepared = _prepared(zones)
     if (zones.agg(F.sum(F.size("ring")).alias("n")).collect()[0]["n"] or 0) <= MOST_VERTICES:
         every = prepared.agg(F.array_sort(F.collect_list(F.struct("ord", "zone", "edges", "west", "east", "south", "north"))).alias("__zones"))
         found = F.get(F.filter("__zones", lambda z: _inside(z, F.col(lon), F.col(lat))), F.lit(0))["zone"]
         return points.crossJoin(F.broadcast(every)).withColumn(into, found).drop("__zones")
-    cell = lambda c: F.floor(c / CELL_DEGREES)
-    placed = prepared.withColumn("__x", F.explode(F.sequence(cell(F.col("west")), cell(F.col("east"))))).withColumn("__y", F.explode(F.sequence(cell(F.col("south")), cell(F.col("north")))))
-    places = points.select(F.col(lon).alias("__lon"), F.col(lat).alias("__lat")).distinct().withColumns({"__x": cell(F.col("__lon")), "__y": cell(F.col("__lat"))})
-    z = F.struct("edges", "west", "east", "south", "north")
-    hits = places.join(placed, ["__x", "__y"]).filter(_inside(z, F.col("__lon"), F.col("__lat")))
-    first = hits.groupBy("__lon", "__lat").agg(F.min_by("zone", "ord").alias(into))
-    return points.join(first, (F.col(lon) == F.col("__lon")) & (F.col(lat) == F.col("__lat")), "left").drop("__lon", "__lat")
+    return cover.locate(points, zones, lon, lat, into)
 
 
 def locate_features(features: DataFrame, zones: DataFrame, into: str = "zone") -> DataFrame:
@@ -67,5 +61,5 @@ def length_by_zone(segments: DataFrame, zones: DataFrame, *by: str) -> DataFrame
     sums = found.filter("zone is not null").groupBy("zone", *by).agg(F.sum("length_m").alias("length_m"))
     every = zones.select("zone").distinct()
     if by:
-        every = every.crossJoin(F.broadcast(segments.select(*by).distinct()))
+        every = every.crossJoin(segments.select(*by).distinct())  # the grid of the result
     return every.join(sums, ["zone", *by], "left").withColumn("length_m", F.coalesce("length_m", F.lit(0.0)))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayline.operators import scan
+from wayline.operators import cover, linear, scan, spatial
 from wayline.plans.corridor_queries import QUERIES, SQL
-from wayline.plans.queries import _SEGMENT_SQL, _micros, _place, _t, query
+from wayline.plans.queries import _SEGMENT_SQL, _lon_sql, _micros, _place, _t, _track, query
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -85,3 +85,37 @@ def long_line_hash(spark, d):
     e = _t(spark, d, "events").select("event_id", "event_type")
     found = scan.ordered_hash(e, [], "event_id", F.concat("event_id", F.lit(","), "event_type", F.lit("|")), rows_in_chunk=512)
     return found.crossJoin(e.agg(F.count(F.lit(1)).alias("n")))  # one row each
+
+
+# A star for each part, about a place made of its id: small ones of 8 vertices, each 50th one of 64 and large.
+_STARS_SQL = f"""part_ AS (SELECT p_partkey AS zone, CASE WHEN p_partkey % 50 = 7 THEN 64 ELSE 8 END AS n, CASE WHEN p_partkey % 50 = 7 THEN 0.06 ELSE 0.002 + p_size % 7 / 1000.0 END::DOUBLE AS r, {_lon_sql("p_partkey")} FROM part),
+v AS (SELECT zone, i, n, round(lon + r * (1 - 0.35 * (i % 2)) * cos(2 * pi() * i / n), 7) AS x, round(lat + r * (1 - 0.35 * (i % 2)) * sin(2 * pi() * i / n), 7) AS y FROM (SELECT *, unnest(range(n)) AS i FROM part_)),
+edge AS (SELECT a.zone, a.zone AS ord, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON a.zone = b.zone AND b.i = (a.i + a.n - 1) % a.n)"""
+_HITS_SQL = """(e.y1 > p.lat) <> (e.y2 > p.lat) AND p.lon < (e.x2 - e.x1) * (p.lat - e.y1) / (CASE WHEN e.y2 = e.y1 THEN 1e-12 ELSE e.y2 - e.y1 END) + e.x1"""
+
+
+def _stars(spark, d):
+    large = F.col("p_partkey") % 50 == 7
+    part = _t(spark, d, "part").withColumns(_place("p_partkey")).withColumns({"n": F.when(large, 64).otherwise(8), "r": F.when(large, 0.06).otherwise(F.lit(0.002) + F.col("p_size") % 7 / F.lit(1000.0))})
+    reach = lambda i: F.col("r") * (1 - 0.35 * (i % 2))
+    turn = lambda i: 2 * F.pi() * i / F.col("n")
+    vertex = lambda i: F.struct(F.round(F.col("lon") + reach(i) * F.cos(turn(i)), 7).alias("lon"), F.round(F.col("lat") + reach(i) * F.sin(turn(i)), 7).alias("lat"))
+    return part.select(F.col("p_partkey").alias("zone"), F.col("p_partkey").alias("ord"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), vertex).alias("ring"))
+
+
+@query(f"""WITH {_STARS_SQL}, p AS (SELECT c_custkey AS id, {_lon_sql("c_custkey")} FROM customer), h AS (SELECT p.id, e.zone FROM p JOIN edge e ON {_HITS_SQL} GROUP BY p.id, e.zone HAVING count(*) % 2 = 1)
+SELECT p.id AS c_custkey, min(h.zone) AS zone FROM p LEFT JOIN h USING (id) GROUP BY p.id""")
+def many_zones(spark, d):
+    """The first of a zone for each part that holds a customer."""
+    c = _t(spark, d, "customer").select("c_custkey").withColumns(_place("c_custkey"))
+    return cover.locate(c, _stars(spark, d)).select("c_custkey", "zone")
+
+
+@query(f"""WITH {_STARS_SQL}, {_SEGMENT_SQL}, p AS (SELECT event_id AS id, (lon1 + lon2) / 2 AS lon, (lat1 + lat2) / 2 AS lat, m FROM seg),
+spot AS (SELECT DISTINCT lon, lat FROM p), h AS (SELECT p.lon, p.lat, e.zone FROM spot p JOIN edge e ON {_HITS_SQL} GROUP BY p.lon, p.lat, e.zone HAVING count(*) % 2 = 1),
+f AS (SELECT lon, lat, min(zone) AS zone FROM h GROUP BY lon, lat), s AS (SELECT zone, sum(m) AS m FROM p JOIN f USING (lon, lat) GROUP BY zone)
+SELECT p_partkey AS zone, round(coalesce(m, 0), 1) AS length_m FROM part LEFT JOIN s ON zone = p_partkey""")
+def many_zone_lengths(spark, d):
+    """Length of the users' tracks in the zone of each part, by the segments' midpoints."""
+    s = linear.segments(_track(spark, d), "user_id", "ts")
+    return spatial.length_by_zone(s, _stars(spark, d)).select("zone", F.round("length_m", 1).alias("length_m"))
