@@ -46,6 +46,7 @@ _LABEL = _DIGITS | frozenset(_LETTERS + _LETTERS.lower() + "-")
 _LOCAL = _LABEL | frozenset("._%+")
 _DIAL = _DIGITS | frozenset(" ().-")
 _UPPER = _DIGITS | frozenset(_LETTERS)
+_VALUES = {ord(c): str(k + 10) for k, c in enumerate(_LETTERS)}
 _USER = _LOCAL | frozenset("~!$&'()*,;=:")
 _STOP = frozenset(" \t\n\v\f\r\"'<>")
 
@@ -57,7 +58,7 @@ def luhn(digits: str) -> bool:
 
 
 def mod97(iban: str) -> bool:
-    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    return int((iban[4:] + iban[:4]).translate(_VALUES)) % 97 == 1
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -192,23 +193,24 @@ def cued(text: str, at: int, least: int, cue_end: int) -> Parsed:
     return (end, (start, end)) if start >= least and 6 <= digits <= 18 and text[end : end + 1] not in _LABEL else None
 
 
-def url(text: str, at: int, least: int, scheme_end: int) -> Parsed:
+def url(text: str, at: int, least: int, scheme_end: int, user: list[int | None]) -> Parsed:
+    """user: where the last user that was looked for begins and ends, and the end of the domain after it, for the schemes within it."""
     if at < least or at and text[at - 1] in _LABEL:
         return None
     scheme = text[at:scheme_end]
     if scheme == "tel:":
         end = _back(text, _run(text, scheme_end, _DIAL | {"+"}), scheme_end, _DIAL - _DIGITS)
         return (end, (at, end)) if 6 <= sum(c in _DIGITS for c in text[scheme_end:end]) <= 15 else None
-    user = _run(text, scheme_end, _USER)
-    if user == scheme_end or text[user : user + 1] != "@":
-        return None
-    end = domain_end(text, user + 1)
-    if end is None:
+    if not user[0] <= scheme_end < user[1]:
+        to = _run(text, scheme_end, _USER)
+        user[:] = scheme_end, to, domain_end(text, to + 1) if text[to : to + 1] == "@" else None
+    _, to, end = user
+    if to == scheme_end or end is None:
         return None
     if scheme != "mailto:":
         while end < len(text) and text[end] not in _STOP:
             end += 1
-        end = _back(text, end, user + 1, frozenset(".,;:!?)"))
+        end = _back(text, end, to + 1, frozenset(".,;:!?)"))
     return end, (at, end)
 
 
@@ -222,6 +224,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         _anchors.append(_automaton())
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     past = dict.fromkeys(KINDS, 0)
+    user: list[int | None] = [0, 0, None]
     for last, (kind, back) in _anchors[0].iter(text):
         at = last - back
         out = "account" if kind in ("cue", "iban") else kind
@@ -233,8 +236,10 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             got = PARSERS[kind](text, at, past[out])
         elif kind == "iban":
             got = iban(text, at, past[out])
+        elif kind == "cue":
+            got = cued(text, at, past[out], last + 1)
         else:
-            got = (cued if kind == "cue" else url)(text, at, past[out], last + 1)
+            got = url(text, at, past[out], last + 1, user)
         if got:
             past[out] = got[0]
             if got[1]:
