@@ -10,7 +10,7 @@ EARTH_M = 6_371_000.0
 
 def parse_coords(text: Column) -> Column:
     """'lon,lat[,alt] lon,lat ...' as array<struct<lon, lat>>; chunks without two numbers are left out."""
-    chunks = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", ""), r"(?U)\s+"), lambda c: F.size(F.split(c, ",")) >= 2)
+    chunks = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|(?<!\s)\s++$", ""), r"(?U)\s+"), lambda c: F.size(F.split(c, ",")) >= 2)
     return F.transform(chunks, lambda c: F.struct(F.split(c, ",")[0].cast("double").alias("lon"), F.split(c, ",")[1].cast("double").alias("lat")))
 
 

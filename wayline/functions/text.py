@@ -78,7 +78,7 @@ IMAGE_PATTERN = r"""(?i)<img[^>]+src=["']([^"']+)["']"""
 
 def normalize(name: Column) -> Column:
     """Trimmed, lower case, each run of white space one space; white space as Unicode has it."""
-    trimmed = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)^\s+|\s+$", "")
+    trimmed = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)^\s+|(?<!\s)\s++$", "")
     return F.regexp_replace(F.lower(trimmed), r"(?U)\s+", " ")
 
 
@@ -132,10 +132,11 @@ def content_id(url: Column) -> Column:
 def redact(comment: Column) -> Column:
     """Links, then e-mail addresses, then telephone numbers replaced; then trimmed."""
     t = F.regexp_replace(F.coalesce(comment, F.lit("")), URL_PATTERN, "[link]")
-    # A match that there is starts where its run of non-blanks does, so no run is searched again from within.
-    t = F.regexp_replace(t, r"(?U)(?<!\S)" + EMAIL_PATTERN.removeprefix("(?U)"), "[e-mail]")
+    # A match is a whole run of non-blanks: it has an @ but as its first sign, and after the first of these a dot within. So
+    # each run is tried from its start alone, with one @, and is read a fixed number of times however many it has.
+    t = F.regexp_replace(t, r"(?U)(?<!\S)\S[^\s@]*+@\S+\.\S+", "[e-mail]")
     t = F.regexp_replace(t, PHONE_PATTERN, "[telefon]")
-    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(t, r"(?U)^\s+|(?<!\s)\s++$", "")
 
 
 def metres(m: Column) -> Column:
@@ -145,7 +146,7 @@ def metres(m: Column) -> Column:
 
 def stripped(c: Column) -> Column:
     """Without white space at both ends, as Unicode has it; null as empty."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|(?<!\s)\s++$", "")
 
 
 def popup(name: Column, length_m: Column, images: Column, base: str = "", **notes: Column) -> Column:

@@ -12,7 +12,7 @@ LEAST_COMMENT = 15
 
 
 def _trim(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|(?<!\s)\s++$", "")
 
 
 def long_answers(responses: DataFrame, questions: dict[str, tuple[str, str]], separator: str = ";") -> DataFrame:

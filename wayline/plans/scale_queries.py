@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from wayline.operators import cover, linear, scan, spatial
 from wayline.plans.corridor_queries import QUERIES, SQL
-from wayline.plans.queries import _SEGMENT_SQL, _lon_sql, _micros, _place, _t, _track, query
+from wayline.plans.queries import _tabulated, _SEGMENT_SQL, _lon_sql, _micros, _place, _t, _track, query
+from wayline.session import scratch, stored
+from wayline.sources import heights
+from wayline.streaming import tabulation
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -119,3 +122,27 @@ def many_zone_lengths(spark, d):
     """Length of the users' tracks in the zone of each part, by the segments' midpoints."""
     s = linear.segments(_track(spark, d), "user_id", "ts")
     return spatial.length_by_zone(s, _stars(spark, d)).select("zone", F.round("length_m", 1).alias("length_m"))
+
+
+@query("""WITH k AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_custkey) - 1 AS idx FROM customer)
+SELECT idx, c_custkey, CASE WHEN idx // 100 % 7 <> 3 AND idx // 100 % 7 <> 5 AND idx % 11 > 0 THEN round(c_acctbal, 2) END AS elev FROM k""")
+def heights_by_batch(spark, d):
+    """A10: heights stored as responses to batches of 100 and read back; some responses are missing, some broken, some have a null."""
+    k = scan.positions(_t(spark, d, "customer").select("c_custkey", F.round("c_acctbal", 2).alias("v")), [], "c_custkey", "idx")
+    k = stored(k, "samples")
+    path, batch = scratch(spark, "responses"), F.expr("idx div 100 % 7")
+    heights.write_responses(k.filter((batch != 3) & ((batch != 5) | (F.col("idx") % 100 < 60))).select("idx", F.when(F.col("idx") % 11 > 0, F.col("v")).alias("elev")), path)
+    return heights.read_heights(path, k.select("idx", "c_custkey"), k.count())
+
+
+@query(_tabulated("SELECT DISTINCT row_idx, label FROM (SELECT p_partkey AS row_idx, trim(unnest(string_split(p_name, ' '))) AS label FROM part) WHERE label <> ''"))
+def streamed_survey(spark, d):
+    """F17, F18, G11 on a stream of three files; the last batch is taken in again."""
+    source, state = scratch(spark, "responses"), scratch(spark, "state")
+    parts = _t(spark, d, "part").select(F.col("p_partkey").alias("row_idx"), "p_name")
+    parts.repartition(3, "row_idx").write.parquet(source)
+    questions = {"q": ("p_name", "multi")}
+    stream = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    tabulation.start(stream, state, scratch(spark, "progress"), questions, " ").awaitTermination()
+    tabulation.merge(state, questions, " ")(parts.limit(0), 0)
+    return tabulation.tabulation(spark, state).select("label", "n", "base", "first", "rank")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import hashlib
+import json
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.operators import scan
+
+MANIFEST = "manifest.json"
+
 
 def feature(gtype: Column, coords: Column, properties: Mapping[str, Column]) -> Column:
     """A GeoJSON feature as a string. Empty lists, empty texts and nulls among the properties are left out."""
@@ -51,15 +58,64 @@ def orphans(files: DataFrame, used: DataFrame, name: str = "name") -> DataFrame:
     return files.join(used.select(name).filter(F.col(name).isNotNull()).distinct(), name, "left_anti")
 
 
+def _names(spark: SparkSession, path: str):
+    """The file names of Hadoop below path, and what they are renamed and opened with."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def published(spark: SparkSession, path: str) -> dict[str, str] | None:
+    """What the manifest of the results at path says: its stamp, and under 'folder' where the data is. None: nothing is published."""
+    jvm, where, fs = _names(spark, f"{path}/{MANIFEST}")
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, stamp: Mapping[str, str], write: Callable[[str], None]) -> str:
+    """Have write() put a result into a new folder of path, then make it the published one; its path.
+
+    The manifest is written beside and renamed over the old one, which is one step of the file system and the last. Whatever fails before
+    it leaves the old result as it was, and a folder that nothing names.
+    """
+    folder = f"{hashlib.sha1(json.dumps(sorted(stamp.items())).encode()).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}"
+    write(f"{path}/{folder}")
+    jvm, draft, fs = _names(spark, f"{path}/.{MANIFEST}-{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    try:
+        out.write(bytearray(json.dumps({**stamp, "folder": folder}).encode()))
+    finally:
+        out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, _names(spark, f"{path}/{MANIFEST}")[1], over)
+    return f"{path}/{folder}"
+
+
+def prune(spark: SparkSession, path: str) -> int:
+    """Delete the folders of path that the manifest does not name, once nothing reads them; how many there were."""
+    now = published(spark, path)
+    _, where, fs = _names(spark, path)
+    old = [f.getPath() for f in fs.listStatus(where) if f.isDirectory() and now and f.getPath().getName() != now["folder"]]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
 def computed(spark: SparkSession, path: str, stamp: Mapping[str, str], compute: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path if its manifest has this stamp (input hash, step, version), else compute() written there."""
-    want = sorted(stamp.items())
-    manifest = f"{path}/manifest"
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(manifest)
-    if fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
-        have = sorted((r["key"], r["value"]) for r in spark.read.parquet(manifest).collect())
-        if have == want:
-            return spark.read.parquet(f"{path}/data")
-    compute().write.mode("overwrite").parquet(f"{path}/data")
-    spark.createDataFrame(want, "key string, value string").write.mode("overwrite").parquet(manifest)
-    return spark.read.parquet(f"{path}/data")
+    """The table published at path if its manifest has this stamp (input hash, step, version), else compute(), published there."""
+    now = published(spark, path)
+    if now and now == {**stamp, "folder": now["folder"]}:
+        return spark.read.parquet(f"{path}/{now['folder']}")
+    return spark.read.parquet(publish(spark, path, stamp, lambda to: compute().write.parquet(to)))
+
+
+def fingerprint(table: DataFrame, order: str | Sequence[str]) -> str:
+    """A digest of a table's rows in order, for a stamp: equal for equal rows, however they are stored. One row comes back."""
+    found = scan.ordered_hash(table, [], order, F.concat(F.to_json(F.struct(*table.columns)), F.lit("\n"))).first()
+    return found["hash"] if found else ""
