@@ -78,8 +78,8 @@ def test_redaction_searches_no_run_twice(spark):
 
 
 def test_text_for_display(spark):
-    got = one(spark, text.popup(F.lit(" \u00a0"), F.lit(12.5), F.array(F.lit("i")), "d/", kategorija=F.lit("k"), stanje=F.lit(None).cast("string")), text.deep_link("https://s", F.lit(1.0), F.lit(2.0), F.lit(14), F.timestamp_millis(F.lit(5))))
-    assert got == ('<strong>(bez imena)</strong><br><span class="muted">kategorija: k</span><br><span class="muted">dužina: 13 m</span><div class="popup-images"><a href="d/i"><img src="d/i"></a></div>', "https://s/@1.00000,2.00000,14z,5t,0b,0p,1m")
+    got = one(spark, text.popup(F.lit(" \u00a0"), F.lit(12.5), F.array(F.lit("i")), "d/", last={"stanje": F.lit("s"), "x": F.lit(None).cast("string")}, kategorija=F.lit("k"), podloga=F.lit("")), text.deep_link("https://s", F.lit(1.0), F.lit(2.0), F.lit(14), F.timestamp_millis(F.lit(5))))
+    assert got == ('<strong>(bez imena)</strong><br><span class="muted">kategorija: k</span><br><span class="muted">dužina: 13 m</span><br><span class="muted">stanje: s</span><div class="popup-images"><a href="d/i" target="_blank" rel="noopener"><img src="d/i" alt="" loading="lazy"></a></div>', "https://s/@1.00000,2.00000,14z,5t,0b,0p,1m")
     labels = ["Да", "да, можда", "Не", "x", None]
     assert one(spark, *[text.tone(F.lit(v).cast("string"), text.TONE_RULES, text.TONE_PALETTE, F.lit(8)) for v in labels]) == ("#2f6b46", "#d8a93a", "#c0392b", "#4a9367", "#4a9367")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,6 +72,9 @@ TONE_RULES = [
 ]
 TONE_PALETTE = ("#2f6b46", "#4a9367", "#d8a93a", "#c08a4f", "#4f87a5", "#9aa5a2", "#c0392b")
 UNNAMED = "(bez imena)"
+POPUP_NOTE = ('<br><span class="muted">', "</span>")
+POPUP_IMAGES = ('<div class="popup-images">', "</div>")
+POPUP_IMAGE = ('<a href="', '" target="_blank" rel="noopener"><img src="', '" alt="" loading="lazy"></a>')
 IMAGE_PATTERN = r"""(?i)<img[^>]+src=["']([^"']+)["']"""
 # End of fixed values.
 
@@ -149,15 +152,15 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|(?<!\s)\s++$", "")
 
 
-def popup(name: Column, length_m: Column, images: Column, base: str = "", **notes: Column) -> Column:
-    """HTML of a feature: its name in bold, a line for each note that is there, its length, its images as links."""
-    line = lambda label, value: F.concat(F.lit(f'<br><span class="muted">{label}: '), value, F.lit("</span>"))
-    parts = [F.when(F.length(c) > 0, line(k, c)) for k, c in notes.items()]
+def popup(name: Column, length_m: Column, images: Column, base: str = "", last: Mapping[str, Column] | None = None, **notes: Column) -> Column:
+    """HTML of a feature: its name in bold, a line for each note that is there, its length, a line for each last note, its images as links."""
+    line = lambda label, value: F.concat(F.lit(POPUP_NOTE[0] + label + ": "), value, F.lit(POPUP_NOTE[1]))
+    lines = lambda of: [F.when(F.length(c) > 0, line(k, c)) for k, c in of.items()]
     length = F.when(length_m > 0, line("dužina", F.concat(F.floor(length_m + 0.5).cast("string"), F.lit(" m"))))
-    link = lambda u: F.concat(F.lit(f'<a href="{base}'), u, F.lit(f'"><img src="{base}'), u, F.lit('"></a>'))
-    shown = F.when(F.size(images) > 0, F.concat(F.lit('<div class="popup-images">'), F.array_join(F.transform(images, link), ""), F.lit("</div>")))
+    link = lambda u: F.concat(F.lit(POPUP_IMAGE[0] + base), u, F.lit(POPUP_IMAGE[1] + base), u, F.lit(POPUP_IMAGE[2]))
+    shown = F.when(F.size(images) > 0, F.concat(F.lit(POPUP_IMAGES[0]), F.array_join(F.transform(images, link), ""), F.lit(POPUP_IMAGES[1])))
     title = F.concat(F.lit("<strong>"), F.coalesce(F.nullif(stripped(name), F.lit("")), F.lit(UNNAMED)), F.lit("</strong>"))
-    return F.concat_ws("", title, *parts, length, shown)
+    return F.concat_ws("", title, *lines(notes), length, *lines(last or {}), shown)
 
 
 def deep_link(base: str, lat: Column, lon: Column, zoom: Column, at: Column) -> Column:

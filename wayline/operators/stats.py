@@ -41,6 +41,13 @@ def ranges(series: DataFrame, value: str, *by: str) -> DataFrame:
     return found.filter(F.col("n") >= 2).drop("n")
 
 
+def ranges_and_whole(series: DataFrame, value: str, by: str) -> DataFrame:
+    """by (null: the whole, rows without by among them), min_m, max_m, range_m; groups as in ranges. One pass gives both."""
+    low, high = F.min(value), F.max(value)
+    each = series.filter(F.col(value).isNotNull()).rollup(by).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.round(low, 1).alias("min_m"), F.round(high, 1).alias("max_m"), F.round(high - low, 1).alias("range_m"))
+    return each.filter((F.col("n") >= 2) & ((F.col("g") == 1) | F.col(by).isNotNull())).drop("n", "g")
+
+
 def elevation_stats(profile: DataFrame, step_m: float = 30.0) -> DataFrame:
     """zone (null: the whole), min_m, max_m, range_m, max_gradient_pct of a profile with route, idx, km, elev_smooth, zone.
 
@@ -57,23 +64,18 @@ def elevation_stats(profile: DataFrame, step_m: float = 30.0) -> DataFrame:
 
 
 def class_shares(samples: DataFrame, zone: str = "zone", klass: str = "klass") -> DataFrame:
-    """zone (null: all samples), klass, pct of the samples with a class."""
-    known = samples.filter(F.col(klass).isNotNull())
-    each = known.select(F.lit(None).cast("string").alias(zone), klass).unionByName(known.filter(F.col(zone).isNotNull()).select(zone, klass))
-    return shares(each, [zone], klass, F.lit(1)).select(zone, klass, "pct")
+    """zone (null: all samples), klass, pct of the samples with a class. One rollup counts zones and the whole."""
+    each = samples.filter(F.col(klass).isNotNull()).rollup(klass, zone).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    each = each.filter(((F.col("g") == 0) & F.col(zone).isNotNull()) | (F.col("g") == 1))
+    return each.select(zone, klass, share(F.col("n"), F.sum("n").over(Window.partitionBy("g", zone)), 1).alias("pct"))
 
 
 def cover_runs(samples: DataFrame, sets: dict[str, Sequence[str]], step_m: int, by: str = "route", order: str = "idx") -> DataFrame:
-    """zone (null: all), metric, pct, longest_m, longest_gap_m, transitions for each set of classes."""
-    known = samples.filter("klass is not null")
-    out = None
-    for metric, classes in sets.items():
-        flagged = known.withColumn("on", F.col("klass").isin(*classes))
-        whole = linear.run_stats(flagged, [by], order, "on", step_m).withColumn("zone", F.lit(None).cast("string"))
-        parts = linear.run_stats(flagged.filter("zone is not null"), [by, "zone"], order, "on", step_m)
-        both = whole.unionByName(parts).withColumn("metric", F.lit(metric))
-        out = both if out is None else out.unionByName(both)
-    return out
+    """zone (null: all), metric, pct, longest_m, longest_gap_m, transitions for each set of classes. Each sample is expanded
+    once, to its sets and scopes, and one sort serves all of them."""
+    scopes = [F.struct(F.lit(name).alias("metric"), F.col("klass").isin(*classes).alias("on"), F.lit(whole).alias("whole"), (F.lit(None).cast("string") if whole else F.col("zone")).alias("zone")) for name, classes in sets.items() for whole in (True, False)]
+    each = samples.filter("klass is not null").select(by, order, F.explode(F.array(*scopes)).alias("s")).select(by, order, "s.*").filter("whole or zone is not null")
+    return linear.run_stats(each, [by, "metric", "whole", "zone"], order, "on", step_m).drop("whole").select(by, "pct", "longest_m", "longest_gap_m", "transitions", "zone", "metric")
 
 
 def sun_shares(samples: DataFrame, dates: DataFrame, zone: str = "zone", hours: str = "sun_hours") -> DataFrame:
@@ -81,7 +83,7 @@ def sun_shares(samples: DataFrame, dates: DataFrame, zone: str = "zone", hours:
 
     dates: key, daylight; a few rows.
     """
-    each = samples.crossJoin(F.broadcast(dates)).withColumn("h", F.coalesce(F.try_element_at(F.col(hours), F.col("key")), F.lit(0.0)))
+    each = samples.crossJoin(dates).withColumn("h", F.coalesce(F.try_element_at(F.col(hours), F.col("key")), F.lit(0.0)))
     mean = F.avg("h")
     return each.rollup("key", "daylight", zone).agg(F.count(F.lit(1)).alias("n_samples"), mean.alias("m"), F.grouping_id().alias("g")).filter("g in (0, 1)").filter(F.col(zone).isNotNull() | (F.col("g") == 1)).select(
         zone, F.col("key").alias("date"), "n_samples", F.round("m", 2).alias("avg_hours"), F.round(F.col("m") / F.col("daylight"), 3).alias("pct_sun"), F.round(1.0 - F.col("m") / F.col("daylight"), 3).alias("pct_shade")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import geo, text
@@ -59,6 +61,7 @@ def summary(placemarks: DataFrame, zones: DataFrame) -> dict[str, DataFrame]:
         "sources": stats.counts(f, "folder"),
         "shapes": f.groupBy("folder").agg(*[F.count(F.when(F.col("gtype") == g, 1)).alias(g) for g in ("Point", "LineString", "Polygon")]),
         "line_names": f.filter("gtype = 'LineString'").groupBy("folder", "norm").agg(F.count(F.lit(1)).alias("n"), F.sum("length_m").alias("length_m")),
+        "names": folder_names(f),
         "layers": per_layer,
         "zone_counts": stats.counts(shown.filter("layer not in ('trasa', 'staze')"), "zone", "layer"),
         "obstacles": stats.counts(shown.filter("layer = 'prekidi'"), "category"),
@@ -70,6 +73,32 @@ def summary(placemarks: DataFrame, zones: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def folder_names(placemarks: DataFrame, most: int = 20) -> DataFrame:
+    """folder, norm, n, length_m, rank, more: the most frequent names of all placemarks of a folder, of equally frequent ones the
+    first seen; the length of the lines so named (null: none is a line); how many names come after these. placemarks: folder, pid, norm, gtype, coords."""
+    metres = F.when(F.col("gtype") == "LineString", geo.line_length_m(F.col("coords")))
+    named = placemarks.groupBy("folder", "norm").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("first"), F.sum(metres).alias("length_m"))
+    names = named.groupBy("folder").agg(F.count(F.lit(1)).alias("names"))
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("n"), "first", "norm"))).filter(F.col("rank") <= most)
+    same = ranked["folder"].eqNullSafe(names["folder"])
+    return ranked.join(names, same).select(ranked["folder"], "norm", "n", "length_m", "rank", F.greatest(F.col("names") - most, F.lit(0)).alias("more"))
+
+
+def gallery(features: DataFrame, categories: Mapping[str, str]) -> DataFrame:
+    """url, name, zone, layer, category: one row for each image of the features of the categories' layers, repeated ones too.
+    features: layer, name, zone, images."""
+    of = F.try_element_at(F.create_map(*[F.lit(x) for kv in categories.items() for x in kv]), F.col("layer"))
+    name = F.coalesce(F.nullif(text.stripped(F.col("name")), F.lit("")), F.lit(text.UNNAMED))
+    shown = features.withColumn("category", of).filter("category is not null")
+    return shown.select(F.explode("images").alias("url"), name.alias("name"), F.coalesce("zone", F.lit("")).alias("zone"), "layer", "category")
+
+
+def gallery_counts(images: DataFrame, all: str = "all") -> DataFrame:
+    """category, n: images of each category that has some, and of all. One pass."""
+    each = images.rollup("category").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    return each.select(F.when(F.col("g") == 1, all).otherwise(F.col("category")).alias("category"), "n")
+
+
 def shared_scales(counts: DataFrame, by: str, value: str) -> DataFrame:
     """by, most: the largest value over all zones, at least 1, for bars that can be compared."""
     return counts.groupBy(by).agg(F.greatest(F.lit(1.0), F.max(value).cast("double")).alias("most"))
@@ -90,8 +119,6 @@ def profile(route: DataFrame, heights: DataFrame, zones: DataFrame, step_m: floa
 
     Kilometres are rounded to 3 digits and heights to 1 before anything is derived from them.
     """
-    from pyspark.sql import Window
-
     s = linear.resample(route, "route", "i", step_m)
     s = s.withColumn("idx", F.row_number().over(Window.partitionBy("route").orderBy("at_m")) - 1)
     s = s.join(heights, ["route", "idx"], "left")

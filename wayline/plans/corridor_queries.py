@@ -253,15 +253,20 @@ def survey_scan(spark, d):
     return back.select(F.row_number().over(Window.orderBy("row_idx")).alias("row"), "c0", "c1", F.coalesce("c2", F.lit("")).alias("c2"))  # 25 rows at most
 
 
-@query(f"SELECT zone, count(*)::INT AS vertices, round(avg(x), 6) AS mean_lon, 2::BIGINT AS others FROM {_RING_SQL} GROUP BY zone")
+@query(f"SELECT 'n' || n_nationkey AS zone, 4 + n_nationkey % 3 AS vertices, round((3 * lon + lon + 0.01 + n_nationkey % 3 * (lon + 0.02)) / (4 + n_nationkey % 3), 6) AS mean_lon, (SELECT count(*) FROM region) AS others FROM (SELECT n_nationkey, {_lon_sql('n_nationkey')} FROM nation)")
 def zone_scan(spark, d):
-    """A3: zones are the polygons of the folder of their prefix, whatever its case; the rest are placemarks."""
-    rings = zones(spark).select("zone", F.array_join(F.transform("ring", lambda p: F.format_string("%.2f,%.2f,0", p["lon"], p["lat"])), " ").alias("c"))
+    """A3: zones are the polygons of the folder of their prefix, whatever its case; the rest are placemarks. A zone for each nation, made of its id."""
+    x, y, k = F.col("lon"), F.col("lat"), F.col("n_nationkey") % 3
+    corner = lambda dx, dy: F.struct((x + dx).alias("lon"), (y + dy).alias("lat"))
+    ring = F.concat(F.array(corner(0.0, 0.0), corner(0.01, 0.0)), F.array_repeat(corner(0.02, 0.01), k.cast("int")), F.array(corner(0.0, 0.01), corner(0.0, 0.0)))
+    rings = _t(spark, d, "nation").withColumns(_place("n_nationkey")).select(F.concat(F.lit("n"), "n_nationkey").alias("zone"), F.array_join(F.transform(ring, lambda p: F.format_string("%.6f,%.6f,0", p["lon"], p["lat"])), " ").alias("c"))
+    others = _t(spark, d, "region").agg(F.array_join(F.collect_list(F.concat(F.lit("<Placemark><name>"), "r_name", F.lit("</name><Point><coordinates>1,2</coordinates></Point></Placemark>"))), "").alias("o"))
     mark = F.concat(F.lit("<Placemark><name> "), F.col("zone"), F.lit(" </name><Polygon><outerBoundaryIs><LinearRing><coordinates>"), F.col("c"), F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>"))
-    other = "<Placemark><name>p</name><Point><coordinates>1,2</coordinates></Point></Placemark>"
-    document = F.concat(F.lit(f"<kml><Folder><name> META_deonice v2</name>{other}"), F.array_join(F.array_sort(F.collect_list(mark)), ""), F.lit(f"</Folder><Folder><name>x</name>{other}{other}</Folder></kml>"))
+    stray = "<Placemark><name>p</name><Point><coordinates>1,2</coordinates></Point></Placemark>"
+    zone_marks = rings.agg(F.array_join(F.array_sort(F.collect_list(mark)), "").alias("z"))  # 25 nations
+    document = F.concat(F.lit(f"<kml><Folder><name> META_deonice v2</name>{stray}"), "z", F.lit("</Folder><Folder><name>x</name>"), "o", F.lit("</Folder></kml>"))
     path = scratch(spark, "zones")
-    rings.agg(document.alias("value")).coalesce(1).write.text(path)
+    zone_marks.crossJoin(others).select(document.alias("value")).coalesce(1).write.text(path)
     found, rest = readers.split_zones(readers.read_placemarks(spark, path))
     n = rest.agg(F.count(F.lit(1)).alias("others"))
     return found.select("zone", F.size("ring").alias("vertices"), F.round(geo.mean_lon(F.col("ring")), 6).alias("mean_lon")).crossJoin(n)
@@ -324,14 +329,14 @@ def colour_by_label(spark, d):
     return _t(spark, d, "part").select("p_partkey", text.tone(_pick(_LABELS, k), text.TONE_RULES, text.TONE_PALETTE, k).alias("colour"))
 
 
-@query("""SELECT p_partkey, '<strong>' || CASE WHEN p_partkey % 4 = 0 THEN '(bez imena)' ELSE p_name END || '</strong>' || '<br><span class="muted">kategorija: ' || p_brand || '</span>' || CASE WHEN p_partkey % 3 = 0 THEN '<br><span class="muted">dužina: ' || floor(p_size + 0.5)::BIGINT || ' m</span>' ELSE '' END
-  || CASE WHEN p_partkey % 2 = 0 THEN '<div class="popup-images"><a href="data/i' || p_partkey || '"><img src="data/i' || p_partkey || '"></a></div>' ELSE '' END AS popup,
+@query("""SELECT p_partkey, '<strong>' || CASE WHEN p_partkey % 4 = 0 THEN '(bez imena)' ELSE p_name END || '</strong>' || '<br><span class="muted">kategorija: ' || p_brand || '</span>' || CASE WHEN p_partkey % 3 = 0 THEN '<br><span class="muted">dužina: ' || floor(p_size + 0.5)::BIGINT || ' m</span>' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN '<br><span class="muted">stanje: ' || p_type || '</span>' ELSE '' END
+  || CASE WHEN p_partkey % 2 = 0 THEN '<div class="popup-images"><a href="data/i' || p_partkey || '" target="_blank" rel="noopener"><img src="data/i' || p_partkey || '" alt="" loading="lazy"></a></div>' ELSE '' END AS popup,
   'https://s/@' || printf('%.5f', p_size / 8.0) || ',' || printf('%.5f', p_size / 16.0) || ',' || p_partkey % 19 || 'z,' || p_partkey * 1000 || 't,0b,0p,1m' AS link FROM part""")
 def popups_and_links(spark, d):
     """C35, C36."""
     k, size = F.col("p_partkey"), F.col("p_size")
     images = F.when(k % 2 == 0, F.array(F.concat(F.lit("i"), k.cast("string")))).otherwise(F.array().cast("array<string>"))
-    html = text.popup(F.when(k % 4 == 0, "  ").otherwise(F.col("p_name")), F.when(k % 3 == 0, size.cast("double")), images, "data/", kategorija=F.col("p_brand"))
+    html = text.popup(F.when(k % 4 == 0, "  ").otherwise(F.col("p_name")), F.when(k % 3 == 0, size.cast("double")), images, "data/", last={"stanje": F.when(k % 5 == 0, F.col("p_type"))}, kategorija=F.col("p_brand"))
     return _t(spark, d, "part").select("p_partkey", html.alias("popup"), text.deep_link("https://s", size / 8.0, size / 16.0, k % 19, F.timestamp_seconds(k)).alias("link"))
 
 

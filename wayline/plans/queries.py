@@ -95,9 +95,16 @@ def zone_counts(spark, d):
     return stats.counts(spatial.locate(c, zones(spark)), "zone", "category")
 
 
-@query(f"WITH {_ZONE_SQL} SELECT zone, ord::INT AS ord, round((SELECT avg(x) FROM ring r WHERE r.zone = o.zone), 6) AS mean_lon FROM zone_ord o")
+@query(f"""WITH z AS (SELECT 's' || s_suppkey AS zone, (lon + (lon + 0.01 * (1 + s_suppkey % 4)) + lon + lon) / 4 AS cx FROM (SELECT s_suppkey, {_lon_sql("s_suppkey")} FROM supplier))
+SELECT zone, row_number() OVER (ORDER BY cx, zone)::INT AS ord, round(cx, 6) AS mean_lon FROM z""")
 def zone_order(spark, d):
-    return zones(spark).select("zone", "ord", F.round(geo.mean_lon(F.col("ring")), 6).alias("mean_lon"))
+    """A triangle for each supplier, made of its id."""
+    x, y = F.col("lon"), F.col("lat")
+    corner = lambda dx, dy: F.struct((x + dx).alias("lon"), (y + dy).alias("lat"))
+    wide = F.lit(0.01) * (1 + F.col("s_suppkey") % 4)
+    ring = F.array(corner(F.lit(0.0), 0.0), corner(wide, 0.0), corner(F.lit(0.0), 0.01), corner(F.lit(0.0), 0.0))
+    s = _t(spark, d, "supplier").withColumns(_place("s_suppkey")).select(F.concat(F.lit("s"), "s_suppkey").alias("zone"), ring.alias("ring"))
+    return spatial.order_zones(s).select("zone", "ord", F.round(geo.mean_lon(F.col("ring")), 6).alias("mean_lon"))
 
 
 @query(f"WITH {_SEGMENT_SQL} SELECT user_id, count(*) AS segments, round(sum(m), 2) AS length_m FROM seg GROUP BY user_id")
@@ -148,7 +155,7 @@ def max_gradient(spark, d):
 @query("""SELECT coalesce(user_id, -1) AS user_id, round(min(value), 1) AS min_m, round(max(value), 1) AS max_m, round(max(value) - min(value), 1) AS range_m FROM events GROUP BY GROUPING SETS ((user_id), ()) HAVING count(*) >= 2""")
 def range_stats(spark, d):
     e = _t(spark, d, "events").select("user_id", "value")
-    return stats.ranges(e, "value", "user_id").unionByName(stats.ranges(e, "value").withColumn("user_id", F.lit(-1).cast("long")))
+    return stats.ranges_and_whole(e, "value", "user_id").select(F.coalesce("user_id", F.lit(-1)).alias("user_id"), "min_m", "max_m", "range_m")
 
 
 _GAP_SQL = "g AS (SELECT event_id, user_id, ts, value, CASE WHEN event_type <> 'error' THEN event_type END AS z FROM events)"

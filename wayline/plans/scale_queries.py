@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayline.operators import cover, linear, scan, spatial
+from wayline.functions import text
+from wayline.plans import corridor
 from wayline.plans.corridor_queries import QUERIES, SQL
 from wayline.plans.queries import _tabulated, _SEGMENT_SQL, _lon_sql, _micros, _place, _t, _track, query
 from wayline.session import scratch, stored
@@ -146,3 +148,41 @@ def streamed_survey(spark, d):
     tabulation.start(stream, state, scratch(spark, "progress"), questions, " ").awaitTermination()
     tabulation.merge(state, questions, " ")(parts.limit(0), 0)
     return tabulation.tabulation(spark, state).select("label", "n", "base", "first", "rank")
+
+
+_GALLERY = {"l0": "first", "l1": "second", "l2": "second", "l5": "empty"}
+_GALLERY_SQL = """f AS (SELECT 'l' || page_id % 4 AS layer, CASE WHEN page_id % 5 = 0 THEN ' ' || chr(160) ELSE url END AS name, CASE WHEN page_id % 3 > 0 THEN 'z' || page_id % 3 END AS zone,
+  unnest(list_distinct(regexp_extract_all(coalesce(html, ''), 'href=["'']([^"'']+)["'']', 1))) AS u FROM pages),
+i AS (SELECT u AS url, CASE WHEN trim(name, ' ' || chr(160)) = '' THEN '(bez imena)' ELSE trim(name, ' ' || chr(160)) END AS name, coalesce(zone, '') AS zone, layer, CASE layer WHEN 'l0' THEN 'first' WHEN 'l1' THEN 'second' WHEN 'l2' THEN 'second' END AS category FROM f WHERE layer <> 'l3')"""
+
+
+def _gallery(spark, d):
+    k = F.col("page_id")
+    name = F.when(k % 5 == 0, " \u00a0").otherwise(F.col("url"))
+    pages = _t(spark, d, "pages").select(F.concat(F.lit("l"), k % 4).alias("layer"), name.alias("name"), F.when(k % 3 > 0, F.concat(F.lit("z"), k % 3)).alias("zone"), text.hrefs(F.col("html")).alias("images"))
+    return corridor.gallery(pages, _GALLERY)
+
+
+@query(f"WITH {_GALLERY_SQL} SELECT * FROM i")
+def gallery_images(spark, d):
+    """Pages as features, their link targets as images; a layer in no category, names of blanks beyond ASCII."""
+    return _gallery(spark, d)
+
+
+@query(f"WITH {_GALLERY_SQL} SELECT category, count(*) AS n FROM i GROUP BY category UNION ALL SELECT 'all', count(*) FROM i")
+def gallery_counts(spark, d):
+    """images by category, those without an image left out, and all."""
+    return corridor.gallery_counts(_gallery(spark, d))
+
+
+@query(f"""WITH p AS (SELECT p_brand AS folder, p_partkey AS pid, lower(split_part(p_name, ' ', 1)) AS norm, p_partkey % 3 = 1 AS line, 21.8::DOUBLE + p_partkey % 1000 / 5000.0::DOUBLE AS lon, 43.2::DOUBLE + p_partkey % 777 / 5000.0::DOUBLE AS lat FROM part),
+m AS (SELECT a.*, CASE WHEN line THEN asin(sqrt(least(pow(sin(radians(0.5) / 2), 2), 1.0::DOUBLE))) * 12742000.0::DOUBLE END AS m FROM p a),
+n AS (SELECT folder, norm, count(*) AS n, min(pid) AS first, sum(m) AS m FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY n DESC, first, norm) AS rank, count(*) OVER (PARTITION BY folder) AS names FROM n)
+SELECT folder, norm, n, round(m, 1) AS length_m, rank::INT AS rank, greatest(names - 4, 0) AS more FROM r WHERE rank <= 4""")
+def folder_names(spark, d):
+    """The names of every placemark by folder, lines with their length."""
+    k = F.col("p_partkey")
+    place = _place("p_partkey")
+    ends = F.array(F.struct(place["lon"].alias("lon"), place["lat"].alias("lat")), F.struct(place["lon"].alias("lon"), (place["lat"] + 0.5).alias("lat")))
+    marks = _t(spark, d, "part").select(F.col("p_brand").alias("folder"), k.alias("pid"), text.normalize(F.split("p_name", " ")[0]).alias("norm"), F.when(k % 3 == 1, "LineString").when(k % 3 == 2, "Point").alias("gtype"), ends.alias("coords"))
+    return corridor.folder_names(marks, 4).withColumn("length_m", F.round("length_m", 1))
