@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayline.llm import divergence, manifest, quality, registry
+from wayline.llm import divergence, manifest, quality, registry, toxicity
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
@@ -198,6 +198,14 @@ def test_labels_of_absent_rows_take_no_place(spark, sf):
     assert quality.examples(slim, known.unionByName(absent), 80).count() == 80
 
 
+def test_toxic_examples_are_texts_there_are(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    absent = spark.range(10_000, 20_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    one, votes = toxicity.choose_examples(docs, labels, "toxic", 30)
+    other, same = toxicity.choose_examples(docs, labels.unionByName(absent.select(labels.columns)), "toxic", 30)
+    assert one.count() > 30 and votes == same and set(map(tuple, one.collect())) == set(map(tuple, other.collect()))
+
+
 def test_quality_on_ugly_rows(spark, ugly, nothing):
     df = ugly.withColumn("n_chars", F.when(F.col("doc_id") > 4, F.length("text").cast("long")))
     labels = spark.createDataFrame([(4, 1), (4, 0), (8, 0), (None, 1), (5, None), (77, 1)], "doc_id long, quality int")

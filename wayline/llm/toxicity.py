@@ -173,6 +173,7 @@ class Index:
 def choose_examples(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> tuple[DataFrame, tuple[float, float]]:
     """(id, label, text) of the examples, and the weight of an example of each class."""
     known = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # labels of absent texts take no example's place
     known = materialize(known.withColumn("at", F.md5(F.col("doc_id").cast("string").cast("binary"))), "known")
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken = known.filter("label = 0").orderBy("at").limit(examples).unionAll(known.filter("label = 1").orderBy("at").limit(examples))
