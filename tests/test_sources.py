@@ -127,3 +127,22 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     want = {r.zone: r.n for r in incremental.zone_counts(points, zones(spark)).collect()}
     assert want and {r.zone: r.n for r in spark.table("zc").collect()} == want
+
+
+def test_prefixed_geometries_in_collections(spark, tmp_path):
+    shape = "<kml:Polygon><kml:outerBoundaryIs><kml:LinearRing><kml:coordinates>1,2 3,4 5,6</kml:coordinates></kml:LinearRing></kml:outerBoundaryIs></kml:Polygon>"
+    marks = [f"<kml:MultiGeometry>{shape}</kml:MultiGeometry>", f"<kml:MultiGeometry>{shape}<kml:LineString><kml:coordinates>7,8 9,9</kml:coordinates></kml:LineString></kml:MultiGeometry>", "<kml:Point><kml:coordinates>5,5</kml:coordinates></kml:Point>"]
+    text = "".join(f"<kml:Placemark><kml:name>p</kml:name>{m}</kml:Placemark>" for m in marks)
+    (tmp_path / "p.kml").write_text(f'<kml:kml xmlns:kml="http://www.opengis.net/kml/2.2"><kml:Folder><kml:name>f</kml:name>{text}</kml:Folder></kml:kml>')
+    got = readers.read_placemarks(spark, str(tmp_path / "p.kml")).orderBy("pid").collect()
+    assert [(g.gtype, len(g.coords)) for g in got] == [("Polygon", 3), ("LineString", 2), ("Point", 1)]
+
+
+def test_tiles_are_written_under_their_names(spark, tmp_path):
+    from wayline.sources import writers
+
+    tiles = spark.createDataFrame([(14, k, k % 3, bytes([k]) if k != 4 else None) for k in range(9)], "z int, x int, y int, content binary")
+    for path in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        for _ in range(2):
+            writers.write_tiles(tiles.repartition(3), path)
+        assert sorted(map(tuple, readers.tile_files(spark, path).collect())) == [(14, k, k % 3, bytearray([k])) for k in range(9) if k != 4]

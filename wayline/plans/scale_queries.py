@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayline.operators import cover, linear, scan, spatial
-from wayline.functions import text
+from wayline.functions import geo, text
 from wayline.plans import corridor
 from wayline.plans.corridor_queries import QUERIES, SQL
 from wayline.plans.queries import _tabulated, _SEGMENT_SQL, _lon_sql, _micros, _place, _t, _track, query
 from wayline.session import scratch, stored
-from wayline.sources import heights
+from wayline.sources import heights, readers, writers
 from wayline.streaming import tabulation
 
 __all__ = ["QUERIES", "SQL"]
@@ -186,3 +186,24 @@ def folder_names(spark, d):
     ends = F.array(F.struct(place["lon"].alias("lon"), place["lat"].alias("lat")), F.struct(place["lon"].alias("lon"), (place["lat"] + 0.5).alias("lat")))
     marks = _t(spark, d, "part").select(F.col("p_brand").alias("folder"), k.alias("pid"), text.normalize(F.split("p_name", " ")[0]).alias("norm"), F.when(k % 3 == 1, "LineString").when(k % 3 == 2, "Point").alias("gtype"), ends.alias("coords"))
     return corridor.folder_names(marks, 4).withColumn("length_m", F.round("length_m", 1))
+
+
+@query(f"""WITH c AS (SELECT c_custkey, {_lon_sql("c_custkey")} FROM customer), t AS (SELECT trunc((lon + 180) / 360 * 16384)::BIGINT AS x, trunc((1 - asinh(tan(radians(lat))) / pi()) / 2 * 16384)::BIGINT AS y, count(*) AS n FROM c GROUP BY ALL)
+SELECT 14::BIGINT AS z, x, y, 'tile of ' || n AS content FROM t WHERE n % 5 > 0""")
+def tile_store(spark, d):
+    """A tile for each place of customers, stored under its name and read back; some could not be had."""
+    c = _t(spark, d, "customer").select("c_custkey").withColumns(_place("c_custkey"))
+    x, y = geo.tile(F.col("lon"), F.col("lat"), 14)
+    n = F.count(F.lit(1))
+    tiles = c.groupBy(x.alias("x"), y.alias("y")).agg(F.when(n % 5 > 0, F.concat(F.lit("tile of "), n.cast("string")).cast("binary")).alias("content")).withColumn("z", F.lit(14))
+    path = scratch(spark, "tiles")
+    writers.write_tiles(tiles, path)
+    return readers.tile_files(spark, path).withColumn("content", F.col("content").cast("string"))
+
+
+@query("""WITH p AS (SELECT p_partkey, chr(160) || chr(8195) || replace(p_name, ' ', ' ' || chr(160) || chr(12288)) || chr(133) || chr(8239) || p_brand || chr(9) || chr(160) AS n FROM part)
+SELECT p_partkey, lower(regexp_replace(regexp_replace(n, '^[\\x09-\\x0D\\x20\\x{85}\\p{Z}]+|[\\x09-\\x0D\\x20\\x{85}\\p{Z}]+$', '', 'g'), '[\\x09-\\x0D\\x20\\x{85}\\p{Z}]+', ' ', 'g')) AS norm FROM p""")
+def unicode_names(spark, d):
+    """C13 with blanks beyond ASCII at both ends and within: no-break, em, ideographic and narrow ones, a next-line sign."""
+    messy = F.concat(F.lit("\u00a0\u2003"), F.replace("p_name", F.lit(" "), F.lit(" \u00a0\u3000")), F.lit("\x85\u202f"), "p_brand", F.lit("\t\u00a0"))
+    return _t(spark, d, "part").select("p_partkey", text.normalize(messy).alias("norm"))

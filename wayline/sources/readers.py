@@ -37,8 +37,8 @@ def read_folders(spark: SparkSession, path: str, depth: int = DEPTH) -> DataFram
 
 def _first(kind: str, tail: str, inner: str) -> Column:
     """The coordinates of a placemark's geometry of a kind, or of the first such in its collection."""
-    found = F.regexp_extract(F.col("p.MultiGeometry"), rf"(?s)<{kind}\b{inner}.*?<coordinates[^>]*>([^<]*)<", 1)
-    return F.coalesce(F.col(f"p.{kind}.{tail}"), F.when(F.col("p.MultiGeometry").rlike(rf"<{kind}\b"), found))
+    found = F.regexp_extract(F.col("p.MultiGeometry"), rf"(?s)<(?:[\w.-]+:)?{kind}\b{inner}.*?<(?:[\w.-]+:)?coordinates[^>]*>([^<]*)<", 1)
+    return F.coalesce(F.col(f"p.{kind}.{tail}"), F.when(F.col("p.MultiGeometry").rlike(rf"<(?:[\w.-]+:)?{kind}\b"), found))
 
 
 def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +49,7 @@ def read_placemarks(spark: SparkSession, path: str) -> DataFrame:
     """
     p = read_folders(spark, path).select("place", "folder", F.posexplode("placemarks").alias("pid", "p"))
     point, line = _first("Point", "coordinates", ""), _first("LineString", "coordinates", "")
-    ring = _first("Polygon", "outerBoundaryIs.LinearRing.coordinates", ".*?<outerBoundaryIs")
+    ring = _first("Polygon", "outerBoundaryIs.LinearRing.coordinates", r".*?<(?:[\w.-]+:)?outerBoundaryIs")
     p = p.withColumns({"kind": F.when(point.isNotNull(), "Point").when(line.isNotNull(), "LineString").when(ring.isNotNull(), "Polygon"), "coords": geo.parse_coords(F.coalesce(point, line, ring))})
     return p.select(
         "place", "folder", F.col("pid").cast("long").alias("pid"), F.col("p.name").alias("name"), text.normalize(F.col("p.name")).alias("norm"),

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,27 @@ def orphans(files: DataFrame, used: DataFrame, name: str = "name") -> DataFrame:
     return files.join(used.select(name).filter(F.col(name).isNotNull()).distinct(), name, "left_anti")
 
 
+def write_tiles(tiles: DataFrame, path: str) -> None:
+    """tiles (z, x, y, content) as files path/z/x/y.png, the names that readers.tile_files reads; a tile that is there is replaced.
+
+    Spark's own writers choose their names, so each task writes its files to the shared store itself; a task that runs again
+    writes the same files. Null content, a tile that could not be had, makes no file.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+        n = 0
+        for batch in batches:
+            for z, x, y, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store.create_dir(f"{root}/{z}/{x}", recursive=True)
+                with store.open_output_stream(f"{root}/{z}/{x}/{y}.png") as f:
+                    f.write(content)
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    tiles.select("z", "x", "y", "content").filter("content is not null").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def _names(spark: SparkSession, path: str):
     """The file names of Hadoop below path, and what they are renamed and opened with."""
     jvm = spark.sparkContext._jvm
@@ -67,10 +90,10 @@ def _names(spark: SparkSession, path: str):
 
 def published(spark: SparkSession, path: str) -> dict[str, str] | None:
     """What the manifest of the results at path says: its stamp, and under 'folder' where the data is. None: nothing is published."""
-    jvm, where, fs = _names(spark, f"{path}/{MANIFEST}")
-    if not fs.exists(where):
+    jvm, where, store = _names(spark, f"{path}/{MANIFEST}")
+    if not store.exists(where):
         return None
-    stream = fs.open(where)
+    stream = store.open(where)
     try:
         return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
@@ -85,8 +108,8 @@ def publish(spark: SparkSession, path: str, stamp: Mapping[str, str], write: Cal
     """
     folder = f"{hashlib.sha1(json.dumps(sorted(stamp.items())).encode()).hexdigest()[:16]}-{uuid.uuid4().hex[:8]}"
     write(f"{path}/{folder}")
-    jvm, draft, fs = _names(spark, f"{path}/.{MANIFEST}-{uuid.uuid4().hex}")
-    out = fs.create(draft, True)
+    jvm, draft, store = _names(spark, f"{path}/.{MANIFEST}-{uuid.uuid4().hex}")
+    out = store.create(draft, True)
     try:
         out.write(bytearray(json.dumps({**stamp, "folder": folder}).encode()))
     finally:
@@ -100,10 +123,10 @@ def publish(spark: SparkSession, path: str, stamp: Mapping[str, str], write: Cal
 def prune(spark: SparkSession, path: str) -> int:
     """Delete the folders of path that the manifest does not name, once nothing reads them; how many there were."""
     now = published(spark, path)
-    _, where, fs = _names(spark, path)
-    old = [f.getPath() for f in fs.listStatus(where) if f.isDirectory() and now and f.getPath().getName() != now["folder"]]
+    _, where, store = _names(spark, path)
+    old = [f.getPath() for f in store.listStatus(where) if f.isDirectory() and now and f.getPath().getName() != now["folder"]]
     for p in old:
-        fs.delete(p, True)
+        store.delete(p, True)
     return len(old)
 
 
