@@ -7,10 +7,13 @@ checks what it finds. The four base kinds are, leftmost and without overlap with
   ip     [0-9]+(\\.[0-9]+){3}, no part above 255
   card   [0-9]([\\x20-]?[0-9])+, 16 to 19 digits that pass the Luhn test
   phone  \\+[0-9][\\x20().0-9-]+[0-9], 8 to 15 digits
-A match that fails its test is dropped and its characters are not tried again. Two kinds are added:
+A match that fails its test is dropped and its characters are not tried again. Three kinds are added:
   account  an IBAN (two capitals, two digits, 11 to 30 capitals or digits, mod 97 = 1), in groups of four or solid;
            or 6 to 18 digits, blanks and hyphens allowed between, right after one of the cues in CUES and `:`, `=`, `#` or blank
   url      scheme://user[:password]@host..., with the credentials, or a mailto: or tel: address
+  postal   a street address after one of PLACE_CUES: words that begin with a capital, numbers, street words and
+           particles, in up to ADDRESS_PARTS parts between commas and ADDRESS_CHARS code points; the first part holds a
+           street word, it or the next a house number; English, French, German and Spanish
 Spans are in code points, end exclusive.
 
 Cases: a null or empty text has no spans; texts of any length are read whole; repeated rows each give a row; an
@@ -19,6 +22,7 @@ empty table gives an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 from wayline.llm._common import table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "account", "url")
+KINDS = (*BASE, "account", "url", "postal")
 CUES = (
     "iban", "account number", "account no", "acct", "passport no", "passport number", "ssn", "social security number", "tax id",
     "numéro de compte", "n° de compte", "numéro de passeport", "numéro de sécurité sociale", "numéro fiscal",
@@ -38,6 +42,19 @@ CUES = (
     "número de cuenta", "n.º de cuenta", "número de pasaporte", "pasaporte n.º", "número de la seguridad social", "número fiscal",
 )
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "mailto:", "tel:")
+PLACE_CUES = (
+    "address", "adresse", "domicile", "anschrift", "dirección", "domicilio",
+    "residing at", "lives at", "demeurant au", "demeurant", "habite au", "wohnhaft in", "wohnhaft", "con domicilio en", "vive en",
+)
+STREETS = frozenset((
+    "street", "st", "avenue", "ave", "road", "rd", "lane", "ln", "drive", "dr", "court", "square", "boulevard", "blvd", "way", "terrace", "box",
+    "rue", "bd", "allée", "chemin", "quai", "impasse", "cours", "place", "route", "postfach", "str",
+    "calle", "c/", "avda", "av", "avenida", "paseo", "plaza", "camino", "ronda", "carrera", "apartado",
+))
+STREET_ENDS = ("straße", "strasse", "str", "weg", "platz", "allee", "gasse", "ufer", "damm")
+PARTICLES = frozenset(("de", "la", "le", "les", "des", "du", "del", "los", "las", "of", "the", "der", "dem", "den", "am", "an", "im", "bis", "ter", "no", "n.º", "nº", "n°"))
+#: A longer stretch, or one of more parts, is no address: such text ends where the bound is.
+ADDRESS_CHARS, ADDRESS_PARTS = 160, 5
 ROWS_AT_ONCE = 1000
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -49,6 +66,9 @@ _UPPER = _DIGITS | frozenset(_LETTERS)
 _VALUES = {ord(c): str(k + 10) for k, c in enumerate(_LETTERS)}
 _USER = _LOCAL | frozenset("~!$&'()*,;=:")
 _STOP = frozenset(" \t\n\v\f\r\"'<>")
+_ADDRESS = re.compile(r"[^\n\v\f\r;\"<>()\[\]{}|]*")
+_initials = re.compile(r"[A-Z](?:\.[A-Z])*").fullmatch
+_number = re.compile(r"[0-9]{1,6}[A-Za-z]?(?:[-/][0-9]{1,5}[A-Za-z]?)?").fullmatch
 
 
 def luhn(digits: str) -> bool:
@@ -75,6 +95,9 @@ def _automaton() -> ahocorasick.Automaton:
     for c in CUES:
         for form in {c, c.upper(), c.title(), c.capitalize()}:
             a.add_word(form, ("cue", len(form) - 1))
+    for c in PLACE_CUES:
+        for form in {c, c.upper(), c.title(), c.capitalize()}:
+            a.add_word(form, ("place", len(form) - 1))
     for x in _LETTERS:
         for y in _LETTERS:
             for z in "0123456789":
@@ -214,6 +237,54 @@ def url(text: str, at: int, least: int, scheme_end: int, user: list[int | None])
     return end, (at, end)
 
 
+def _is_street(word: str) -> bool:
+    word = word.lower().rstrip(".")
+    return word in STREETS or word.endswith(STREET_ENDS)
+
+
+def _address_words(text: str, at: int, end: int) -> tuple[list[str], int, bool]:
+    """The words between two commas that an address may hold, up to the first other one, where they end, and whether
+    that is the comma. Particles at the end are left out; a full stop ends the words, but after a short street word or initials."""
+    words, to = [], at
+    for m in re.compile(r"[^ \t]+").finditer(text, at, end):
+        bare = m[0].rstrip(".:!?")
+        if not bare or not (bare[0].isupper() or _number(bare) or _is_street(bare) or bare.lower() in PARTICLES or bare[:2].lower() in ("d'", "l'", "d’", "l’")):
+            break
+        words.append(bare)
+        short = m[0] == bare + "." and (len(bare) < 5 and _is_street(bare) or _initials(bare)) or m[0].lower().endswith("str.")
+        to = m.end() if short else m.start() + len(bare)
+        if to < m.end():
+            break
+    else:
+        return words, to, bool(words)
+    while words and words[-1].lower() in PARTICLES:
+        to = len(text[at:to].rstrip()[: -len(words.pop())].rstrip()) + at
+    return words, to, False
+
+
+def postal(text: str, at: int, least: int, cue_end: int) -> Parsed:
+    if at and (text[at - 1].isalnum() or text[at - 1] in "_-"):
+        return None
+    start = _run(text, cue_end, frozenset(" :=\t"))
+    if start == cue_end or start - cue_end > 4 or start < least or text[start : start + 4].lower() == "the ":
+        return None
+    stop, to, street, number = _ADDRESS.match(text, start, min(len(text), start + ADDRESS_CHARS)).end(), start, False, False
+    for k in range(ADDRESS_PARTS):
+        comma = text.find(",", to if not k else to + 1, stop)
+        words, end, whole = _address_words(text, to if not k else to + 1, comma if comma >= 0 else stop)
+        street = street or not k and any(map(_is_street, words))
+        number = number or k < 2 and any(map(_number, words))
+        if not words or not street or k and not number:
+            break
+        to = end
+        if not whole or comma < 0:
+            break
+        to = comma
+    if text[to - 1 : to] == "," or text[to : to + 1] == ",":
+        to = len(text[start:to].rstrip(", \t")) + start
+    return (to, (start, to)) if street and number else None
+
+
 PARSERS = {"email": email, "ip": ip, "card": card, "phone": phone}
 _anchors: list[ahocorasick.Automaton] = []
 
@@ -227,7 +298,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     user: list[int | None] = [0, 0, None]
     for last, (kind, back) in _anchors[0].iter(text):
         at = last - back
-        out = "account" if kind in ("cue", "iban") else kind
+        out = {"cue": "account", "iban": "account", "place": "postal"}.get(kind, kind)
         if at < past[out] and kind != "ip":
             continue
         if kind == "ip" and at < past[out] and _run(text, at, _DIGITS) <= past[out]:
@@ -238,6 +309,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             got = iban(text, at, past[out])
         elif kind == "cue":
             got = cued(text, at, past[out], last + 1)
+        elif kind == "place":
+            got = postal(text, at, past[out], last + 1)
         else:
             got = url(text, at, past[out], last + 1, user)
         if got:

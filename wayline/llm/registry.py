@@ -30,9 +30,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring.OP1_SQL,
         "op4_lm_score": lm_scoring.OP4_SQL,
         "op4_lm_score_order2": lm_scoring.OP4_ORDER2_SQL,
         "op6_exact_dedup": exact_dedup.OP6_SQL,
+        "op7_near_dedup": near_dedup.OP7_SQL,
         "op9_chat_format": chat.OP9_SQL,
         "op10_mix_sources": mixing.OP10_SQL,
         "op11_merkle_manifest": manifest.OP11_SQL,
