@@ -212,10 +212,28 @@ def test_score_is_the_share_of_weighted_votes(spark):
     index = toxicity.learn(docs, labels)
     assert len(index.ids) == len({r[0] for r in learned}) and index.leans[index.terms["vile"]] and not index.leans[index.terms["kind"]]
     for i, leaning in ((1000, False), (1, True), (1002, False)):
-        votes = [(e.label, e.cosine**2) for e in got[i].evidence]
-        want = (sum(v for y, v in votes if y) + 0.05 * index.rate[leaning]) / (sum(v for _, v in votes) + 0.05)
+        votes = [(e.label, e.cosine**2 * (toxicity.FLOOR + e.shared)) for e in got[i].evidence]
+        want = (sum(v for y, v in votes if y) + toxicity.SMOOTHING * index.rate[leaning]) / (sum(v for _, v in votes) + toxicity.SMOOTHING)
         assert got[i].score == pytest.approx(min(1.0, want))
     assert got[1002].evidence == []
+    lean = {w: index.lean[t] for w, t in index.terms.items() if index.leans[t]}
+    text = {r[0]: r[1] for r in rows}
+    for e in got[1].evidence:
+        mine, its = ({w for w in text[i].split() if w in lean} for i in (1, e.doc_id))
+        assert e.shared == pytest.approx(sum(lean[w] for w in mine & its) / sum(lean[w] for w in mine | its) if mine | its else 1)
+
+
+def test_words_weigh_as_tf_idf(spark):
+    texts = ["vile vile word", "kind word", "word of calm", "vile calm"]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 5)], "doc_id long, quality int, toxic int")
+    index = toxicity.learn(docs, labels)
+    for text in texts:
+        at, w = index.vector(text)
+        seen = [t for t in index.terms if t in text.split()]
+        raw = {t: (1 + np.log(text.split().count(t))) * (np.log(5 / (1 + sum(t in x.split() for x in texts))) + 1) for t in seen}
+        norm = np.sqrt(sum(v * v for v in raw.values()))
+        assert {t: w[list(at).index(index.terms[t])] for t in seen} == pytest.approx({t: v / norm for t, v in raw.items()})
 
 
 def test_toxicity_on_ugly_rows(spark, ugly, nothing):

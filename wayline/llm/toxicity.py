@@ -4,16 +4,17 @@ Learning:
   1. of the labelled rows that may be learned from, EXAMPLES of each class are taken in hash order of their id, one text
      for each id (the least, if documents share it). This is the only bound: 2 * EXAMPLES rows, whole texts, all words;
   2. the document frequency of each word of the examples is counted over all documents;
-  3. a word weighs (1 + ln tf) * idf * (FLOOR + lean). lean is how much the word leans toxic among the examples: the
-     lower end of a confidence interval of the logarithm of its odds ratio, so 0 for a word that tells nothing. FLOOR lets
-     every word count, so texts without leaning words are compared on all they say, and others mostly on those;
+  3. a word weighs (1 + ln tf) * idf. Apart from that, its lean is how much it leans toxic among the examples: the
+     lower end of a confidence interval of the logarithm of its odds ratio, so 0 for a word that tells nothing;
   4. each example becomes a unit vector over all its words. The examples are dealt in blocks of similar ones; the index
      holds the postings of each word, and of frequent words the largest weight in each block.
 Scoring, for every whole text: postings of words that are not frequent are added up for all examples; with the largest
 weights of the frequent words they bound each block. The best blocks set a threshold, and every block whose bound
 reaches it is scored in full, so the NEAREST neighbours are exact. Each votes with the square of its cosine, times what
-its class lost when examples were taken, plus a small vote of the toxic rate among examples that like the text have, or
+its class lost when examples were taken, times FLOOR plus the share of the lean of both texts' leaning words that they
+have in common (1 if neither has any), plus a small vote of the toxic rate among examples that like the text have, or
 lack, leaning words; so a score estimates the toxic share among such documents. The neighbours are returned as evidence.
+FLOOR, NEAREST and SMOOTHING are those of least log loss on learnable rows, each without itself among its neighbours.
 
 Cases: a null text is empty; a text without a word of any example gets that toxic rate; no labelled rows give score 0;
 ties between neighbours (cosines of 9 digits) go to the earlier example; a label that is null is not learned; of
@@ -39,11 +40,13 @@ from pyspark.sql import types as T
 from wayline.llm._common import materialize, table, tidy
 
 EXAMPLES = 4096
-NEAREST = 8
+NEAREST = 64
 BLOCK = 128
-#: What every word weighs besides its lean, and the normal quantile of the lean's confidence interval (0.1 % level).
-FLOOR, QUANTILE = 0.02, 3.29
-SMOOTHING = 0.05
+#: What a neighbour's vote weighs besides the lean it shares, and the normal quantile of the lean's confidence interval (0.1 % level).
+FLOOR, QUANTILE = 0.005, 3.29
+SMOOTHING = 0.0005
+#: Neighbours that the query shows, nearest first; all vote.
+SHOWN = 8
 THRESHOLD = 0.3
 ROWS_AT_ONCE = 1000
 #: Texts that meet the index at once; words in a larger share of the examples are frequent.
@@ -63,17 +66,18 @@ class Index:
     def __init__(self, terms: list[str], idf: np.ndarray, lean: np.ndarray, ids: list, label: np.ndarray, votes: tuple[float, float], sizes: np.ndarray, at: np.ndarray, tf: np.ndarray) -> None:
         """Of the examples ids and label, and one after another their sizes words, at, with counts tf; votes: what an example
         of class 0 and of class 1 stands for."""
-        self.terms, self.scale, self.leans = {t: k for k, t in enumerate(terms)}, idf * (FLOOR + lean), lean > 0
+        self.terms, self.scale, self.lean, self.leans = {t: k for k, t in enumerate(terms)}, idf, lean, lean > 0
         n = len(ids)
         row = np.repeat(np.arange(n), sizes)
         weight = (1 + np.log(tf)) * self.scale[at]
         weight /= np.sqrt(np.bincount(row, weight**2, n))[row]
         leaning = np.bincount(row, self.leans[at], n) > 0
-        # Like beside like, so that the bounds of most blocks are low: by the word of largest weight.
+        # Like beside like, so that the bounds of most blocks are low: by the frequent word of largest weight.
+        frequent = np.where((np.bincount(at, minlength=len(terms)) > n * FREQUENT)[at], weight, 0.0)
         most = np.zeros(n)
-        np.maximum.at(most, row, weight)
+        np.maximum.at(most, row, frequent)
         word = np.full(n, -1)
-        heaviest = np.flatnonzero(weight == most[row])
+        heaviest = np.flatnonzero((frequent == most[row]) & (frequent > 0))
         word[row[heaviest]] = at[heaviest]
         order = np.lexsort((-most, word))
         self.ids, self.label = [ids[k] for k in order], label[order].astype(np.int8)
@@ -84,6 +88,7 @@ class Index:
         place = place[row]
         by_term = np.lexsort((place, at))
         self.place, self.weight = place[by_term], weight[by_term]
+        self.leaning = np.bincount(place, lean[at], n)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
         self.dense: np.ndarray | None = None
 
@@ -116,9 +121,9 @@ class Index:
         at = np.fromiter(tf, np.int64, len(tf))
         return at, self.unit(at, np.fromiter(tf.values(), np.int64, len(tf)))
 
-    def nearest(self, texts: list[str]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
-        """For each text whether it has leaning words, and the places and cosines of the nearest examples with a positive
-        cosine, nearest first."""
+    def nearest(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text its leaning words, and the places and cosines of the nearest examples with a positive cosine,
+        nearest first."""
         dense = self.open()
         blocks = len(dense)
         for begin in range(0, len(texts), TEXTS_AT_ONCE):
@@ -126,7 +131,7 @@ class Index:
             queries, scores, leaning = np.zeros((len(part), self.most.shape[0])), np.zeros((len(part), blocks * BLOCK)), []
             for k, text in enumerate(part):
                 at, w = self.vector(text)
-                leaning.append(bool(self.leans[at].any()))
+                leaning.append(at[self.leans[at]])
                 row = self.row[at]
                 queries[k, row[row >= 0]] = w[row >= 0]
                 at, w = at[row < 0], w[row < 0]
@@ -162,12 +167,20 @@ class Index:
     def share(self, toxic: float, all: float, rate: float) -> float:
         return (toxic + SMOOTHING * rate) / (all + SMOOTHING)
 
-    def scores(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[object, int, float]]]]:
-        """For each text the score and its evidence: id, label and cosine of the nearest examples."""
+    def shared(self, leaning: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Of the lean of the words that a text and each example have, the share of those that both have; 1 without such words."""
+        both = np.zeros(len(self.ids))
+        for t in leaning:
+            both[self.place[self.starts[t] : self.starts[t + 1]]] += self.lean[t]
+        every = self.lean[leaning].sum() + self.leaning[places] - both[places]
+        return np.divide(both[places], every, out=np.ones(len(places)), where=every > 0)
+
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text the score and its evidence: of the nearest examples the places, cosines and shared leans."""
         for leaning, places, cosines in self.nearest(texts):
-            vote, toxic = self.vote[places] * cosines**2, self.label[places] == 1
-            evidence = [(self.ids[p], int(self.label[p]), float(c)) for p, c in zip(places, cosines, strict=True)]
-            yield min(1.0, self.share(float(vote[toxic].sum()), float(vote.sum()), self.rate[leaning])), evidence
+            shared = self.shared(leaning, places)
+            vote, toxic = self.vote[places] * cosines**2 * (FLOOR + shared), self.label[places] == 1
+            yield min(1.0, self.share(float(vote[toxic].sum()), float(vote.sum()), self.rate[len(leaning) > 0])), places, cosines, shared
 
 
 def choose_examples(docs: DataFrame, labels: DataFrame, label: str, examples: int) -> tuple[DataFrame, tuple[float, float]]:
@@ -258,21 +271,23 @@ def opened(packed: Broadcast) -> Index:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, score and evidence (nearest examples: doc_id, label, cosine) of every row of docs."""
+    """id, score and evidence (nearest examples: doc_id, label, cosine, shared lean) of every row of docs."""
     spark = docs.sparkSession
     index = shipped(spark, learn(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), labels))
-    evidence = T.ArrayType(T.StructType([T.StructField("doc_id", docs.schema[id].dataType), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
+    evidence = T.ArrayType(T.StructType([T.StructField("doc_id", docs.schema[id].dataType), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType()), T.StructField("shared", T.DoubleType())]))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = opened(index).scores  # of this task, so a worker that goes on to other work holds none
+        examples = opened(index)  # of this task, so a worker that goes on to other work holds none
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                rows = batch.slice(at, ROWS_AT_ONCE)
-                got = list(scores([t or "" for t in rows.column(1).to_pylist()]))
-                kind = pa.list_(pa.struct([("doc_id", rows.column(0).type), ("label", pa.int32()), ("cosine", pa.float64())]))
-                shown = pa.array([[{"doc_id": i, "label": y, "cosine": c} for i, y, c in e] for _, e in got], kind)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s for s, _ in got], pa.float64()), shown], names=[id, "score", "evidence"])
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(start, ROWS_AT_ONCE)
+                scores, places, cosines, shared = zip(*examples.scores([t or "" for t in rows.column(1).to_pylist()]), strict=True)
+                at_ids, ends = np.concatenate(places), np.cumsum([0, *map(len, places)])
+                ids = pa.array([examples.ids[k] for k in at_ids], rows.column(0).type)
+                fields = [ids, pa.array(examples.label[at_ids].astype(np.int32)), pa.array(np.concatenate(cosines)), pa.array(np.concatenate(shared))]
+                shown = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["doc_id", "label", "cosine", "shared"]))
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores, pa.float64()), shown], names=[id, "score", "evidence"])
 
     schema = T.StructType([docs.schema[id], T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
     return docs.select(id, text).mapInArrow(run, schema)
@@ -290,11 +305,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 rows = batch.slice(start, ROWS_AT_ONCE)
-                yield rows.filter(pa.array([score < threshold for score, _ in scores([t or "" for t in rows.column(at).to_pylist()])], pa.bool_()))
+                yield rows.filter(pa.array([found[0] < threshold for found in scores([t or "" for t in rows.column(at).to_pylist()])], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.slice("evidence", 1, SHOWN).alias("evidence"))
