@@ -88,7 +88,12 @@ class Index:
         place = place[row]
         by_term = np.lexsort((place, at))
         self.place, self.weight = place[by_term], weight[by_term]
-        self.leaning = np.bincount(place, lean[at], n)
+        # The leaning words of each example, one example after another.
+        by_place = np.lexsort((at, place))
+        by_place = by_place[self.leans[at[by_place]]]
+        self.held, self.leaning = at[by_place].astype(np.int32), np.bincount(place, lean[at], n)
+        self.firsts = np.concatenate([[0], np.cumsum(np.bincount(place[by_place], minlength=n))])
+        self.meant = np.zeros(len(terms))
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
         self.dense: np.ndarray | None = None
 
@@ -169,11 +174,14 @@ class Index:
 
     def shared(self, leaning: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Of the lean of the words that a text and each example have, the share of those that both have; 1 without such words."""
-        both = np.zeros(len(self.ids))
-        for t in leaning:
-            both[self.place[self.starts[t] : self.starts[t + 1]]] += self.lean[t]
-        every = self.lean[leaning].sum() + self.leaning[places] - both[places]
-        return np.divide(both[places], every, out=np.ones(len(places)), where=every > 0)
+        sizes = self.firsts[places + 1] - self.firsts[places]
+        ends = np.cumsum(sizes)
+        where = np.repeat(self.firsts[places] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        self.meant[leaning] = self.lean[leaning]
+        both = np.bincount(np.repeat(np.arange(len(places)), sizes), self.meant[self.held[where]], len(places))
+        self.meant[leaning] = 0
+        every = self.lean[leaning].sum() + self.leaning[places] - both
+        return np.divide(both, every, out=np.ones(len(places)), where=every > 0)
 
     def scores(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
         """For each text the score and its evidence: of the nearest examples the places, cosines and shared leans."""
