@@ -41,6 +41,8 @@ BACKOFF = 0.4
 BLOCK_BYTES = 6 << 20
 #: n-grams of one order in one count table partition, about.
 PARTITION_NGRAMS = 1 << 20
+#: Lists shorter than this are not compressed.
+FEW = 16
 
 _U = np.uint64
 
@@ -85,12 +87,16 @@ class Grams:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Integers, byte planes apart, compressed."""
+    """Integers, byte planes apart, compressed; a few stay as they are."""
+    if len(x) < FEW:
+        return x.astype("<i8").tobytes()
     return pa.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    if n < FEW:
+        return np.frombuffer(data, "<i8")
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8)
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").reshape(-1)
 
 
@@ -137,9 +143,10 @@ def _lists(order: int, bits: int):
                 grams = Grams(_texts(block), order)
                 for n in range(1, order + 1):
                     distinct, counts = grams.distinct[n - 1], grams.counts[n - 1]
-                    cuts = np.searchsorted(distinct >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(distinct)])
+                    part = (distinct >> _U(64 - bits) if bits else distinct & _U(0)).astype(np.int64)
+                    cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))  # the parts that the block has, however many there are
                     low = (distinct << _U(bits) >> _U(16)).astype(np.int64)  # in order within a partition
-                    rows = [(block["block"], n, k, _pack(np.diff(low[a:b], prepend=0)), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                    rows = [(block["block"], n, part[a], _pack(np.diff(low[a:b], prepend=0)), counts[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "n", "part", "low", "counts"])
 

@@ -9,8 +9,10 @@ query's products with all codewords: a candidate's score is a sum of CODEBOOKS t
 Equal vectors are coded once; a class of copies stands for its smallest ids, of which a search for k needs k + 1.
 Codes are kept in blocks of BLOCK. Queries come in batches of QUERY_BATCH, whose vectors are broadcast (at most
 QUERY_BYTES): each batch is one pass over the codes, in which a task keeps the RERANKED best of all its blocks for each
-query. So codes are never shuffled or copied, and the tasks of a pass do not grow with the queries. What the passes
-found is scored in one join, on the original vectors in double precision.
+query. So codes are never shuffled or copied, and the tasks of a pass do not grow with the queries. A pass first goes
+through one block of each square root of its tasks: the worst of the RERANKED best there is a floor, below which the
+tasks of the other blocks hand nothing on, so what a query's tasks hand on grows with the square root of their number
+and the result is the same. What the passes found is scored in one join, on the original vectors in double precision.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id;
 vectors of different lengths are searched apart, each among those of its length; rows of equal id and vector count
@@ -20,6 +22,7 @@ fewer than k candidates all are returned; an empty table gives no rows; further
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayline.llm._common import materialize, materialize_all, table
+from wayline.llm._common import forget, materialize, materialize_all, table
 
 CODEBOOKS, CODEWORDS = 32, 256
 SAMPLE = 16_384
@@ -99,10 +102,10 @@ def _coder(books):
 
 
 def _scanner(books, asked, metric: str, keep: int):
-    """Of each query in asked (numbers, vectors) the keep best of a task's blocks."""
+    """Of each query in asked (numbers, vectors, floors) the keep best of a task's blocks, none below its floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, queries = asked.value
+        numbers, queries, floors = asked.value
         words = books.value.reshape(-1, books.value.shape[2])
         parts = range(0, len(queries), QUERIES_AT_ONCE)
         best = [(np.zeros((len(queries[at : at + QUERIES_AT_ONCE]), 0), np.float32), np.zeros((len(queries[at : at + QUERIES_AT_ONCE]), 0), np.int64)) for at in parts]
@@ -127,7 +130,8 @@ def _scanner(books, asked, metric: str, keep: int):
         for at, (score, names) in zip(parts, best, strict=True):
             if score.shape[1]:
                 each = np.repeat(numbers[at : at + QUERIES_AT_ONCE], score.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(names.reshape(-1)), pa.array(score.reshape(-1))], names=["query", "class", "near"])
+                on = (score >= floors[at : at + QUERIES_AT_ONCE, None]).reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(each[on]), pa.array(names.reshape(-1)[on]), pa.array(score.reshape(-1)[on])], names=["query", "class", "near"])
 
     return run
 
@@ -171,23 +175,39 @@ def _search(rows: DataFrame, is_query: Column, length: int, k: int, metric: str,
     codes = classes.select("class", "v").mapInArrow(_coder(books), "id long, code binary, norm float")
     n_blocks = -(-classes.count() // BLOCK)
     blocks = codes.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("id", "code", "norm")).alias("rows"))
-    blocks = blocks.select(F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes"), F.col("rows.norm").alias("norms"))
-    blocks = materialize(blocks.repartition(min(n_blocks, max(4 * spark.sparkContext.defaultParallelism, n_blocks // 64))), "codes")
+    blocks = blocks.select("block", F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes"), F.col("rows.norm").alias("norms"))
+    n_tasks = min(n_blocks, max(4 * spark.sparkContext.defaultParallelism, n_blocks // 64))
+    blocks = materialize(blocks.repartition(n_tasks), "codes")
+    first = F.col("block") % max(1, math.isqrt(n_tasks)) == 0
 
     asking = rows.filter(is_query)
     n_batches = -(-asking.count() // min(QUERY_BATCH, max(1, QUERY_BYTES // (4 * length))))
     numbered = asking.withColumns({"query": F.monotonically_increasing_id(), "batch": F.pmod(F.xxhash64("id"), F.lit(n_batches)).cast("int")})
     asking = materialize(materialize(numbered, "numbered").repartitionByRange("batch").sortWithinPartitions("batch"), "queries")
 
+    keep = reranked + 1
+    best = Window.partitionBy("query").orderBy(F.desc("near"), "class")
+
+    def scan(part: DataFrame, asked) -> DataFrame:
+        return part.mapInArrow(_scanner(books, asked, metric, keep), "query long, class long, near float")
+
+    def cut(found: DataFrame) -> DataFrame:
+        return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= keep).drop("n")
+
     def passes() -> Iterator[DataFrame]:
-        best = Window.partitionBy("query").orderBy(F.desc("near"), "class")
         for b in range(n_batches):
             batch = asking.filter(F.col("batch") == b).select("query", "v").toArrow().combine_chunks()
             if not batch.num_rows:
                 continue
-            asked = spark.sparkContext.broadcast((batch["query"].to_numpy(), _matrix(batch["v"].combine_chunks()).astype(np.float32)))
-            found = blocks.mapInArrow(_scanner(books, asked, metric, reranked + 1), "query long, class long, near float")
-            yield found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= reranked + 1).select("query", "class")
+            numbers, queries = batch["query"].to_numpy(), _matrix(batch["v"].combine_chunks()).astype(np.float32)
+            asked = spark.sparkContext.broadcast((numbers, queries, np.full(len(numbers), -np.inf, np.float32)))
+            pilot = materialize(cut(scan(blocks.filter(first), asked)), "pilot")
+            asked.destroy()
+            full = pilot.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near")).filter(F.col("n") == keep)
+            floor = {r["query"]: r["near"] for r in full.collect()}  # one number for each query of the batch
+            asked = spark.sparkContext.broadcast((numbers, queries, np.array([floor.get(q, -np.inf) for q in numbers.tolist()], np.float32)))
+            yield cut(pilot.unionAll(scan(blocks.filter(~first), asked))).select("query", "class")
+            forget(pilot)
             asked.destroy()
 
     near = materialize_all(passes(), "near")
