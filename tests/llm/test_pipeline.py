@@ -43,10 +43,32 @@ def test_each_stage_against_a_plain_version(spark, sf, documents):
 
 
 def test_pipeline_on_ugly_and_empty_tables(spark, sf, ugly, nothing):
+    """Each stage row by row, on nulls, blanks, repeated ids and rows and very long texts."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    rows = lambda df: Counter((r.doc_id, r.text, r.lang, r.source) for r in df.collect())
+    plain = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     for df in (ugly, nothing):
         docs = df
         for name, stage in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.materialize(stage(spark, docs, sf), name)
-            if name != "sentencepiece":
-                assert docs.columns == df.columns
+            before, docs = docs, corpus_pipeline.materialize(stage(spark, docs, sf), name)
+            old, new = rows(before), rows(docs) if name != "sentencepiece" else None
+            if new is not None:
+                assert docs.columns == df.columns and set(new) <= set(old), name
+            if name == "toxicity":
+                assert new == old  # nothing here is toxic
+            elif name == "exact_dedup":
+                assert Counter(plain(t) for _, t, *_ in new.elements()) == Counter({plain(t) for _, t, *_ in old})
+            elif name == "near_dedup":
+                apart = brute.near_components([(k, t) for k, (_, t, *_) in enumerate(old.elements())])
+                assert new.total() == sum(k == c for k, (_, c) in apart.items())
+            elif name == "mixing":
+                found, n = mixing.mix(before)
+                copies = Counter()
+                for r in found.collect():
+                    copies[r.doc_id, r.text, r.lang, r.source] += r[n["copies"]]
+                assert new == +copies
+            else:
+                assert Counter((i, *sp.encode(t or "")) for i, t, *_ in old.elements()) == Counter((r.doc_id, *r.ids) for r in docs.collect())
         assert (docs.count() > 0) == (df is ugly)
