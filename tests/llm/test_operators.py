@@ -100,6 +100,37 @@ def test_floors_change_nothing(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0]) == 60 * 20
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_rows_that_codes_tell_little_of(spark, monkeypatch, metric):
+    """Wide noise, near copies, lengths and offsets of many sizes: the nearest are those of brute force, with bounded codebooks."""
+    monkeypatch.setattr(nearest, "SAMPLE", 512)
+    monkeypatch.setattr(nearest, "ROUNDS", 2)
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(3, 48))
+    kinds = [rng.normal(size=(3000, 256)), np.concatenate([rng.normal(size=(900, 48)) * np.exp(3 * rng.normal(size=(900, 1))), centre[rng.integers(0, 3, 900)] + 1e-5 * rng.normal(size=(900, 48)), 1e12 * rng.normal(size=(3, 48)), 50 + 1e-3 * rng.normal(size=(600, 48))])]
+    table, n = [], 0
+    for x in kinds:
+        table.append((np.arange(n, n + len(x)), x.astype(np.float32)))
+        n += len(x)
+    df = spark.createDataFrame(pd.concat([pd.DataFrame({"vec_id": i, "embedding": x.tolist()}) for i, x in table]), "vec_id long, embedding array<float>")
+    found = defaultdict(dict)
+    for r in nearest.search(df, F.col("id") % 20 == 0, k=20, metric=metric).collect():
+        found[r.query_id][r["rank"]] = (r.id, r.score)
+    for ids, x in table:
+        x = x.astype(np.float64)
+        for q in np.flatnonzero(ids % 20 == 0):
+            score = np.cumsum(x * x[q] if metric == "ip" else -((x - x[q]) ** 2), axis=1)[:, -1]
+            score[q] = -np.inf
+            want = np.lexsort((ids, -score))[:20]
+            assert [found[ids[q]][k] for k in range(1, 21)] == [(ids[w], score[w]) for w in want]
+
+
+def test_doubles_are_not_cut(spark):
+    v = [(0, [1.0, 0.0]), (1, [1 + 1e-12, 0.0]), (2, [1 + 2e-12, 3.0]), (3, [1e200, 0.0])]
+    got = nearest.search(spark.createDataFrame(v, "vec_id long, embedding array<double>"), F.col("id") == 0, k=20).collect()
+    assert sorted((r["rank"], r.id, r.score) for r in got) == [(1, 3, 1e200), (2, 2, 1 + 2e-12), (3, 1, 1 + 1e-12)]
+
+
 def test_lengths_and_repeated_ids(spark):
     v = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.0]), (20, [1.0, 1.0, 1.0]), (3, [2.0, 0.0, 0.0]), (3, [0.0, 0.0, 3.0])]
     got = nearest.search(spark.createDataFrame(v, "vec_id long, embedding array<float>"), F.col("id") % 20 == 0, k=20).collect()
