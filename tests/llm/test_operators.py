@@ -170,6 +170,40 @@ def test_pieces_equal_the_library(spark, documents, ugly, nothing):
     assert {r.doc_id: r.decoded for r in pieces.decode(lists, pieces.model_path()).collect()} == {1: sp.decode([1, 400]), 2: ""}
 
 
+def test_searches_ask_for_few_tokens_and_frequent_chunks_once(documents, monkeypatch):
+    """A search draws the longest tokens and their beginnings, not all tokens of all places; a chunk in steady use stays known."""
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "MEMO", 40)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    m = pieces.PieceModel(open(pieces.model_path(), "rb").read())
+    drawn, searched, search, search_ids = [], Counter(), m.search, m.search_ids
+
+    class Counted:
+        def iter_long(self, text, *start):
+            for found in search.iter_long(text, *start):
+                drawn.append(found)
+                yield found
+
+        def iter(self, text):
+            for found in search.iter(text):
+                drawn.append(found)
+                yield found
+
+    def counted(text):
+        searched[text] += 1
+        return search_ids(text)
+
+    m.search, m.search_ids = Counted(), counted
+    words = sorted({w for r in documents.limit(300).collect() for w in (r.text or "").split(" ") if w.isalpha() and len(w) < 30})[:3000]
+    n = 0
+    for w in words:
+        ids = sp.encode("often " + w)
+        assert list(np.frombuffer(m.roundtrip("often " + w)[0], np.int32)) == ids
+        n += len(ids)
+    assert len(words) > 1000 and searched[pieces.MARK + "often"] == 1 and len(drawn) < 2 * n
+
+
 # language-model scores
 
 
