@@ -252,6 +252,24 @@ def all_cosines(index):
     return full
 
 
+def test_words_are_the_matches_of_the_pattern(ugly):
+    import re
+
+    texts = ["".join(map(chr, range(256))), "".join(f"a{chr(k)}b" for k in range(0x3000)), *(r.text or "" for r in ugly.collect())]
+    for text in [*texts, *(t.lower() for t in texts), *(f"x{chr(k)}y{chr(k)}" for k in range(256))]:
+        assert toxicity.words(text) == toxicity.any_words(text) == re.findall(r"\w+", text)
+
+
+def test_words_in_use_come_first_where_they_are_looked_up(spark):
+    docs = spark.createDataFrame([(k, " ".join(["zebra", f"a{k}", *(["yak"] if k % 2 else [])])) for k in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic")
+    index = toxicity.learn(docs, labels)
+    sizes = np.diff(index.starts)[list(index.terms.values())]
+    assert list(index.terms)[:2] == ["zebra", "yak"] and list(sizes) == sorted(sizes, reverse=True)
+    at, w = index.vector("yak Zebra zebra unheard")
+    assert {list(index.terms)[list(index.terms.values()).index(k)] for k in at} == {"yak", "zebra"} and w @ w == pytest.approx(1)
+
+
 def test_neighbours_are_exact_and_held_out_rows_are_told(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

@@ -29,6 +29,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,17 @@ ROWS_AT_ONCE = 1000
 #: Texts that meet the index at once; words in a larger share of the examples are frequent.
 TEXTS_AT_ONCE, FREQUENT = 64, 1 / 16
 
-words = re.compile(r"\w+").findall
+any_words = re.compile(r"\w+").findall
+#: Bytes of Latin-1 texts: those of words as they are, others as blanks.
+BLANKED = bytes(c if re.match(r"\w", chr(c)) else 32 for c in range(256))
+
+
+def words(text: str) -> list[str]:
+    """The matches of \\w+; texts of Latin-1 characters, in which that is a third of the work, are split at blanks."""
+    try:
+        return text.encode("latin-1").translate(BLANKED).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return any_words(text)
 
 
 def held_out(id: str = "doc_id") -> Column:
@@ -66,7 +77,9 @@ class Index:
     def __init__(self, terms: list[str], idf: np.ndarray, lean: np.ndarray, ids: list, label: np.ndarray, votes: tuple[float, float], sizes: np.ndarray, at: np.ndarray, tf: np.ndarray) -> None:
         """Of the examples ids and label, and one after another their sizes words, at, with counts tf; votes: what an example
         of class 0 and of class 1 stands for."""
-        self.terms, self.scale, self.lean, self.leans = {t: k for k, t in enumerate(terms)}, idf, lean, lean > 0
+        # Frequent words lie together in memory, where most look-ups then end.
+        self.terms = {terms[k]: k for k in np.argsort(-np.bincount(at, minlength=len(terms)), kind="stable").tolist()}
+        self.scale, self.lean, self.leans = idf, lean, lean > 0
         n = len(ids)
         row = np.repeat(np.arange(n), sizes)
         weight = (1 + np.log(tf)) * self.scale[at]
@@ -93,12 +106,12 @@ class Index:
         by_place = by_place[self.leans[at[by_place]]]
         self.held, self.leaning = at[by_place].astype(np.int32), np.bincount(place, lean[at], n)
         self.firsts = np.concatenate([[0], np.cumsum(np.bincount(place[by_place], minlength=n))])
-        self.meant = np.zeros(len(terms))
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(terms)))])
         self.dense: np.ndarray | None = None
+        self.meant: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"dense": None, "row": None, "most": None}
+        return self.__dict__ | {"dense": None, "row": None, "most": None, "meant": None}
 
     def unit(self, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
         w = (1 + np.log(tf)) * self.scale[at]
@@ -111,20 +124,20 @@ class Index:
             often = np.flatnonzero(sizes > len(self.ids) * FREQUENT)
             self.row = np.full(len(sizes), -1)
             self.row[often] = np.arange(len(often))
-            dense = np.zeros((len(often), blocks * BLOCK))
+            self.dense = np.zeros((blocks, len(often), BLOCK))
             for k, t in enumerate(often):
                 part = slice(self.starts[t], self.starts[t + 1])
-                dense[k, self.place[part]] = self.weight[part]
-            self.dense = np.ascontiguousarray(dense.reshape(len(often), blocks, BLOCK).transpose(1, 0, 2))
+                self.dense[self.place[part] // BLOCK, k, self.place[part] % BLOCK] = self.weight[part]
             self.most = self.dense.max(axis=2).T if len(often) else np.zeros((0, blocks))
         return self.dense
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places and unit weights of the text's words that examples have."""
-        known = self.terms.get
-        tf = {at: n for word, n in Counter(words(text.lower())).items() if (at := known(word)) is not None}
-        at = np.fromiter(tf, np.int64, len(tf))
-        return at, self.unit(at, np.fromiter(tf.values(), np.int64, len(tf)))
+        tf = Counter(words(text.lower()))
+        at = np.fromiter(map(self.terms.get, tf, repeat(-1)), np.int64, len(tf))
+        known = at >= 0
+        at = at[known]
+        return at, self.unit(at, np.fromiter(tf.values(), np.int64, len(tf))[known])
 
     def nearest(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text its leaning words, and the places and cosines of the nearest examples with a positive cosine,
@@ -177,6 +190,8 @@ class Index:
         sizes = self.firsts[places + 1] - self.firsts[places]
         ends = np.cumsum(sizes)
         where = np.repeat(self.firsts[places] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        if self.meant is None:
+            self.meant = np.zeros(len(self.lean))
         self.meant[leaning] = self.lean[leaning]
         both = np.bincount(np.repeat(np.arange(len(places)), sizes), self.meant[self.held[where]], len(places))
         self.meant[leaning] = 0
@@ -228,17 +243,22 @@ def leans(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int)
 
 
 def document_frequencies(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """term, n: the number of documents that hold each term, over the whole table; without a term, of all documents."""
-    wanted = frozenset(terms)
+    """term, n: the number of documents that hold each term, over the whole table; without a term, of all documents.
+
+    Terms that are frequent had better come first.
+    """
+    wanted = {t: k for k, t in enumerate(terms)}
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, by = 0, Counter()
+        n, by = 0, np.zeros(len(terms) + 1, np.int64)  # the last: words that are not wanted
         for batch in batches:
             n += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                by.update(wanted.intersection(set(words((text or "").lower()))))
-        yield pa.RecordBatch.from_arrays([pa.array([None, *by], pa.string()), pa.array([n, *by.values()], pa.int64())], names=["term", "n"])
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                held = [np.fromiter(map(wanted.get, each, repeat(len(terms))), np.int32, len(each)) for each in (set(words((text or "").lower())) for text in batch.column(0).slice(at, ROWS_AT_ONCE).to_pylist())]
+                by += np.bincount(np.concatenate(held), minlength=len(by))
+        there = np.flatnonzero(by[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array([None, *[terms[k] for k in there]], pa.string()), pa.array([n, *by[there].tolist()], pa.int64())], names=["term", "n"])
 
     return docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -246,7 +266,8 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> Index:
     chosen, votes = choose_examples(docs, labels, label, examples)
     counts = materialize(class_counts(chosen), "terms")
-    df = materialize(document_frequencies(docs, counts.select("term").toArrow()["term"].to_pylist()), "frequencies")
+    by_use = counts.select("term", (F.col("clean") + F.col("toxic")).alias("n")).toArrow().sort_by([("n", "descending"), ("term", "ascending")])
+    df = materialize(document_frequencies(docs, by_use["term"].to_pylist()), "frequencies")
     n = df.filter("term is null").agg(F.sum("n")).first()[0] or 0
     known = counts.join(df, "term", "left").orderBy("term").toArrow()
     every = known["term"].to_pylist()
@@ -271,11 +292,15 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: in
 
 def shipped(spark: SparkSession, index: Index) -> Broadcast:
     """The index, packed: workers keep what is broadcast for as long as they live."""
-    return spark.sparkContext.broadcast(zlib.compress(pickle.dumps(index), 1))
+    arrays: list[pickle.PickleBuffer] = []
+    rest = pickle.dumps(index, 5, buffer_callback=arrays.append)
+    return spark.sparkContext.broadcast([zlib.compress(x, 1) for x in (rest, *[a.raw() for a in arrays])])
 
 
 def opened(packed: Broadcast) -> Index:
-    return pickle.loads(zlib.decompress(packed.value))
+    """The index, its arrays as they are unpacked, without a copy."""
+    rest, *arrays = packed.value
+    return pickle.loads(zlib.decompress(rest), buffers=map(zlib.decompress, arrays))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
