@@ -88,7 +88,7 @@ c AS (SELECT pos // 512 AS k, sha1(string_agg(t, '' ORDER BY pos)) AS t FROM r G
 SELECT (SELECT count(*) FROM r) AS n, (SELECT t FROM c2)[1:16] AS hash""")
 def long_line_hash(spark, d):
     e = _t(spark, d, "events").select("event_id", "event_type")
-    found = scan.ordered_hash(e, [], "event_id", F.concat("event_id", F.lit(","), "event_type", F.lit("|")), rows_in_chunk=512)
+    found = scan.chunked_hash(e, [], "event_id", F.concat("event_id", F.lit(","), "event_type", F.lit("|")), rows_in_chunk=512)
     return found.crossJoin(e.agg(F.count(F.lit(1)).alias("n")))  # one row each
 
 
