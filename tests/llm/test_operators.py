@@ -170,6 +170,22 @@ def test_pieces_equal_the_library(spark, documents, ugly, nothing):
     assert {r.doc_id: r.decoded for r in pieces.decode(lists, pieces.model_path()).collect()} == {1: sp.decode([1, 400]), 2: ""}
 
 
+def test_texts_are_decoded_from_their_ids():
+    """All ids of a text, also of chunks that are known: with other names of the tokens other texts come back."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    m = pieces.PieceModel(open(pieces.model_path(), "rb").read())
+    taken, inner = [], m.inner
+    m.inner = lambda ids: taken.append(list(ids)) or inner(ids)
+    texts = ["the house", "the house the house", "中 the 😀 house\n", "", " ", "house\u0000"]
+    for t in texts:
+        assert m.roundtrip(t)[1] == sp.decode(sp.encode(t)) and taken.pop() == sp.encode(t)
+    m.shown = [f" {i}" for i in range(len(m.text))]
+    for t in texts[:2]:
+        assert m.roundtrip(t)[1] == " ".join(map(str, sp.encode(t)))
+
+
 def test_searches_ask_for_few_tokens_and_frequent_chunks_once(documents, monkeypatch):
     """A search draws the longest tokens and their beginnings, not all tokens of all places; a chunk in steady use stays known."""
     import sentencepiece
