@@ -16,10 +16,20 @@ from wayline.functions import geo
 ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def _w(by: str | Sequence[str], order: str | Sequence[str]) -> WindowSpec:
+def _w(by: str | Sequence[str], order: str | Sequence[str | Column]) -> WindowSpec:
     return Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*([order] if isinstance(order, str) else order))
 
 
+def sides(rows: DataFrame, by: str | Sequence[str], order: str | Sequence[str], value: str, own: int) -> DataFrame:
+    """rows with __l and __r, the nearest value there is before and after each row; own 0: a row's own value counts, 1: it does not.
+
+    What comes after is looked for in reverse: a frame that reaches from each row to the end is gone through again for each row.
+    """
+    near = lambda w: F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -own))
+    told = rows.withColumns({"__k": F.row_number().over(_w(by, order)), "__l": near(_w(by, order))})
+    return told.withColumn("__r", near(_w(by, [F.desc("__k")]))).drop("__k")
+
+
 def segments(points: DataFrame, by: str, order: str, *keep: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """by, order, lon1, lat1, lon2, lat2, length_m for each two consecutive points, with keep of the first."""
     w = _w(by, order)
@@ -62,10 +72,7 @@ def moving_average(series: DataFrame, by: str, order: str, value: str, window: i
 
 def fill_gaps(series: DataFrame, by: str, order: str, value: str, into: str = "filled") -> DataFrame:
     """A run of nulls takes the value beside it, if both sides agree or there is only one side."""
-    w = _w(by, order)
-    left = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return series.withColumn(into, F.coalesce(F.col(value), between(left, right)))
+    return sides(series, by, order, value, 1).withColumn(into, F.coalesce(F.col(value), between(F.col("__l"), F.col("__r")))).drop("__l", "__r")
 
 
 def between(left: Column, right: Column) -> Column:
