@@ -127,12 +127,9 @@ def max_gradient(series: DataFrame, by: str | Sequence[str], order: str, x: str,
 def nearest(asked: DataFrame, series: DataFrame, by: str, at: str, value: str) -> DataFrame:
     """asked (by, at, ...) with the series' value (by, at, value) nearest to at; the later of two as near.
 
-    One sort of both together; each asked row looks back and ahead for the next of the series.
+    Both are sorted together; each asked row looks back and ahead for the next of the series.
     """
-    w = _w(by, ["__at"])
-    before = F.last("__s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return nearer(together(asked, series, by, at, value).withColumns({"__l": before, "__r": after}), at, value)
+    return nearer(sides(together(asked, series, by, at, value), by, "__at", "__s", 0), at, value)
 
 
 def together(asked: DataFrame, series: DataFrame, by: str | Sequence[str], at: str, value: str) -> DataFrame:
