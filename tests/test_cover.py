@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wayline.functions import geo
@@ -60,3 +61,44 @@ def test_hairlines_do_not_make_endless_cells(spark):
     assert cover.cover(z).count() < 40 * len(teeth)
     p = spark.createDataFrame([(k, 1 + k * 3.1e-7, 5.0) for k in range(400)], "id int, lon double, lat double")
     assert {r.id: r.zone for r in cover.locate(p, z).collect()} == {r.id: r.zone for r in spatial.locate(p, z).collect()}
+
+
+def test_many_zones_above_each_other(spark, monkeypatch):
+    """Cells that go on over many batches, crowded ones dealt to several tasks, vertices without coordinates, names as order."""
+    rng = random.Random(9)
+    rings = [star(rng.uniform(-1, 1), rng.uniform(-1, 1), rng.choice([0.2, 0.5, 3.0]), rng.choice([5, 30]), rng) for _ in range(300)]
+    rings[0] = [*rings[0], {"lon": None, "lat": 1.0}]
+    z = spark.createDataFrame([(k, f"{7919 * k % 1000:03}", r) for k, r in enumerate(rings)], "zone long, ord string, ring array<struct<lon:double,lat:double>>")
+    p = spark.createDataFrame([(k, rng.gauss(0, 1), rng.gauss(0, 1)) for k in range(2000)], "id int, lon double, lat double")
+    want = {r.id: r.zone for r in spatial.locate(p, z).collect()}
+    monkeypatch.setattr(cover, "PLACES_IN_SHARE", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        assert {r.id: r.zone for r in cover.locate(p, z).collect()} == want and len(set(want.values())) > 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cells = cover.cover(z)
+    seen = cover.visible(cells, sorted(r.level for r in cells.select("level").distinct().collect()))
+    assert seen.count() < cells.count() * 3 // 4
+
+
+def test_a_place_meets_zones_up_to_the_first_that_holds_it(monkeypatch):
+    """Not all pairs of a cell: 2,000 places, 5,000 zones that all hold them, in batches that part the cell; one place is in the last zone only."""
+    held = []
+
+    class Counted(cover._Entries):
+        def hold(self, lon, lat, at):
+            held.append(len(at))
+            return super().hold(lon, lat, at)
+
+    monkeypatch.setattr(cover, "_Entries", Counted)
+    square = lambda a, b: [{"x1": x1, "y1": y1, "x2": x2, "y2": y2} for x1, y1, x2, y2 in ((a, a, b, a), (b, a, b, b), (b, b, a, b), (a, b, a, a))]
+    key = {"level": 3, "x": 32, "y": 32, "share": 0}
+    places = [key | {"__lon": k / 2000, "__lat": 0.5, "ord": None, "zone": None, "inside": None, "edges": None} for k in range(2000)] + [key | {"__lon": 3.0, "__lat": 3.0, "ord": None, "zone": None, "inside": None, "edges": None}]
+    zones = [key | {"__lon": None, "__lat": None, "ord": k, "zone": f"z{k}", "inside": False, "edges": square(-1.0, 2.0 if k < 4999 else 4.0)} for k in range(5000)]
+    edge = pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")])
+    schema = pa.schema([("level", pa.int32()), ("x", pa.int64()), ("y", pa.int64()), ("share", pa.int64()), ("__lon", pa.float64()), ("__lat", pa.float64()), ("ord", pa.int32()), ("zone", pa.string()), ("inside", pa.bool_()), ("edges", pa.list_(edge))])
+    batches = pa.Table.from_pylist(places + zones, schema).to_batches(max_chunksize=900)
+    got = [r for b in cover._first_zones(iter(batches)) for r in b.to_pylist()]
+    assert len(got) == 2001 and {r["zone"] for r in got if r["__lon"] < 1} == {"z0"} and [r["zone"] for r in got if r["__lon"] == 3] == ["z4999"]
+    assert sum(held) <= 2000 * cover.ZONES_AT_FIRST + 5000 + 2001
