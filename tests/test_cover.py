@@ -1,11 +1,13 @@
 import math
 import random
 
+import duckdb
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wayline.functions import geo
 from wayline.operators import cover, spatial
+from wayline.plans.scale_queries import QUERIES, SQL
 
 
 def star(x, y, r, n, rng):
@@ -102,3 +104,14 @@ def test_a_place_meets_zones_up_to_the_first_that_holds_it(monkeypatch):
     got = [r for b in cover._first_zones(iter(batches)) for r in b.to_pylist()]
     assert len(got) == 2001 and {r["zone"] for r in got if r["__lon"] < 1} == {"z0"} and [r["zone"] for r in got if r["__lon"] == 3] == ["z4999"]
     assert sum(held) <= 2000 * cover.ZONES_AT_FIRST + 5000 + 2001
+
+
+def test_lengths_by_zones_of_a_cover_equal_their_sql(spark, sf, monkeypatch):
+    """The query on tables as small as these broadcasts its zones; here it takes the way of many."""
+    monkeypatch.setattr(spatial, "MOST_VERTICES", 0)
+    with duckdb.connect() as c:
+        for t in ("part", "events"):
+            c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        want = {zone: m for zone, m in c.sql(SQL["many_zone_lengths"]).fetchall()}
+    got = {r.zone: r.length_m for r in QUERIES["many_zone_lengths"](spark, sf).collect()}
+    assert got == want and sum(m > 0 for m in want.values()) > 5

@@ -106,10 +106,10 @@ def cover(zones: DataFrame, edges_in_cell: int = EDGES_IN_CELL) -> DataFrame:
     for _ in range(MOST_LEVELS):
         level = stored(cells.mapInArrow(_settle, cells.schema), "cells")
         held = level.filter(large).groupBy("zone", "ord").agg(F.sum(F.size("edges") + 1).alias("held"))
-        rest = level.filter(large).join(held, ["zone", "ord"])
         fine = F.col("held") <= F.col("ring") * HELD_PER_EDGE
-        done += [level.filter(~large), rest.filter(~fine)]
-        rest = rest.filter(fine)
+        rest = stored(level.filter(large).join(held, ["zone", "ord"]).withColumn("fine", fine), "large")
+        done += [level.filter(~large), rest.filter("not fine")]
+        rest = rest.filter("fine")
         if rest.isEmpty():
             break
         k = F.explode(F.sequence(F.lit(0), F.lit(STEP * STEP - 1)))
@@ -127,7 +127,7 @@ def visible(cells: DataFrame, levels: list[int]) -> DataFrame:
     around = spots.withColumn("__l", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k <= F.col("level"))))
     around = around.withColumns({"__x": F.floor(F.col("x") / up), "__y": F.floor(F.col("y") / up)})
     above = whole.select(F.col("level").alias("__l"), F.col("x").alias("__x"), F.col("y").alias("__y"), "__most")
-    most = around.join(above, ["__l", "__x", "__y"]).groupBy(*CELL).agg(F.min("__most").alias("__most"))
+    most = stored(around.join(above, ["__l", "__x", "__y"]).groupBy(*CELL).agg(F.min("__most").alias("__most")), "most")
     return cells.join(most, CELL, "left").filter("__most is null or ord <= __most").drop("__most")
 
 
@@ -221,8 +221,9 @@ def first_zones(places: DataFrame, cells: DataFrame, levels: list[int]) -> DataF
 
 def locate(points: DataFrame, zones: DataFrame, lon: str = "lon", lat: str = "lat", into: str = "zone", edges_in_cell: int = EDGES_IN_CELL) -> DataFrame:
     """points with the zone each lies in, of several the lowest ord, null outside all."""
-    cells = stored(cover(zones, edges_in_cell), "cover")
-    levels = sorted(r["level"] for r in cells.select("level").distinct().collect())  # MOST_LEVELS at most
+    every = cover(zones, edges_in_cell)
+    levels = sorted(r["level"] for r in every.select("level").distinct().collect())  # MOST_LEVELS at most
+    cells = stored(visible(every, levels), "cover")
     places = stored(points.select(F.col(lon).cast("double").alias("__lon"), F.col(lat).cast("double").alias("__lat")).dropna().distinct(), "places")
-    first = first_zones(places, visible(cells, levels), levels).groupBy("__lon", "__lat").agg(F.min_by("zone", "ord").alias(into))
+    first = first_zones(places, cells, levels).groupBy("__lon", "__lat").agg(F.min_by("zone", "ord").alias(into))
     return points.join(first, (F.col(lon) == F.col("__lon")) & (F.col(lat) == F.col("__lat")), "left").drop("__lon", "__lat")
